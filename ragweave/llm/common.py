@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = S
         if not n:
             continue
         column = batch.column(batch.schema.get_field_index(name))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
         start, total = 0, 0
         for i in range(n):
             if total and total + sizes[i] > limit:
