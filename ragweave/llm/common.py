@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 #: Text bytes worked on at once in a Python worker.
 SLICE_BYTES = 8 << 20
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -28,7 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
         shared_dir.own = at
     return at.rstrip("/")
 
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
@@ -36,22 +33,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
 def buckets(spark: SparkSession) -> int:
     """How many parts a packed exchange is cut into; follows the session's shuffle parallelism."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-
 def crc_mod(col, mod: int):
     """crc32 of an id written as text, modulo mod."""
     return F.crc32(col.cast("string").cast("binary")) % mod
 
-
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's strings; null counts as the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
-
 def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about `limit` bytes of text each (one row at least)."""
     for batch in batches:
@@ -68,7 +61,6 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = S
             total += int(sizes[i]) + 64
         yield batch.slice(start, n - start)
 
-
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, name: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices; fn maps one slice to one record batch."""
 
