@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragweave.llm import language_id, sentencepiece_codec, substring_dedup, suffix_dedup, topk_search
+from ragweave.llm import language_id, quality, sentencepiece_codec, substring_dedup, suffix_dedup, topk_search
 from ragweave.llm.common import crc_mod, table
 
 
@@ -33,6 +33,13 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    trees = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs, trees).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"))
     return coded.select(
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_topk_search": op7_topk_search,
+    "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
