@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragweave.llm import language_id, quality, sentencepiece_codec, substring_dedup, suffix_dedup, topk_search
+from ragweave.llm import decontam, language_id, quality, sentencepiece_codec, substring_dedup, suffix_dedup, topk_search
 from ragweave.llm.common import crc_mod, table
 
 
@@ -33,6 +33,11 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_topk_search": op7_topk_search,
+    "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
@@ -71,4 +77,23 @@ SQL: dict[str, str] = {
         ranked AS (
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op8_decontamination": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        iw AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS k
+            FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(p) WHERE len(w) > 0),
+        dw AS (
+            SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS k
+            FROM w, (SELECT DISTINCT n FROM iw) l, unnest(range(1, len(w) - n + 2)) t(p)),
+        hits AS (SELECT doc_id, p, dw.n, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.n = iw.n),
+        cov AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM hits, unnest(range(p, p + n)) u(q) GROUP BY doc_id),
+        its AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+        SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id LEFT JOIN its ON w.doc_id = its.doc_id""",
 }
