@@ -27,15 +27,31 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _FROM, _TO), " "), lambda w: w != "")
 
 
-def _shingled(rows: DataFrame, keep: list[str], window: int, gram: int) -> DataFrame:
-    """keep, w (words) and m (the representative of each run, by its start from 0)."""
-    none = F.array().cast("array<bigint>")
-    n = F.size("w")
-    hashed = rows.select(*keep, "w", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    grams = F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(gram))))
-    grams = hashed.select(*keep, "w", F.when(n >= window, grams).otherwise(none).alias("g"))
-    least = F.transform(F.sequence(F.lit(0), n - window), lambda i: F.least(*(F.get("g", i + j) for j in range(window - gram + 1))))
-    return grams.select(*keep, "w", F.when(n >= window, least).otherwise(none).alias("m"))
+def _once(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's variable is never inlined into its uses."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _marked(text: Column, window: int, gram: int) -> Column:
+    """struct(w, m): the words and the representative of each run, by its start from 0."""
+
+    def least(g: Column, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - window), lambda i: F.least(*(F.get(g, i + j) for j in range(window - gram + 1))))
+
+    def grams(h: Column, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(gram))))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        marks = _once(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _once(grams(h, n), lambda g: least(g, n)))
+        return F.struct(w.alias("w"), F.when(n >= window, marks).otherwise(F.array().cast("array<bigint>")).alias("m"))
+
+    return _once(words(text), runs)
+
+
+def _shingled(rows: DataFrame, keep: list[str], text: str, window: int, gram: int) -> DataFrame:
+    """keep, w and m of every row."""
+    return rows.select(*keep, F.explode(F.array(_marked(F.col(text), window, gram))).alias("_s")).select(*keep, "_s.w", "_s.m")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -50,23 +66,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     without documents the result is empty, without items nothing is hit.
     """
     rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
-    items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
-    wide = materialize(_shingled(items, ["item"], window, gram), "items")
+    items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("_text"))
+    wide = materialize(_shingled(items, ["item"], "_text", window, gram).where(F.size("w") > 0), "items")
     n = F.least(F.size("w"), F.lit(window))
     runs = wide.select("item", "w", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("at")).select("n", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("run"), "item")
     runs = materialize(runs.groupBy("n", "run").agg(F.sort_array(F.collect_set("item")).alias("items")), "runs")
     marks = _small(wide.select(F.explode("m").alias("mark")).distinct())
 
-    taken = _shingled(rows.select("_doc", words(F.col("_text")).alias("w")), ["_doc"], window, gram)
+    taken = _shingled(rows, ["_doc"], "_text", window, gram)
     taken = materialize(taken.select("_doc", F.size("w").alias("n_words"), F.array_distinct("m").alias("m")), "marks")
     met = taken.select("_doc", F.explode("m").alias("mark")).join(marks, "mark").groupBy("_doc").agg(F.collect_set("mark").alias("met"))
 
-    suspects = rows.join(met, "_doc").select("_doc", "met", words(F.col("_text")).alias("w"))
-    placed = _shingled(suspects, ["_doc", "met"], window, gram).select("_doc", "met", "w", F.posexplode("m").alias("at", "mark"))
+    suspects = _shingled(rows.join(met, "_doc"), ["_doc", "met"], "_text", window, gram)
+    placed = suspects.select("_doc", "met", "w", F.posexplode("m").alias("at", "mark"))
     found = placed.where(F.array_contains("met", F.col("mark"))).select("_doc", "at", F.lit(window).alias("n"), F.array_join(F.slice("w", F.col("at") + 1, window), " ").alias("run"))
     for r in runs.where(F.col("n") < window).select("n").distinct().orderBy("n").collect():  # at most window - 1 lengths
-        short = rows.select("_doc", words(F.col("_text")).alias("w")).where(F.size("w") >= r.n)
-        each = short.select("_doc", "w", F.explode(F.sequence(F.lit(0), F.size("w") - r.n)).alias("at"))
+        short = rows.select("_doc", F.explode(F.array(words(F.col("_text")))).alias("w"))
+        each = short.where(F.size("w") >= r.n).select("_doc", "w", F.explode(F.sequence(F.lit(0), F.size("w") - r.n)).alias("at"))
         found = found.union(each.select("_doc", "at", F.lit(r.n).alias("n"), F.array_join(F.slice("w", F.col("at") + 1, r.n), " ").alias("run")))
     exact = found.join(_small(runs), ["n", "run"]).select("_doc", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")).alias("span"), "items")
 
