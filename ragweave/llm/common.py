@@ -70,3 +70,21 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label): the smallest node reachable from each node of the undirected edges.
+
+    Labels fall to the least among neighbours, and then to their label's label, until none changes; the rounds grow
+    with the logarithm of the longest chain in common cases. Every round is written to the shared folder.
+    """
+    both = materialize(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
+    labels = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        low = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
+        new = materialize(low.join(jump, "low", "left").select("node", "label", F.least("low", F.coalesce("far", "low")).alias("now")), "labels")
+        labels = new.select("node", F.col("now").alias("label"))
+        if new.where(F.col("label") != F.col("now")).isEmpty():
+            return labels
