@@ -136,18 +136,18 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
 
 
-def by_bucket(batches) -> Iterator[dict[int, list[bytes]]]:
-    """The rows of one bucket at a time, by kind; input is sorted by bucket."""
+def by_bucket(batches) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+    """Each bucket with its rows by kind; input is sorted by bucket."""
     now, found = None, {}
     for batch in batches:
         for bucket, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if bucket != now:
                 if found:
-                    yield found
+                    yield now, found
                 now, found = bucket, {}
             found.setdefault(kind, []).append(data)
     if found:
-        yield found
+        yield now, found
 
 
 def per_document(docs: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -166,6 +166,32 @@ def per_document(docs: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatc
 HITS = "doc long, hits binary"
 
 
+def to_documents(docs: np.ndarray, values: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+    """Packed rows that deal values out by document."""
+    return cut(bucket_of(mix(docs.astype(np.uint64), np.uint64(1)), n), 0, docs, values) if len(docs) else []
+
+
+def passed_on(bucket: int, found: dict[int, list[bytes]]) -> list[tuple[int, int, bytes]]:
+    """What a mapper had settled itself: rows of kind 1, dealt by document already."""
+    return [(bucket, 0, data) for data in found.pop(1, [])]
+
+
+def exchange(df, n: int, reduce, kind):
+    """(doc, hits): compare packed rows by bucket with `reduce`, then gather what it returns by document.
+
+    Both steps move few large rows, whatever the number of documents and hits.
+    """
+
+    def gather(batches):
+        for _, found in by_bucket(batches):
+            yield from per_document(*(np.concatenate(c) for c in zip(*(unpack(x, np.int64, kind) for x in found[0]))))
+
+    def dealt(x):
+        return x.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+    return dealt(dealt(df).mapInArrow(reduce, PACKED)).mapInArrow(gather, HITS)
+
+
 def heads_of(keys: np.ndarray) -> np.ndarray:
     """Number of the group of each sorted key, from 0."""
     return np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -194,7 +220,7 @@ def candidates(read, gram: int, window: int, n: int, within: bool):
         first = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else many
         rows = cut(bucket_of(hashes[first], n), 0, hashes[first], docs[first], many[first].astype(np.uint8))
         if many.any():
-            rows += cut(bucket_of(mix(docs[many].astype(np.uint64), np.uint64(1)), n), 1, docs[many], hashes[many])
+            rows += [(b, 1, data) for b, _, data in to_documents(docs[many], hashes[many], n)]
         return rows
 
     def mapper(batches):
@@ -211,18 +237,17 @@ def candidates(read, gram: int, window: int, n: int, within: bool):
             yield from packed_rows(send(hashes, docs))
 
     def reducer(batches):
-        for rows in by_bucket(batches):
-            if 1 in rows:
-                parts = [unpack(x, np.int64, np.uint64) for x in rows[1]]
-                yield from per_document(*(np.concatenate(c) for c in zip(*parts)))
-            if 0 in rows:
-                parts = [unpack(x, np.uint64, np.int64, np.uint8) for x in rows[0]]
+        for bucket, found in by_bucket(batches):
+            rows = passed_on(bucket, found)
+            if found:
+                parts = [unpack(x, np.uint64, np.int64, np.uint8) for x in found[0]]
                 hashes, docs, many = (np.concatenate(c) for c in zip(*parts))
                 order = np.argsort(hashes, kind="stable")
                 hashes, docs, many = hashes[order], docs[order], many[order]
                 group = heads_of(hashes)
                 back = (np.bincount(group)[group] > 1) & (many == 0)
-                yield from per_document(docs[back], hashes[back])
+                rows += to_documents(docs[back], hashes[back], n)
+            yield from packed_rows(rows)
 
     return mapper, reducer
 
@@ -232,8 +257,8 @@ def keys_of(docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def surviving(doc: np.ndarray, hashes: np.ndarray, hits: list) -> np.ndarray:
-    """Mask of the anchors (document number, hash) that hits, a list of byte strings for each document, holds."""
-    lists = [np.frombuffer(b"".join(h), np.uint64) if h else np.zeros(0, np.uint64) for h in hits]
+    """Mask of the anchors (document number, hash) that hits, hashes as bytes for each document, holds."""
+    lists = [np.frombuffer(h or b"", np.uint64) for h in hits]
     sizes = [len(x) for x in lists]
     known = keys_of(np.repeat(np.arange(len(lists)), sizes), np.concatenate([np.zeros(0, np.uint64), *lists]))
     return np.isin(keys_of(doc, hashes), known)

@@ -58,12 +58,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     mapper, reducer = R.candidates(read, gram, window, n, within=False)
 
-    def exchange(df: DataFrame, reduce) -> DataFrame:
-        hits = df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, R.HITS)
-        return hits.groupBy("doc").agg(F.collect_list("hits").alias("hits"))
-
     whole = rows.where(F.col("doc").isNotNull() & (F.length("text") >= 2 * window - 1))
-    found = exchange(whole.mapInArrow(mapper, R.PACKED), reducer)
+    found = R.exchange(whole.mapInArrow(mapper, R.PACKED), n, reducer, np.uint64)
 
     def settle(hashes, anchors, docs, places):
         """Equal windows: all but those of the smallest document are marked here, those are to be sent."""
@@ -77,7 +73,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         late, hashes, anchors, docs, places = settle(*(np.concatenate(c) for c in zip(*found)))
         out = R.cut(R.bucket_of(anchors[~late], n), 0, hashes[~late], docs[~late], places[~late])
         if late.any():
-            out += R.cut(R.bucket_of(R.mix(docs[late].astype(np.uint64), np.uint64(1)), n), 1, docs[late], places[late])
+            out += [(b, 1, data) for b, _, data in R.to_documents(docs[late], places[late], n)]
         return R.packed_rows(out)
 
     def extend(batches):
@@ -98,16 +94,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             yield from send(found)
 
     def compare(batches):
-        for rows in R.by_bucket(batches):
-            if 1 in rows:
-                yield from R.per_document(*(np.concatenate(c) for c in zip(*(R.unpack(x, np.int64, np.uint32) for x in rows[1]))))
-            if 0 in rows:
-                hashes, docs, places = (np.concatenate(c) for c in zip(*(R.unpack(x, np.uint64, np.int64, np.uint32) for x in rows[0])))
+        for bucket, found in R.by_bucket(batches):
+            out = R.passed_on(bucket, found)
+            if found:
+                hashes, docs, places = (np.concatenate(c) for c in zip(*(R.unpack(x, np.uint64, np.int64, np.uint32) for x in found[0])))
                 late, _, _, docs, places = settle(hashes, hashes, docs, places)
-                yield from R.per_document(docs[late], places[late])
+                out += R.to_documents(docs[late], places[late], n)
+            yield from R.packed_rows(out)
 
     survivors = rows.join(found, "doc").select("doc", "text", "hits")
-    marks = exchange(survivors.mapInArrow(extend, R.PACKED), compare)
+    marks = R.exchange(survivors.mapInArrow(extend, R.PACKED), n, compare, np.uint32)
 
     def finish(batches):
         hashes = _Hashes()
@@ -119,7 +115,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 if hits:
                     tokens = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
                     windows = R.gram_hashes(tokens, window)[: max(0, len(words) - window + 1)]
-                    marked = np.concatenate([np.frombuffer(h, np.uint32) for h in hits])
+                    marked = np.frombuffer(hits, np.uint32)
                     starts = np.flatnonzero(np.isin(windows, windows[marked]))
                     gone = R.covered(len(words), starts, window)
                     removed.append(int(gone.sum()))

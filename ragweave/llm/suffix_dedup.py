@@ -141,11 +141,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     mapper, reducer = R.candidates(read, gram, window, n, within=True)
 
-    def exchange(df: DataFrame, reduce) -> DataFrame:
-        hits = df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, R.HITS)
-        return hits.groupBy("doc").agg(F.collect_list("hits").alias("hits"))
-
-    survivors = whole.join(exchange(whole.mapInArrow(mapper, R.PACKED), reducer), "doc").select("doc", "text", "hits")
+    survivors = whole.join(R.exchange(whole.mapInArrow(mapper, R.PACKED), n, reducer, np.uint64), "doc").select("doc", "text", "hits")
 
     def marked(docs, firsts, counts):
         return docs, (firsts.astype(np.uint64) << np.uint64(32)) | counts.astype(np.uint64)
@@ -159,7 +155,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         out = [(int(bucket[order[a]]), 0, mine.pack(order[a:b])) for a, b in zip(heads, [*heads[1:], len(order)])]
         if len(others):
             late = docs[others]
-            out += R.cut(R.bucket_of(R.mix(late.astype(np.uint64), np.uint64(1)), n), 1, *marked(late, firsts[others], counts[others]))
+            out += [(b, 1, data) for b, _, data in R.to_documents(*marked(late, firsts[others], counts[others]), n)]
         return R.packed_rows(out)
 
     def suffixes(batches):
@@ -181,13 +177,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             yield from send(found)
 
     def compare(batches):
-        for found in R.by_bucket(batches):
-            if 1 in found:
-                yield from R.per_document(*(np.concatenate(c) for c in zip(*(R.unpack(x, np.int64, np.uint64) for x in found[1]))))
-            if 0 in found:
+        for bucket, found in R.by_bucket(batches):
+            out = R.passed_on(bucket, found)
+            if found:
                 every = _Suffixes.unpack(found.pop(0), window)
                 mine, _, _, others = every.settle()
-                yield from R.per_document(*marked(every.docs[others], every.firsts[others], every.counts[others]))
+                out += R.to_documents(*marked(every.docs[others], every.firsts[others], every.counts[others]), n)
                 sizes = np.asarray([len(t) for t in mine.texts], dtype=np.int64)
                 data = np.frombuffer(b"".join(mine.texts) + bytes(8), np.uint8)
                 heads = np.cumsum(sizes) - sizes
@@ -199,9 +194,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 order = np.lexsort((starts, docs, part))
                 late = order[~np.concatenate([[True], part[1:] != part[:-1]])[: len(part)]]
                 if len(late):
-                    yield from R.per_document(*_ranges(docs[late], starts[late]))
+                    out += R.to_documents(*_ranges(docs[late], starts[late]), n)
+            yield from R.packed_rows(out)
 
-    marks = exchange(survivors.mapInArrow(suffixes, R.PACKED), compare)
+    marks = R.exchange(survivors.mapInArrow(suffixes, R.PACKED), n, compare, np.uint64)
 
     def finish(batches):
         for part in slices(batches, "text", _SLICE):
@@ -213,7 +209,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                     spans.append(0)
                     kept.append(x)
                     continue
-                ranges = np.concatenate([np.frombuffer(h, np.uint64) for h in hits])
+                ranges = np.frombuffer(hits, np.uint64)
                 starts, counts = (ranges >> np.uint64(32)).astype(np.int64), (ranges & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 edge = np.zeros(len(x) + 1, dtype=np.int64)
                 np.add.at(edge, starts, 1)
