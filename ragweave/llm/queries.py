@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragweave.llm import decontam, language_id, lm_scoring, ngram_jaccard, quality, sentencepiece_codec, substring_dedup, suffix_dedup, topk_search
+from ragweave.llm import decontam, language_id, lm_scoring, ngram_jaccard, quality, secret_scan, sentencepiece_codec, substring_dedup, suffix_dedup, topk_search
 from ragweave.llm.common import crc_mod, table
 
 
@@ -37,6 +37,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.default_forest(spark))
+    secrets = F.filter("findings", lambda c: c["score"] >= secret_scan.THRESHOLD)
+    spans = F.array_join(F.transform(secrets, lambda c: F.concat_ws("+", c["start"], c["length"])), ",")
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(secrets).cast("long").alias("n_secrets"), spans.alias("spans"), F.sha2("masked", 256).alias("masked_sha256"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_topk_search": op7_topk_search,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
