@@ -187,19 +187,22 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     return Model(languages, np.zeros(max(1, len(languages))), table, rare, path)
 
 
-def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) of every row; score is the posterior of the predicted language, from 0 to 1.
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of keep, lang_pred and score of every row; score is the posterior of the prediction, from 0 to 1.
 
     Null texts and texts without a letter are `und` with score 0, as is every text if nothing was learned. Repeated
-    rows stay; extra columns are ignored; an empty table gives an empty one.
+    rows stay; columns not in keep are ignored; an empty table gives an empty one. keep may name the text.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text).alias("_text"))
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:-1])
+    names = [*rows.columns[:-1], "lang_pred", "score"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value.ready()
         texts = texts_of(batch, "_text")
         found = m.predict(texts) if m.languages else [(UNDETERMINED, 0.0)] * len(texts)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["_key", "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names)
 
-    return map_slices(rows, run, f"_key {dict(rows.dtypes)['_key']}, lang_pred string, score double", "_text").withColumnRenamed("_key", key)
+    out = map_slices(rows, run, f"{kinds}, lang_pred string, score double", "_text")
+    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
