@@ -7,9 +7,9 @@ not pay indexes these alone, and then the others add theirs to meet it. Which sh
 all prefixes; it changes the cost, never the result.
 
 Sets that share an index entry are not paired off. Equal sets are one class from the start. In each entry all sets of
-like size are verified against one of them; what links is one component. Components that share an entry are
-compared by one member each, and only where that distance and the components' radii leave room for a link (triangle
-inequality of the Jaccard distance) are their members compared, so no link between different sets is lost.
+like size are verified against one of them; what links is one component. Then only sets of different components that
+share an entry can still link. Before texts are fetched, bitmaps of the sets' parities must be close: their Hamming
+distance is at most the number of shingles in which the sets differ, so no link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -25,23 +25,23 @@ from pyspark.sql import functions as F
 
 from ragweave.llm import repeats as R
 from ragweave.llm.common import components, materialize, slices
-from ragweave.llm.substring_dedup import _Hashes, word_tokens
 
 #: Prefix occurrences beyond which a shingle is frequent, and the most shingles of that class (the most frequent ones).
 FREQUENT, FREQUENT_MOST = 16, 500_000
 #: Frequent shingles of a prefix up to which their combinations of two are indexed.
 COMBINED = 16
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 
 
-def shingle_sets(texts: list[bytes], words: int, hashes: dict) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as one."""
-    tokens, bounds = word_tokens([t.lower() for t in texts], hashes)
+    tokens, bounds = R.word_tokens(texts, lower=True)
     grams = R.gram_hashes(tokens, words)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= words:
-            out.append(np.unique(grams[a : b - words + 1]))
+            s = np.sort(grams[a : b - words + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
             out.append(R.gram_hashes(tokens[a:b], b - a)[:1])
         else:
@@ -49,6 +49,15 @@ def shingle_sets(texts: list[bytes], words: int, hashes: dict) -> list[np.ndarra
     return out
 
 
+#: Words of 64 bits of a set's bitmap: bit i is the parity of the shingles that fall on i.
+BITMAP = 8
+
+
+def parities(shingles: np.ndarray) -> list[int]:
+    counts = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def _signature(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
@@ -74,18 +83,16 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     least = next(n for n in range(1, 202) if 100 * n >= percent * (n + 1))  # smaller sets are similar to equal ones alone
 
     def sign(batches):
-        hashes = _Hashes()
         for part in slices(batches, "text", _SLICE):
-            sets = shingle_sets(R.raw_texts(part, 1), words, hashes)
+            sets = shingle_sets(R.raw_texts(part, 1), words)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())], ["doc", "n", "sig"])
 
     signed = materialize(rows.mapInArrow(sign, "doc long, n long, sig long"), "signed")
 
     def in_play(batches):
         """Different sets of a slice that can link with another: (signature, set)."""
-        hashes = _Hashes()
         for part in slices(batches, "text", _SLICE):
-            sets = [s for s in shingle_sets(R.raw_texts(part, 1), words, hashes) if len(s) >= least]
+            sets = [s for s in shingle_sets(R.raw_texts(part, 1), words) if len(s) >= least]
             yield list({_signature(s): s for s in sets}.items())
 
     def first_tokens(batches):
@@ -135,16 +142,19 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     def shrink(batches):
         for part in slices(batches, "text", _SLICE):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([R._squeeze.compress(t) for t in R.raw_texts(part, 1)], pa.binary())], ["sig", "z"])
+            raw = R.raw_texts(part, 1)
+            bits = [parities(s) for s in shingle_sets(raw, words)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([R._squeeze.compress(t) for t in raw], pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["sig", "z", "bits"])
 
-    texts = materialize(rows.join(keeper, "doc").select("sig", "text").mapInArrow(shrink, "sig long, z binary"), "texts")
+    texts = materialize(rows.join(keeper, "doc").select("sig", "text").mapInArrow(shrink, "sig long, z binary, bits array<long>"), "texts")
+    bits = texts.select("sig", *(F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP)))
 
     def overlap(batches):
-        hashes, known = _Hashes(), OrderedDict()
+        known = OrderedDict()
 
         def get(sig, z):
             if (s := known.get(sig)) is None:
-                s = known[sig] = shingle_sets([R._open.decompress(z)], words, hashes)[0]
+                s = known[sig] = shingle_sets([R._open.decompress(z)], words)[0]
                 if len(known) > 256:
                     known.popitem(last=False)
             return s
@@ -166,36 +176,25 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         return materialize(x.mapInArrow(overlap, "a long, b long, both long, either long"), name)
 
     linked = F.col("both") * 100 >= F.col("either") * percent
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(BITMAP)), F.lit(0))
+    close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
+
     classed = groups.withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-12)))
-    pivots = classed.where("wide").groupBy("key", "class").agg(F.min("sig").alias("b"))
-    stars = verify(classed.join(pivots, ["key", "class"]).where("sig <> b").select(F.greatest("sig", "b").alias("a"), F.least("sig", "b").alias("b")), "stars")
-    links = stars.where(linked).select("a", "b")
+    pivots = classed.where("wide").groupBy("key", "class").agg(F.min("sig").alias("pivot"))
+    stars = classed.join(pivots, ["key", "class"]).where("sig <> pivot").select("sig", "pivot").distinct()
+    sized = materialize(groups.select("sig", "n").distinct().join(bits, "sig"), "sized")
+    x, y = sized.alias("x"), sized.alias("y")
+    near = stars.join(x, F.col("x.sig") == stars.sig).join(y, (F.col("y.sig") == stars.pivot) & close)
+    links = verify(near.select(stars.sig.alias("a"), stars.pivot.alias("b")), "stars").where(linked).select("a", "b")
     label = components(links)
 
-    # Radii of the components around their smallest member.
-    spokes = verify(label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).join(stars.where(linked), ["a", "b"], "left_anti"), "spokes")
-    spokes = spokes.union(stars.where(linked).join(label.select(F.col("node").alias("a"), F.col("label").alias("b")), ["a", "b"], "left_semi"))
-    radius = spokes.groupBy("b").agg(F.max(1 - F.col("both") / F.col("either")).alias("r"))
-    placed = groups.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "n", "wide", F.coalesce("label", "sig").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    placed = materialize(placed.join(split, "key"), "placed")
-
-    def sides(df: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-        return tuple(df.select("key", *(F.col(c).alias(f"{c}{s}") for c in more)) for s in "12")
-
-    # Components that meet in an entry, by the range of their sizes there, then by the distance of their smallest members.
-    spans = placed.groupBy("key", "comp").agg(F.min("n").alias("from"), F.max("n").alias("to"), F.max("wide").alias("wide"))
-    one, two = sides(spans, "comp", "from", "to", "wide")
-    meet = one.join(two, "key").where("comp1 > comp2 and (wide1 or wide2)").where(F.expr(f"to1 * 100 >= from2 * {percent} and to2 * 100 >= from1 * {percent}"))
-    apart = verify(meet.select(F.col("comp1").alias("a"), F.col("comp2").alias("b")), "apart")
-    known = apart.join(radius.select(F.col("b").alias("a"), F.col("r").alias("ra")), "a", "left").join(radius.select("b", F.col("r").alias("rb")), "b", "left")
-    slack = F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))
-    open_ = known.where((slack > 0) & ~linked & (1 - F.col("both") / F.col("either") <= F.lit(1 - percent / 100 + 1e-9) + slack)).select(F.col("a").alias("comp1"), F.col("b").alias("comp2"))
-    one, two = sides(placed, "comp", "sig", "n", "wide")
-    pairs = one.join(open_, "comp1").join(two, ["key", "comp2"]).where("wide1 or wide2").withColumnsRenamed({"n1": "na", "n2": "nb"}).where(near)
-    late = verify(pairs.select(F.col("sig1").alias("a"), F.col("sig2").alias("b")), "late")
-    final = components(links.union(apart.where(linked).select("a", "b")).union(late.where(linked).select("a", "b")))
+    placed = groups.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "wide", F.coalesce("label", "sig").alias("comp"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("wide").alias("any")).where("lo <> hi and any").select("key")
+    placed = materialize(placed.join(split, "key").join(sized, "sig"), "placed")
+    x, y = placed.alias("x"), placed.alias("y")
+    meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.wide") | F.col("y.wide")) & close)
+    late = verify(meet.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")), "late")
+    final = components(links.union(late.where(linked).select("a", "b")))
 
     whole = signed.join(final.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("comp", F.coalesce("label", "sig"))
     smallest = whole.where("n > 0").groupBy("comp").agg(F.min("doc").alias("first"))

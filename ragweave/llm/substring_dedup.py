@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,24 +18,7 @@ from ragweave.llm import repeats as R
 from ragweave.llm.common import buckets, slices
 
 WINDOW = 50
-_SLICE = 4 << 20
-
-
-class _Hashes(dict):
-    """Hash of a word, kept up to a size."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
-def word_tokens(texts: list[bytes], hashes: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts in a row and the bounds of each; words are runs other than the six ASCII white spaces."""
-    split = [x.split() for x in texts]
-    bounds = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-    return np.fromiter((hashes[w] for words in split for w in words), np.uint64, int(bounds[-1])), bounds
+_SLICE = 2 << 20
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -52,9 +34,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     gram = window // 2
 
     def read(batches):
-        hashes = _Hashes()
         for part in slices(batches, "text", _SLICE):
-            yield np.asarray(part.column(0), dtype=np.int64), *word_tokens(R.raw_texts(part, 1), hashes)
+            yield np.asarray(part.column(0), dtype=np.int64), *R.word_tokens(R.raw_texts(part, 1))
 
     mapper, reducer = R.candidates(read, gram, window, n, within=False)
 
@@ -77,10 +58,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         return R.packed_rows(out)
 
     def extend(batches):
-        hashes, found, size = _Hashes(), [], 0
+        found, size = [], 0
         for part in slices(batches, "text", _SLICE):
             ids = np.asarray(part.column(0), dtype=np.int64)
-            tokens, bounds = word_tokens(R.raw_texts(part, 1), hashes)
+            tokens, bounds = R.word_tokens(R.raw_texts(part, 1))
             _, first, last, doc, anchor = R.anchor_spans(tokens, bounds, gram, window)
             keep = R.surviving(doc, anchor, part.column(2).to_pylist())
             at, which = R.expand(first[keep], last[keep])
@@ -106,14 +87,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     marks = R.exchange(survivors.mapInArrow(extend, R.PACKED), n, compare, np.uint32)
 
     def finish(batches):
-        hashes = _Hashes()
         for part in slices(batches, "text", _SLICE):
             counts, removed, kept = [], [], []
             for x, hits in zip(R.raw_texts(part, 1), part.column(2).to_pylist()):
                 words = x.split()
                 counts.append(len(words))
                 if hits:
-                    tokens = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
+                    tokens, _ = R.word_tokens([x])
                     windows = R.gram_hashes(tokens, window)[: max(0, len(words) - window + 1)]
                     marked = np.frombuffer(hits, np.uint32)
                     starts = np.flatnonzero(np.isin(windows, windows[marked]))
