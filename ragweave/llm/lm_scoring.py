@@ -14,7 +14,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,8 @@ TRAIN_TEXTS, TRAIN_WINDOWS, STEPS, BATCH = 1500, 12_000, 150, 192
 _SLOTS, _MULTIPLY, _LONGEST = 17, np.uint64(0x9E3779B97F4A7C15), 7
 _MASKS = [np.uint64((1 << (8 * n)) - 1) for n in range(_LONGEST + 1)]
 ADD = 0.1
+#: White space to spaces, A-Z to a-z.
+_FOLD = bytes(32 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 class Subwords:
@@ -56,28 +57,32 @@ class Subwords:
 
     def split(self, text: bytes) -> np.ndarray:
         """Ids of words that each follow one space; a word's first piece holds its space."""
+        at = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+        return self.split_at(text, at, np.append(at[1:], len(text)))[0]
+
+    def split_at(self, text: bytes, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their places of the words in text[at:ends], all words a piece further at a time."""
         n = len(text)
         if not n:
-            return np.zeros(0, np.int32)
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         data = np.frombuffer(text + bytes(8), np.uint8)
         eight = np.ndarray((n,), np.uint64, data, 0, (1,))
-        at = np.flatnonzero(data[:n] == 32)
-        ends = np.append(at[1:], n)
         out = np.zeros(n, np.int32)
         while len(at):
-            raw = eight[at]
+            raw, room = eight[at], ends - at
             size, ids = np.ones(len(at), np.int64), data[at].astype(np.int32)
             for length in range(2, _LONGEST + 1):
                 key = raw & _MASKS[length]
                 slot = self._slots(key)
-                hit = (self.keys[slot] == key) & (at + length <= ends)
+                hit = np.flatnonzero((self.keys[slot] == key) & (room >= length))
                 size[hit] = length
                 ids[hit] = self.ids[slot[hit]]
             out[at] = ids + 1
             at = at + size
             more = at < ends
             at, ends = at[more], ends[more]
-        return out[out > 0] - 1
+        places = np.flatnonzero(out)
+        return out[places] - 1, places
 
 
 @lru_cache(maxsize=2)
@@ -202,23 +207,26 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
         row = TaskContext.get().partitionId() << 32
         for part in slices(batches, "text", 4 << 20):
             held = np.asarray(part.column(1).to_numpy(zero_copy_only=False), dtype=bool)
-            index: dict[bytes, int] = {}
-            words = [x.lower().split() for x in R.raw_texts(part, 2)]
-            bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-            flat = np.fromiter((index.setdefault(w, len(index)) for ws in words for w in ws), np.int64, int(bounds[-1]))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
-            doc = np.repeat(np.arange(len(words)), np.diff(bounds))
-            train = np.bincount(flat[~held[doc]], minlength=len(index)).astype(np.uint32)
-            pairs, times = np.unique(flat * len(words) + doc, return_counts=True)
-            word, of = pairs // max(1, len(words)), (pairs % max(1, len(words))).astype(np.uint32)
+            raw = R.raw_texts(part, 2)
+            sizes = [0, *map(len, raw)]
+            text = b" ".join([b"", *raw, b""]).translate(_FOLD)
+            tokens, bounds, first, last = R.words_in(text, sizes)
+            bounds = bounds[1:]
+            hashes, flat = np.unique(tokens, return_inverse=True)
+            doc = np.repeat(np.arange(len(raw)), np.diff(bounds))
+            train = np.bincount(flat[~held[doc]], minlength=len(hashes)).astype(np.uint32)
+            pairs, times = np.unique(flat * len(raw) + doc, return_counts=True)
+            word, of = pairs // len(raw), (pairs % len(raw)).astype(np.uint32)
             part_of = R.bucket_of(hashes, n)
-            ids = [sub.split(b" " + b" ".join(ws) if ws else b"") for ws in words]
-            seen = np.bincount(np.concatenate([np.zeros(0, np.int32), *(i for i, h in zip(ids, held) if not h)]), minlength=sub.size).astype(np.uint32)
+            flat_ids, places = sub.split_at(text, first - 1, last)
+            cuts = np.searchsorted(places, np.cumsum([0, *(x + 1 for x in sizes)]) - 1)[1:]  # a first word holds the space before its text
+            ids = [flat_ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            seen = np.bincount(flat_ids[~np.repeat(held, np.diff(cuts))], minlength=sub.size).astype(np.uint32)
             seen[sub.end] = np.count_nonzero(~held)
             out = []
             by_word, by_pair = np.argsort(part_of, kind="stable"), np.argsort(part_of[word], kind="stable")
             word_cuts, pair_cuts = np.searchsorted(part_of[by_word], np.arange(n + 1)), np.searchsorted(part_of[word][by_pair], np.arange(n + 1))
-            local = np.zeros(len(index), np.int64)
+            local = np.zeros(len(hashes), np.int64)
             for b in range(n):
                 mine, posts = by_word[word_cuts[b] : word_cuts[b + 1]], by_pair[pair_cuts[b] : pair_cuts[b + 1]]
                 local[mine] = np.arange(len(mine))
@@ -226,7 +234,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             m = len(out)
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip((*[[x[0] for x in out]], [row] * m, *([x[i] for x in out] for i in (1, 2, 3))), kinds)), pa.nulls(m, part.column(0).type), pa.array(held[:0].tolist() + [None] * m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], NAMES)
-            m = len(words)
+            m = len(raw)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.array(row + np.arange(m)), *[pa.nulls(m, pa.binary())] * 3, part.column(0), pa.array(held), pa.array(np.diff(bounds) + 1), pa.array([np.append(i, sub.end).astype(np.uint16).tobytes() for i in ids], pa.binary())], NAMES)
             row += m
 
@@ -280,7 +288,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
                     if sums is not None:
                         docs = np.concatenate([s[0] for s in sums])
                         unique, which = np.unique(docs, return_inverse=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(now + unique.astype(np.int64)), *(pa.array(np.bincount(which, np.concatenate([s[i] for s in sums]), len(unique))) for i in (1, 2))], ["row", "known", "logs"])
+                        yield pa.RecordBatch.from_arrays([pa.array(now + unique.astype(np.int64)), *(pa.array(np.bincount(which, np.concatenate([s[i] for s in sums]), len(unique)).astype(np.float64)) for i in (1, 2))], ["row", "known", "logs"])
                     now, sums = row, []
                 if data is not None:
                     sums.append(R.unpack(data, np.uint32, np.uint32, np.float64))
@@ -288,7 +296,8 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     replies = answers.where("row >= 0").repartition(n, "row").sortWithinPartitions("row").mapInArrow(gather, "row long, known double, logs double")
 
     texts = taken.where("bucket is null").select("row", "_key", "_held", "n_tokens", "ids")
-    sample = texts.where(~F.col("_held")).orderBy(F.xxhash64("ids"), "row").limit(TRAIN_TEXTS).select("ids").collect()
+    chosen = texts.where(~F.col("_held")).select("row").orderBy(F.xxhash64("row"), "row").limit(TRAIN_TEXTS)
+    sample = texts.join(F.broadcast(chosen), "row").orderBy("row").select("ids").collect()  # TRAIN_TEXTS rows
     classes = classes_of(seen)
     mass = np.bincount(classes, seen + ADD, CLASSES)
     within = np.log((seen + ADD) / mass[classes])

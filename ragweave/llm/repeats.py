@@ -32,26 +32,32 @@ _LOWER[65:91] = _VALUES[97:123]
 
 
 def word_tokens(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in a row, and where each text's begin and end.
+    """Hashes of all words of all texts in a row, and where each text's begin and end."""
+    return words_in(b" ".join([*texts, b""]), [len(t) for t in texts], lower)[:2]
+
+
+def words_in(raw: bytes, sizes: list[int], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, bounds, first byte of each word, byte after each word) of texts of these sizes that each end in one space.
 
     Words are runs of bytes other than the six ASCII white spaces; lower hashes A-Z as a-z. A word's hash is the sum of
     a random number for each byte times a power for its place in the word, mixed.
     """
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    data = np.frombuffer(raw, np.uint8)
     values = (_LOWER if lower else _VALUES)[data]
     blank = values == 0
     first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(data) else np.zeros(0, np.int64)
-    edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    edges = np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64) + 1)]).astype(np.int64)
     bounds = np.searchsorted(first, edges)
     if not len(first):
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), bounds, first, first
+    last = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
     gaps = np.diff(np.append(first, len(data)))
     place = np.arange(first[0], len(data)) - np.repeat(first, gaps)
     powers = np.full(int(gaps.max()), _A | np.uint64(1))
     powers[0] = 1
     np.cumprod(powers, out=powers)
     values = values[first[0] :] * powers[place]
-    return mix(np.add.reduceat(values, first - first[0]), np.uint64(7)), bounds
+    return mix(np.add.reduceat(values, first - first[0]), np.uint64(7)), bounds, first, last
 
 
 def gram_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
