@@ -161,19 +161,20 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
         for part in batches:
             both, either = [], []
-            for a, b, za, zb in zip(*(part.column(i).to_pylist() for i in range(4))):
+            for a, b, za, zb in zip(*(part.column(c).to_pylist() for c in ("a", "b", "za", "zb"))):
                 x, y = get(a, za), get(b, zb)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 both.append(shared)
                 either.append(len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
+            names = [c for c in part.schema.names if c not in ("za", "zb")]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(both, pa.int64()), pa.array(either, pa.int64())], [*names, "both", "either"])
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, both, either) of the distinct pairs."""
-        pairs = pairs.distinct()
+        """The distinct pairs (a, b and what else they hold) with the numbers of their shared and united shingles."""
+        names, pairs = pairs.columns, pairs.distinct()
         x = pairs.join(texts.select(F.col("sig").alias("a"), F.col("z").alias("za")), "a")
-        x = x.join(texts.select(F.col("sig").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb")
-        return materialize(x.mapInArrow(overlap, "a long, b long, both long, either long"), name)
+        x = x.join(texts.select(F.col("sig").alias("b"), F.col("z").alias("zb")), "b").select(*names, "za", "zb")
+        return materialize(x.mapInArrow(overlap, ", ".join(f"{c} long" for c in (*names, "both", "either"))), name)
 
     linked = F.col("both") * 100 >= F.col("either") * percent
     differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(BITMAP)), F.lit(0))
@@ -193,8 +194,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     placed = materialize(placed.join(split, "key").join(sized, "sig"), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.wide") | F.col("y.wide")) & close)
-    late = verify(meet.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")), "late")
-    final = components(links.union(late.where(linked).select("a", "b")))
+    late = verify(meet.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")), "late")
+    # Links between components are links between their labels; as few as there are such pairs of components.
+    merged = components(late.where(linked).select("ca", "cb").distinct(), "ca", "cb").select("node", F.col("label").alias("top"))
+    nodes = label.select("node", "label").union(late.where(linked).select("ca", "ca").union(late.where(linked).select("cb", "cb"))).distinct()
+    final = nodes.join(merged.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
 
     whole = signed.join(final.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("comp", F.coalesce("label", "sig"))
     smallest = whole.where("n > 0").groupBy("comp").agg(F.min("doc").alias("first"))
