@@ -4,7 +4,7 @@ One pass over the texts splits them into words and subword ids, and asks for the
 in packed parts, so that counting needs neither a row for each word nor a vocabulary on the driver. Subwords are the
 longest matching pieces of a fixed public vocabulary. The model predicts a class of the next id from a window of ids
 (attention weights learned in numpy from a bounded sample of training texts) and the id within its class from the
-training corpus's counts of all ids. Long texts are cut into overlapping windows; every token is scored once, with
+counts, over the whole training corpus, of ids after each of BUCKETS groups of ids. Long texts are cut into overlapping windows; every token is scored once, with
 at least OVERLAP tokens before it but at the start.
 """
 
@@ -24,7 +24,9 @@ from ragweave.llm.sentencepiece_codec import MARK, default_model
 
 WIDTH, CLASSES, SPAN, OVERLAP = 16, 64, 32, 8
 #: Texts and windows the attention weights are learned from, and steps of learning.
-TRAIN_TEXTS, TRAIN_WINDOWS, STEPS, BATCH = 1500, 12_000, 150, 192
+TRAIN_TEXTS, TRAIN_WINDOWS, STEPS, BATCH = 5000, 120_000, 1500, 192
+#: Groups of ids, by hash, whose followers are counted; the weight of the class's own distribution in a group's.
+BUCKETS, SMOOTH = 1024, 2.0
 _SLOTS, _MULTIPLY, _LONGEST = 17, np.uint64(0x9E3779B97F4A7C15), 7
 _MASKS = [np.uint64((1 << (8 * n)) - 1) for n in range(_LONGEST + 1)]
 ADD = 0.1
@@ -189,6 +191,23 @@ def classes_of(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def group_of(ids: np.ndarray) -> np.ndarray:
+    return ids.astype(np.int64) * 40503 % 65536 * BUCKETS // 65536
+
+
+def within_classes(keys: np.ndarray, counts: np.ndarray, classes: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """log P(id | its class, group of the id before), BUCKETS by ids, in half precision; keys are group * ids + id."""
+    size = len(seen)
+    own = (seen + ADD) / np.bincount(classes, seen + ADD, CLASSES)[classes]
+    out = np.zeros((BUCKETS, size), dtype=np.float16)
+    cuts = np.searchsorted(keys, np.arange(BUCKETS + 1) * size)
+    for b in range(BUCKETS):
+        row = np.zeros(size)
+        row[keys[cuts[b] : cuts[b + 1]] - b * size] = counts[cuts[b] : cuts[b + 1]]
+        out[b] = np.log((row + SMOOTH * own) / (np.bincount(classes, row, CLASSES)[classes] + SMOOTH))
+    return out
+
+
 def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", model_path: str | None = None) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -221,8 +240,10 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             flat_ids, places = sub.split_at(text, first - 1, last)
             cuts = np.searchsorted(places, np.cumsum([0, *(x + 1 for x in sizes)]) - 1)[1:]  # a first word holds the space before its text
             ids = [flat_ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-            seen = np.bincount(flat_ids[~np.repeat(held, np.diff(cuts))], minlength=sub.size).astype(np.uint32)
-            seen[sub.end] = np.count_nonzero(~held)
+            follow = np.concatenate([[sub.end], *(np.append(i, sub.end) for i, h in zip(ids, held) if not h)])
+            pair, often = np.unique(group_of(follow[:-1]) * sub.size + follow[1:], return_counts=True)
+            pair, often = pair.astype(np.uint32), often.astype(np.uint32)
+            pair_of = pair % n
             out = []
             by_word, by_pair = np.argsort(part_of, kind="stable"), np.argsort(part_of[word], kind="stable")
             word_cuts, pair_cuts = np.searchsorted(part_of[by_word], np.arange(n + 1)), np.searchsorted(part_of[word][by_pair], np.arange(n + 1))
@@ -230,7 +251,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             for b in range(n):
                 mine, posts = by_word[word_cuts[b] : word_cuts[b + 1]], by_pair[pair_cuts[b] : pair_cuts[b + 1]]
                 local[mine] = np.arange(len(mine))
-                out.append((b, R.pack(hashes[mine], train[mine]), R.pack(local[word[posts]].astype(np.uint32), of[posts], times[posts].astype(np.uint32)), seen[b::n].tobytes()))
+                out.append((b, R.pack(hashes[mine], train[mine]), R.pack(local[word[posts]].astype(np.uint32), of[posts], times[posts].astype(np.uint32)), R.pack(*(x[pair_of == b] for x in (pair, often)))))
             m = len(out)
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip((*[[x[0] for x in out]], [row] * m, *([x[i] for x in out] for i in (1, 2, 3))), kinds)), pa.nulls(m, part.column(0).type), pa.array(held[:0].tolist() + [None] * m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], NAMES)
@@ -238,8 +259,8 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.array(row + np.arange(m)), *[pa.nulls(m, pa.binary())] * 3, part.column(0), pa.array(held), pa.array(np.diff(bounds) + 1), pa.array([np.append(i, sub.end).astype(np.uint16).tobytes() for i in ids], pa.binary())], NAMES)
             row += m
 
-    NAMES = ["bucket", "row", "words", "posts", "seen", "_key", "_held", "n_tokens", "ids"]
-    taken = materialize(rows.mapInArrow(split, f"bucket int, row long, words binary, posts binary, seen binary, _key {kind_of_key}, _held boolean, n_tokens long, ids binary"), "split")
+    NAMES = ["bucket", "row", "words", "posts", "pairs", "_key", "_held", "n_tokens", "ids"]
+    taken = materialize(rows.mapInArrow(split, f"bucket int, row long, words binary, posts binary, pairs binary, _key {kind_of_key}, _held boolean, n_tokens long, ids binary"), "split")
 
     def count(batches):
         now, found = None, []
@@ -264,19 +285,25 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             known = np.bincount(which, times * (counts[mine[local]] > 0), len(docs))
             rows.append(r["row"])
             data.append(R.pack(docs.astype(np.uint32), known.astype(np.uint32), np.bincount(which, times * logs[mine[local]], len(docs))))
-        seen = np.sum([np.frombuffer(r["seen"], np.uint32).astype(np.int64) for r in found], axis=0)
-        total = R.pack(np.asarray([bucket, int(counts.sum()), int((counts > 0).sum()), *seen.tolist()], dtype=np.int64))
+        pair, often = (np.concatenate(x) for x in zip(*(R.unpack(r["pairs"], np.uint32, np.uint32) for r in found)))
+        pair, which = np.unique(pair, return_inverse=True)
+        often = np.bincount(which, often, len(pair))
+        total = R.pack(*(np.concatenate(x).astype(np.int64) for x in (([counts.sum()], pair), ([(counts > 0).sum()], often))))
         return pa.RecordBatch.from_arrays([pa.array([*rows, -1], pa.int64()), pa.array([*data, total], pa.binary())], ["row", "data"])
 
-    asked = taken.where("bucket is not null").select("bucket", "row", "words", "posts", "seen")
+    asked = taken.where("bucket is not null").select("bucket", "row", "words", "posts", "pairs")
     answers = materialize(asked.repartition(n, "bucket").sortWithinPartitions("bucket", "row").mapInArrow(count, "row long, data binary"), "counts")
 
     sub = subwords(path)
-    seen, tokens, distinct = np.zeros(sub.size, dtype=np.int64), 0, 0
-    for r in answers.where("row = -1").collect():  # one row for each bucket, the size of the fixed vocabulary together
-        (total,) = R.unpack(r.data, np.int64)
-        tokens, distinct = tokens + int(total[1]), distinct + int(total[2])
-        seen[int(total[0]) :: n] += total[3:]
+    found, tokens, distinct = [], 0, 0
+    for r in answers.where("row = -1").collect():  # one row for each bucket; together at most BUCKETS x vocabulary counts
+        pair, often = R.unpack(r.data, np.int64, np.int64)
+        tokens, distinct = tokens + int(pair[0]), distinct + int(often[0])
+        found.append((pair[1:], often[1:]))
+    pair, often = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
+    order = np.argsort(pair)
+    pair, often = pair[order], often[order]
+    seen = np.bincount(pair % sub.size, often, sub.size)
     ends = int(seen[sub.end])
     tokens, distinct = tokens + ends, distinct + (ends > 0)
 
@@ -299,13 +326,12 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     chosen = texts.where(~F.col("_held")).select("row").orderBy(F.xxhash64("row"), "row").limit(TRAIN_TEXTS)
     sample = texts.join(F.broadcast(chosen), "row").orderBy("row").select("ids").collect()  # TRAIN_TEXTS rows
     classes = classes_of(seen)
-    mass = np.bincount(classes, seen + ADD, CLASSES)
-    within = np.log((seen + ADD) / mass[classes])
+    within = within_classes(pair, often, classes, seen)
     own = [np.frombuffer(r.ids, np.uint16).astype(np.int64) for r in sample]
     before, target, scored, _ = windows_of(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64), sub.end, np.concatenate([np.zeros(0, np.int64), *own])) if own else (np.zeros((0, SPAN), np.int64),) * 2 + (np.zeros((0, SPAN), bool), None)
     pick = np.random.default_rng(5).permutation(len(before))[:TRAIN_WINDOWS]
     weights = learn(before[pick], classes[target[pick]], scored[pick], sub.size)
-    sent = spark.sparkContext.broadcast((weights, classes, within.astype(np.float32), sub.end))
+    sent = spark.sparkContext.broadcast((weights, classes, within, sub.end))  # of the fixed vocabulary's size
 
     def score(batches):
         weights, classes, within, end = sent.value
@@ -316,8 +342,8 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             before, target, scored, text = windows_of(bounds, end, ids)
             total = np.zeros(len(own))
             for a in range(0, len(before), 1024):
-                y = target[a : a + 1024]
-                logs = log_classes(weights, before[a : a + 1024], classes[y]) + within[y]
+                x, y = before[a : a + 1024], target[a : a + 1024]
+                logs = log_classes(weights, x, classes[y]) + within[group_of(x), y]
                 total += np.bincount(text[a : a + 1024], np.where(scored[a : a + 1024], logs, 0).sum(axis=1, dtype=np.float64), len(own))
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(total / np.log(10))], ["row", "_key", "_held", "n_tokens", "score"])
 

@@ -73,7 +73,8 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(docs, untaught).collect()} == {"und"}
 
 
-def test_lm_base_against_counts(spark):
+def test_lm_base_against_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEPS", 20)
     texts = awkward(rng(7))
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
     tokens = [[*(t or "").encode().lower().split(), None] for t in texts]
@@ -89,7 +90,8 @@ def test_lm_base_against_counts(spark):
     assert got[texts.index(None)].score == got[texts.index("")].score
 
 
-def test_lm_edges(spark):
+def test_lm_edges(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEPS", 20)
     docs = documents(spark, ["a b", None])
     nothing = lm_scoring.score_texts(docs, F.lit(True)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in nothing] == [(3, 0, 0), (1, 0, 0)]
@@ -106,7 +108,33 @@ def test_lm_windows_score_every_token_once():
     assert (np.searchsorted(bounds, target[scored], "right") - 1 == np.repeat(text, scored.sum(axis=1))).all()
 
 
-def test_lm_is_causal_and_learns():
+def test_lm_within_classes_sums_to_one():
+    r = np.random.default_rng(1)
+    size = 90
+    counts = np.where(r.random(lm_scoring.BUCKETS * size) < 0.05, r.integers(1, 9, lm_scoring.BUCKETS * size), 0)
+    keys = np.flatnonzero(counts)
+    seen = counts.reshape(-1, size).sum(axis=0)
+    classes = lm_scoring.classes_of(seen)
+    p = np.exp(lm_scoring.within_classes(keys, counts[keys], classes, seen).astype(float))
+    for b in (0, 5, lm_scoring.BUCKETS - 1):
+        sums = np.bincount(classes, p[b], lm_scoring.CLASSES)
+        assert np.allclose(sums[sums > 0], 1, atol=0.02)
+
+
+def test_lm_beats_counts_of_single_subwords(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEPS", 150)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = lm_scoring.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).collect()
+    sub = lm_scoring.subwords(sentencepiece_codec.default_model())
+    texts = {r.doc_id: [*sub.split(b"".join(b" " + w for w in r.text.encode().lower().split())).tolist(), sub.end] for r in docs.collect()}
+    c = Counter(i for r in rows if not r.held_out for i in texts[r.doc_id])
+    total = sum(c.values()) + 0.1 * sub.size
+    single = sum(math.log10((c[i] + 0.1) / total) for r in rows if r.held_out for i in texts[r.doc_id])
+    assert sum(r.score for r in rows if r.held_out) > 0.85 * single
+
+
+def test_lm_is_causal_and_learns(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEPS", 200)
     r = np.random.default_rng(0)
     ids = np.tile(np.arange(8), 3000)
     before, target, scored, _ = lm_scoring.windows_of(np.asarray([0, len(ids)]), 8, ids)
