@@ -41,6 +41,12 @@ def crc_mod(col, mod: int):
     """crc32 of an id written as text, modulo mod."""
     return F.crc32(col.cast("string").cast("binary")) % mod
 
+def share_by_hash(order, rows, wanted: int):
+    """Condition that leaves about four times the wanted rows of `rows`, by hash: sorts and limits after it stay small
+    however many partitions the table has. Fewer rows than that all stay."""
+    return F.pmod(order, F.lit(1 << 30)) < F.lit(4.0 * wanted * (1 << 30)) / rows
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's strings; null counts as the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

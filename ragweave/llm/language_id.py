@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragweave.llm.common import map_slices, texts_of
+from ragweave.llm.common import map_slices, share_by_hash, texts_of
 from ragweave.llm.sentencepiece_codec import MARK, default_model
 
 #: Labelled rows of each language that are fitted (the ones of smallest hash), words kept of each, rounds of fitting.
@@ -141,7 +141,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     pieces, automaton = vocabulary(path)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.xxhash64(text) if order is None else order).alias("o"))
     by = W.Window.partitionBy("lang").orderBy("o")
-    sample = rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= SAMPLE_ROWS).select("lang", "text")
+    sizes = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("rows"))  # a row for each language
+    some = rows.join(F.broadcast(sizes), "lang").where(share_by_hash(F.col("o"), F.col("rows"), SAMPLE_ROWS))
+    sample = some.withColumn("n", F.row_number().over(by)).where(F.col("n") <= SAMPLE_ROWS).select("lang", "text")
 
     def count(batches):
         from collections import Counter

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.llm import repeats as R
-from ragweave.llm.common import buckets, materialize, slices
+from ragweave.llm.common import buckets, materialize, share_by_hash, slices
 from ragweave.llm.sentencepiece_codec import MARK, default_model
 
 WIDTH, CLASSES, SPAN, OVERLAP = 16, 64, 32, 8
@@ -323,7 +323,8 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     replies = answers.where("row >= 0").repartition(n, "row").sortWithinPartitions("row").mapInArrow(gather, "row long, known double, logs double")
 
     texts = taken.where("bucket is null").select("row", "_key", "_held", "n_tokens", "ids")
-    chosen = texts.where(~F.col("_held")).select("row").orderBy(F.xxhash64("row"), "row").limit(TRAIN_TEXTS)
+    some = share_by_hash(F.xxhash64("row"), F.lit(max(1, ends)), TRAIN_TEXTS)
+    chosen = texts.where(~F.col("_held") & some).select("row").orderBy(F.xxhash64("row"), "row").limit(TRAIN_TEXTS)
     sample = texts.join(F.broadcast(chosen), "row").orderBy("row").select("ids").collect()  # TRAIN_TEXTS rows
     classes = classes_of(seen)
     within = within_classes(pair, often, classes, seen)

@@ -101,8 +101,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             tokens, counts = np.unique(tokens, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(counts)], ["token", "n"])
 
-    counted = rows.mapInArrow(first_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT)
-    top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token").toArrow()
+    counted = materialize(rows.mapInArrow(first_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT), "frequent")
+    if (many := counted.count()) > FREQUENT_MOST:
+        counted = counted.where(F.col("n") > counted.agg(F.percentile_approx("n", 1 - FREQUENT_MOST / many, 100_000)).first()[0])
+    top = counted.select("token").limit(FREQUENT_MOST).toArrow()
     frequent = np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
 

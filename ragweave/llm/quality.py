@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragweave.llm.common import map_slices
+from ragweave.llm.common import map_slices, share_by_hash
 from ragweave.llm.repeats import raw_texts
 
 #: Labelled rows that are fitted: those of smallest hash.
@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id"
 
     Labels of a document that is labelled repeatedly are averaged (a half or more counts as 1); null labels do not count.
     """
-    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & allowed).groupBy(key).agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
+    some = share_by_hash(F.xxhash64(key), F.lit(max(1, labels.count())), FIT_ROWS)
+    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & allowed & some).groupBy(key).agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
     chosen = marked.orderBy(F.xxhash64(key), key).limit(FIT_ROWS)
     rows = docs.select(F.col(key), F.col(text)).join(F.broadcast(chosen), key)  # at most FIT_ROWS rows
     found = _stats(rows, [key, "_y"], text).collect()
