@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,10 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
         shared_dir.own = at
     return at.rstrip("/")
 
+_folders: set[str] = set()
+
+
+def _drop(jvm, conf, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    The tables of an application share one folder there, which goes when the driver's Python ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = f"{shared_dir(spark)}/ragweave-{context.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_drop, context._jvm, context._jsc.hadoopConfiguration(), folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
