@@ -7,7 +7,7 @@ not pay indexes these alone, and then the others add theirs to meet it. Which sh
 all prefixes; it changes the cost, never the result.
 
 Sets that share an index entry are not paired off. Equal sets are one class from the start. In each entry all sets of
-like size are verified against one of them; what links is one component. Then only sets of different components that
+like size are verified against a central one of them; what links is one component. Then only sets of different components that
 share an entry can still link. Before texts are fetched, bitmaps of the sets' parities must be close: their Hamming
 distance is at most the number of shingles in which the sets differ, so no link between different sets is lost.
 """
@@ -30,6 +30,8 @@ from ragweave.llm.common import components, materialize, slices
 FREQUENT, FREQUENT_MOST = 16, 500_000
 #: Frequent shingles of a prefix up to which their combinations of two are indexed.
 COMBINED = 16
+#: Rounds in which all sets of an entry are compared with one more central set of it, before the pairs that are left.
+STARS = 3
 _SLICE = 2 << 20
 
 
@@ -182,18 +184,29 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(BITMAP)), F.lit(0))
     close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
 
-    classed = groups.withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-12)))
-    pivots = classed.where("wide").groupBy("key", "class").agg(F.min("sig").alias("pivot"))
-    stars = classed.join(pivots, ["key", "class"]).where("sig <> pivot").select("sig", "pivot").distinct()
+    # The set with the most shared entries is central to its near copies: the text they were made from, or close to it.
+    central = groups.groupBy("sig").agg(F.count("*").alias("met"))
     sized = materialize(groups.select("sig", "n").distinct().join(bits, "sig"), "sized")
     x, y = sized.alias("x"), sized.alias("y")
-    near = stars.join(x, F.col("x.sig") == stars.sig).join(y, (F.col("y.sig") == stars.pivot) & close)
-    links = verify(near.select(stars.sig.alias("a"), stars.pivot.alias("b")), "stars").where(linked).select("a", "b")
-    label = components(links)
-
-    placed = groups.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "wide", F.coalesce("label", "sig").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("wide").alias("any")).where("lo <> hi and any").select("key")
-    placed = materialize(placed.join(split, "key").join(sized, "sig"), "placed")
+    classed = materialize(groups.join(central, "sig").withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-12))), "classed")
+    left, links, centers, done = classed.withColumn("comp", F.col("sig")), None, None, None
+    for turn in range(STARS):
+        fresh = left.where("wide") if done is None else left.where("wide").join(done, ["key", "class", "comp"], "left_anti")
+        pivots = materialize(fresh.groupBy("key", "class").agg(F.max(F.struct("met", "sig", "comp")).alias("p")).select("key", "class", "p.sig", "p.comp"), "pivots")
+        both = left.select("key", "sig", "comp", F.explode(F.array("class", F.col("class") - 1)).alias("class"))
+        stars = both.join(pivots.select("key", "class", F.col("sig").alias("pivot"), F.col("comp").alias("center")), ["key", "class"]).where("comp <> center").select("sig", "pivot").distinct()
+        near = stars.join(x, F.col("x.sig") == stars.sig).join(y, (F.col("y.sig") == stars.pivot) & close)
+        found = verify(near.select(stars.sig.alias("a"), stars.pivot.alias("b")), "stars").where(linked).select("a", "b")
+        links = found if links is None else links.union(found)
+        label = components(links)
+        named = label.withColumnRenamed("node", "sig")
+        left = classed.join(named, "sig", "left").withColumn("comp", F.coalesce("label", "sig")).drop("label")
+        split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("wide").alias("any")).where("lo <> hi and any").select("key")
+        left = materialize(left.join(split, "key"), "left")
+        centers = pivots.select("key", "class", "sig") if centers is None else centers.union(pivots.select("key", "class", "sig"))
+        done = centers.join(named, "sig", "left").select("key", "class", F.coalesce("label", "sig").alias("comp")).distinct()
+
+    placed = materialize(left.select("key", "sig", "wide", "comp").join(sized, "sig"), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.wide") | F.col("y.wide")) & close)
     late = verify(meet.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")), "late")
