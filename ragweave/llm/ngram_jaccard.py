@@ -190,13 +190,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     x, y = sized.alias("x"), sized.alias("y")
     classed = materialize(groups.join(central, "sig").withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-12))), "classed")
     left, links, centers, done = classed.withColumn("comp", F.col("sig")), None, None, None
-    for turn in range(STARS):
+    for _ in range(STARS):
         fresh = left.where("wide") if done is None else left.where("wide").join(done, ["key", "class", "comp"], "left_anti")
         pivots = materialize(fresh.groupBy("key", "class").agg(F.max(F.struct("met", "sig", "comp")).alias("p")).select("key", "class", "p.sig", "p.comp"), "pivots")
         both = left.select("key", "sig", "comp", F.explode(F.array("class", F.col("class") - 1)).alias("class"))
         stars = both.join(pivots.select("key", "class", F.col("sig").alias("pivot"), F.col("comp").alias("center")), ["key", "class"]).where("comp <> center").select("sig", "pivot").distinct()
         near = stars.join(x, F.col("x.sig") == stars.sig).join(y, (F.col("y.sig") == stars.pivot) & close)
         found = verify(near.select(stars.sig.alias("a"), stars.pivot.alias("b")), "stars").where(linked).select("a", "b")
+        if links is not None and found.isEmpty():
+            break
         links = found if links is None else links.union(found)
         label = components(links)
         named = label.withColumnRenamed("node", "sig")
