@@ -14,12 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 #: Text bytes worked on at once in a Python worker.
 SLICE_BYTES = 8 << 20
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
         shared_dir.own = at
     return at.rstrip("/")
 
+
 _folders: set[str] = set()
 
 
@@ -50,16 +54,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_drop, context._jvm, context._jsc.hadoopConfiguration(), folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.ragweave_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing to come reads."""
+    if path := getattr(df, "ragweave_path", None):
+        context = df.sparkSession.sparkContext
+        _drop(context._jvm, context._jsc.hadoopConfiguration(), path)
+
 
 def buckets(spark: SparkSession) -> int:
     """How many parts a packed exchange is cut into; follows the session's shuffle parallelism."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+
 def crc_mod(col, mod: int):
     """crc32 of an id written as text, modulo mod."""
     return F.crc32(col.cast("string").cast("binary")) % mod
 
+
 def share_by_hash(order, rows, wanted: int):
     """Condition that leaves about four times the wanted rows of `rows`, by hash: sorts and limits after it stay small
     however many partitions the table has. Fewer rows than that all stay."""
@@ -70,6 +86,7 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's strings; null counts as the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
+
 def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about `limit` bytes of text each (one row at least)."""
     for batch in batches:
@@ -86,6 +103,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = S
             total += int(sizes[i]) + 64
         yield batch.slice(start, n - start)
 
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, name: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices; fn maps one slice to one record batch."""
 
@@ -110,6 +128,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         new = materialize(low.join(jump, "low", "left").select("node", "label", F.least("low", F.coalesce("far", "low")).alias("now")), "labels")
+        discard(labels)
         labels = new.select("node", F.col("now").alias("label"))
         if new.where(F.col("label") != F.col("now")).isEmpty():
             return labels

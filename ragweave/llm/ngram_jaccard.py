@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.llm import repeats as R
-from ragweave.llm.common import components, materialize, slices
+from ragweave.llm.common import components, discard, materialize, slices
 
 #: Prefix occurrences beyond which a shingle is frequent, and the most shingles of that class (the most frequent ones).
 FREQUENT, FREQUENT_MOST = 16, 500_000
@@ -140,6 +140,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     entries = materialize(rows.mapInArrow(index, "key long, sig long, n long, wide boolean"), "entries")
     shared = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.max("wide").alias("any")).where("lo <> hi and any").select("key")
     groups = materialize(entries.join(shared, "key").distinct(), "groups")
+    discard(entries)
 
     # The texts of the sets in play, by signature.
     keeper = signed.groupBy("sig").agg(F.min("doc").alias("doc")).join(groups.select("sig").distinct(), "sig")
@@ -202,9 +203,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         links = found if links is None else links.union(found)
         label = components(links)
         named = label.withColumnRenamed("node", "sig")
-        left = classed.join(named, "sig", "left").withColumn("comp", F.coalesce("label", "sig")).drop("label")
+        earlier, left = left, classed.join(named, "sig", "left").withColumn("comp", F.coalesce("label", "sig")).drop("label")
         split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("wide").alias("any")).where("lo <> hi and any").select("key")
         left = materialize(left.join(split, "key"), "left")
+        discard(earlier)
         centers = pivots.select("key", "class", "sig") if centers is None else centers.union(pivots.select("key", "class", "sig"))
         done = centers.join(named, "sig", "left").select("key", "class", F.coalesce("label", "sig").alias("comp")).distinct()
 

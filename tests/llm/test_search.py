@@ -85,3 +85,12 @@ def test_components(spark):
 
 def test_whole_tables(spark):
     assert {r.query_id for r in queries.op7_topk_search(spark, SF).collect()} == set(range(0, 500, 50))
+
+
+def test_discarded_tables_are_gone(spark):
+    import os
+
+    kept, gone = (common.materialize(spark.range(3), n) for n in ("kept", "gone"))
+    common.discard(gone)
+    assert os.path.isdir(kept.ragweave_path) and not os.path.isdir(gone.ragweave_path)
+    common.discard(spark.range(3))
