@@ -248,6 +248,30 @@ def test_secrets_are_masked_whole(spark):
     assert masked_texts(spark, [f"password={long} ok", f"at {cut}", f'secret_key = "{block}" ok']) == ["password=[SECRET] ok", "at [SECRET]\n", 'secret_key = "[SECRET]" ok']
 
 
+def test_secret_forms(spark):
+    cases = {
+        '{"user": "bob", "password": "%s", "port": 1}': "Tr0ub4dor&3",
+        "{'api_key': '%s'}": "9fQ2xLr7TbZ04kWm",
+        '{\\"password\\": \\"%s\\"}': "9fQ2xLr7TbZ04kWm",
+        'config["secret"] = "%s"': "9fQ2xLr7TbZ04kWm",
+        "spring.datasource.primary.hikari.password=%s\nnext": "hV7!kq2Zx9",
+        "password_for_production_db=%s ok": "hV7kq2Zx9Lm4",
+        'token := "%s" ok': "9fQ2xLr7TbZ04kWm",
+        "password          = %s": "hV7kq2Zx9Lm4",
+        "pwd=%s ok": "xK7q",
+        "at postgres://admin:%s@db.host:5432/x ok": "hV7kq2Zx9Lm4",
+        "at redis://:%s@cache ok": "s3Cr9tX&1",
+    }
+    assert masked_texts(spark, [c.replace("%s", v) for c, v in cases.items()]) == [c.replace("%s", "[SECRET]") for c in cases]
+    spared = ['{"password": "changeme"}', "token: the word", "secret = none", "see http://host:8080/a and mail b@c.org", "at postgres://user:${DB_PASSWORD}@host", "spring.datasource.primary.hikari.password=${DB_PASSWORD}"]
+    assert masked_texts(spark, spared) == spared
+
+
+def test_secret_names_take_linear_time(spark):
+    texts = ["password" * 30_000 + " x", "a." * 100_000, "-----BEGIN PRIVATE KEY-----\n" * 3000, "-----BEGIN PRIVATE KEY-----" + "a-" * 50_000, "a://" * 30_000]
+    assert len(masked_texts(spark, texts)) == len(texts)
+
+
 def test_secret_context_is_the_text_around(spark, monkeypatch):
     monkeypatch.setattr(secret_scan, "features", lambda m, left, right: F.struct(F.length(left).alias("l"), F.length(right).alias("r")))
     text = " ".join(f"password=abcdef{i}" for i in range(9))
