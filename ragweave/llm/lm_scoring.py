@@ -3,8 +3,9 @@
 One pass over the texts splits them into words and subword ids, and asks for the corpus counts of its distinct words
 in packed parts, so that counting needs neither a row for each word nor a vocabulary on the driver. Subwords are the
 longest matching pieces of a fixed public vocabulary. The model predicts a class of the next id from a window of ids
-(attention weights learned in numpy from a bounded sample of training texts) and the id within its class from the
-counts, over the whole training corpus, of ids after each of BUCKETS groups of ids. Long texts are cut into overlapping windows; every token is scored once, with
+(attention weights learned in numpy: begun on a sample, then carried over all training texts on the executors, and
+averaged) and the id within its class from the counts, over the whole training corpus, of ids after each id, smoothed
+by those after each of BUCKETS groups of ids. Long texts are cut into overlapping windows; every token is scored once, with
 at least OVERLAP tokens before it but at the start.
 """
 
@@ -23,8 +24,10 @@ from ragweave.llm.common import buckets, materialize, share_by_hash, slices
 from ragweave.llm.sentencepiece_codec import MARK, default_model
 
 WIDTH, CLASSES, SPAN, OVERLAP = 16, 64, 32, 8
-#: Texts and windows the attention weights are learned from, and steps of learning.
+#: Texts and windows the attention weights begin with, and steps of that; all training texts follow.
 TRAIN_TEXTS, TRAIN_WINDOWS, STEPS, BATCH = 5000, 120_000, 1500, 192
+#: Windows in a step over all training texts, its rate, and parts that the weights are summed in.
+ALL_BATCH, ALL_RATE, SUMS = 384, 0.002, 8
 #: Groups of ids, by hash, whose followers are counted; the weight of the class's own distribution in a group's.
 BUCKETS, SMOOTH = 1024, 2.0
 _SLOTS, _MULTIPLY, _LONGEST = 17, np.uint64(0x9E3779B97F4A7C15), 7
@@ -131,44 +134,102 @@ def learn(windows: np.ndarray, targets: np.ndarray, valid: np.ndarray, vocabular
     """Adam on the mean cross-entropy of the classes; deterministic."""
     rng = np.random.default_rng(11)
     w = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in _shapes(vocabulary).items()}
-    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    scale = np.float32(WIDTH**-0.5)
+    adam = Adam(w)
     for step in range(1, STEPS + 1 if len(windows) else 1):
         pick = rng.integers(0, len(windows), min(BATCH, len(windows)))
-        x, y, m = windows[pick], targets[pick], valid[pick]
-        e, q, k, v, s, mixed, hidden = _attend(w, x)
-        z = hidden @ w["U"] + w["b"]
-        z -= z.max(axis=2, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=2, keepdims=True)
-        np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], 2) - 1, 2)
-        dz = p * (m[..., None] / max(1, m.sum())).astype(np.float32)
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"U": flat(hidden).T @ flat(dz), "b": flat(dz).sum(axis=0)}
-        dh = dz @ w["U"].T
-        g["O"] = flat(mixed).T @ flat(dh)
-        dm = dh @ w["O"].T
-        dv = s.transpose(0, 2, 1) @ dm
-        ds = dm @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * scale
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"Q": flat(e).T @ flat(dq), "K": flat(e).T @ flat(dk), "V": flat(e).T @ flat(dv)}
-        de = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-        g["P"] = de.sum(axis=0)
-        g["E"] = np.zeros_like(w["E"])
-        np.add.at(g["E"], x.ravel(), flat(de))
-        rate = 0.02 * min(1.0, step / 10) * (1 - step / (STEPS + 1))
-        for name, grad in g.items():
-            first[name] = 0.9 * first[name] + 0.1 * grad
-            second[name] = 0.99 * second[name] + 0.01 * grad * grad
-            w[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        adam.update(w, gradient(w, windows[pick], targets[pick], valid[pick]), 0.02 * min(1.0, step / 10) * (1 - step / (STEPS + 1)))
     return w
 
 
-def windows_of(bounds: np.ndarray, end: int, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+class Adam:
+    """Running means of gradients and their squares, which scale the steps."""
+
+    def __init__(self, w: dict):
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.step = 0
+
+    def update(self, w: dict, g: dict, rate: float) -> None:
+        self.step += 1
+        for name, grad in g.items():
+            self.first[name] = 0.9 * self.first[name] + 0.1 * grad
+            self.second[name] = 0.99 * self.second[name] + 0.01 * grad * grad
+            w[name] -= (rate * (self.first[name] / (1 - 0.9**self.step)) / (np.sqrt(self.second[name] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+
+
+def gradient(w: dict, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> dict:
+    """Gradient of the mean cross-entropy of the classes y at the positions m of windows x."""
+    scale = np.float32(WIDTH**-0.5)
+    e, q, k, v, s, mixed, hidden = _attend(w, x)
+    z = hidden @ w["U"] + w["b"]
+    z -= z.max(axis=2, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(axis=2, keepdims=True)
+    np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], 2) - 1, 2)
+    dz = p * (m[..., None] / max(1, m.sum())).astype(np.float32)
+    flat = lambda a: a.reshape(-1, a.shape[-1])
+    g = {"U": flat(hidden).T @ flat(dz), "b": flat(dz).sum(axis=0)}
+    dh = dz @ w["U"].T
+    g["O"] = flat(mixed).T @ flat(dh)
+    dm = dh @ w["O"].T
+    dv = s.transpose(0, 2, 1) @ dm
+    ds = dm @ v.transpose(0, 2, 1)
+    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * scale
+    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    g |= {"Q": flat(e).T @ flat(dq), "K": flat(e).T @ flat(dk), "V": flat(e).T @ flat(dv)}
+    de = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
+    g["P"] = de.sum(axis=0)
+    g["E"] = np.zeros_like(w["E"])
+    np.add.at(g["E"], x.ravel(), flat(de))
+    return g
+
+
+def learn_all(texts: DataFrame, w: dict, classes: np.ndarray, end: int) -> tuple[dict, int]:
+    """(w, tokens): w carried over every token of all texts (ids), by each partition from the same start, and averaged
+    with the tokens as weights. Steps grow with the texts; SUMS sets of weights come to the driver."""
+    names, shapes = list(w), {k: v.shape for k, v in w.items()}
+    begun = texts.sparkSession.sparkContext.broadcast((w, classes, end))
+
+    def carry(batches):
+        start, classes, end = begun.value
+        w = {k: v.copy() for k, v in start.items()}
+        adam, tokens = Adam(w), 0
+        for part in slices(batches, "ids", 1 << 20):
+            own = [np.frombuffer(x, np.uint16) for x in part.column(0).to_pylist()]
+            before, target, scored, _ = windows_of(np.cumsum([0, *map(len, own)]), end, np.concatenate(own).astype(np.int64), 0)
+            order = np.random.default_rng(len(before)).permutation(len(before))
+            for a in range(0, len(order), ALL_BATCH):
+                pick = order[a : a + ALL_BATCH]
+                adam.update(w, gradient(w, before[pick], classes[target[pick]], scored[pick]), ALL_RATE * min(1.0, (adam.step + 1) / 50) * len(pick) / ALL_BATCH)
+            tokens += int(scored.sum())
+        if tokens:
+            yield batch(TaskContext.get().partitionId(), tokens, np.concatenate([w[k].ravel() for k in names]).astype(np.float64) * tokens)
+
+    def batch(part, tokens, sums):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tokens], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["part", "tokens", "sums"])
+
+    def add(batches):
+        tokens, sums = 0, 0.0
+        for b in batches:
+            for r in b.to_pylist():
+                tokens, sums = tokens + r["tokens"], sums + np.frombuffer(r["sums"], np.float64)
+        if tokens:
+            yield batch(0, tokens, sums)
+
+    schema = "part int, tokens long, sums binary"
+    carried = texts.select("ids").mapInArrow(carry, schema)
+    found = carried.repartition(SUMS, "part").sortWithinPartitions("part").mapInArrow(add, schema).collect()
+    tokens = sum(r.tokens for r in found)
+    if not tokens:
+        return w, 0
+    mean = (sum(np.frombuffer(r.sums, np.float64) for r in found) / tokens).astype(np.float32)
+    cuts = np.cumsum([0, *(int(np.prod(shapes[k])) for k in names)])
+    return {k: mean[a:b].reshape(shapes[k]) for k, a, b in zip(names, cuts[:-1], cuts[1:])}, tokens
+
+
+def windows_of(bounds: np.ndarray, end: int, ids: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, ...]:
     """(inputs, targets, scored, text) of the overlapping windows of texts whose tokens, end id included, are ids."""
     sizes = np.diff(bounds)
-    step = SPAN - OVERLAP
+    step = SPAN - overlap
     counts = 1 + np.maximum(0, -(-(sizes - SPAN) // step))
     text = np.repeat(np.arange(len(sizes)), counts)
     number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -176,7 +237,7 @@ def windows_of(bounds: np.ndarray, end: int, ids: np.ndarray) -> tuple[np.ndarra
     inside = place < sizes[text][:, None]
     at = bounds[text][:, None] + np.minimum(place, sizes[text][:, None] - 1)
     before = np.where(place > 0, ids[np.maximum(at - 1, 0)], end)
-    return before, ids[at], inside & ((number == 0)[:, None] | (np.arange(SPAN) >= OVERLAP)), text
+    return before, ids[at], inside & ((number == 0)[:, None] | (np.arange(SPAN) >= overlap)), text
 
 
 def classes_of(counts: np.ndarray) -> np.ndarray:
@@ -208,6 +269,24 @@ def within_classes(keys: np.ndarray, counts: np.ndarray, classes: np.ndarray, se
     return out
 
 
+def followers(keys: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(keys, counts, counts of classes) of what follows each id; keys are id before * ids + id, in order."""
+    size = len(classes)
+    mass = np.bincount(keys // size * CLASSES + classes[keys % size], counts, size * CLASSES)
+    return keys.astype(np.uint32), counts.astype(np.float32), mass.reshape(size, CLASSES).astype(np.float32)
+
+
+def log_within(exact: tuple, within: np.ndarray, classes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """log P(id y | its class, the id x before), smoothed by the group of x."""
+    keys, counts, mass = exact
+    p = np.float32(SMOOTH) * np.exp(within[group_of(x), y].astype(np.float32))
+    if len(keys):
+        asked = (x * len(classes) + y).astype(np.uint32)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        p += np.where(keys[at] == asked, counts[at], np.float32(0))
+    return np.log(p / (mass[x, classes[y]] + np.float32(SMOOTH)))
+
+
 def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", model_path: str | None = None) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -241,7 +320,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             cuts = np.searchsorted(places, np.cumsum([0, *(x + 1 for x in sizes)]) - 1)[1:]  # a first word holds the space before its text
             ids = [flat_ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
             follow = np.concatenate([[sub.end], *(np.append(i, sub.end) for i, h in zip(ids, held) if not h)])
-            pair, often = np.unique(group_of(follow[:-1]) * sub.size + follow[1:], return_counts=True)
+            pair, often = np.unique(follow[:-1].astype(np.int64) * sub.size + follow[1:], return_counts=True)
             pair, often = pair.astype(np.uint32), often.astype(np.uint32)
             pair_of = pair % n
             out = []
@@ -296,7 +375,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
 
     sub = subwords(path)
     found, tokens, distinct = [], 0, 0
-    for r in answers.where("row = -1").collect():  # one row for each bucket; together at most BUCKETS x vocabulary counts
+    for r in answers.where("row = -1").collect():  # one row for each bucket; together a count for each pair of ids that occurs
         pair, often = R.unpack(r.data, np.int64, np.int64)
         tokens, distinct = tokens + int(pair[0]), distinct + int(often[0])
         found.append((pair[1:], often[1:]))
@@ -327,15 +406,19 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     chosen = texts.where(~F.col("_held") & some).select("row").orderBy(F.xxhash64("row"), "row").limit(TRAIN_TEXTS)
     sample = texts.join(F.broadcast(chosen), "row").orderBy("row").select("ids").collect()  # TRAIN_TEXTS rows
     classes = classes_of(seen)
-    within = within_classes(pair, often, classes, seen)
+    grouped, which = np.unique(group_of(pair // sub.size) * sub.size + pair % sub.size, return_inverse=True)
+    within = within_classes(grouped, np.bincount(which, often, len(grouped)), classes, seen)
+    exact = followers(pair, often, classes)
+    del found, pair, often, grouped, which
     own = [np.frombuffer(r.ids, np.uint16).astype(np.int64) for r in sample]
     before, target, scored, _ = windows_of(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64), sub.end, np.concatenate([np.zeros(0, np.int64), *own])) if own else (np.zeros((0, SPAN), np.int64),) * 2 + (np.zeros((0, SPAN), bool), None)
     pick = np.random.default_rng(5).permutation(len(before))[:TRAIN_WINDOWS]
     weights = learn(before[pick], classes[target[pick]], scored[pick], sub.size)
-    sent = spark.sparkContext.broadcast((weights, classes, within, sub.end))  # of the fixed vocabulary's size
+    weights, _ = learn_all(texts.where(~F.col("_held")), weights, classes, sub.end)
+    sent = spark.sparkContext.broadcast((weights, classes, within, exact, sub.end))  # grows with pairs of ids that occur
 
     def score(batches):
-        weights, classes, within, end = sent.value
+        weights, classes, within, exact, end = sent.value
         for part in slices(batches, "ids", 1 << 20):
             own = [np.frombuffer(x, np.uint16) for x in part.column(4).to_pylist()]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
@@ -344,7 +427,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             total = np.zeros(len(own))
             for a in range(0, len(before), 1024):
                 x, y = before[a : a + 1024], target[a : a + 1024]
-                logs = log_classes(weights, x, classes[y]) + within[group_of(x), y]
+                logs = log_classes(weights, x, classes[y]) + log_within(exact, within, classes, x, y)
                 total += np.bincount(text[a : a + 1024], np.where(scored[a : a + 1024], logs, 0).sum(axis=1, dtype=np.float64), len(own))
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(total / np.log(10))], ["row", "_key", "_held", "n_tokens", "score"])
 

@@ -133,6 +133,37 @@ def test_lm_beats_counts_of_single_subwords(spark, monkeypatch):
     assert sum(r.score for r in rows if r.held_out) > 0.85 * single
 
 
+def test_lm_learns_from_all_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEPS", 0)
+    monkeypatch.setattr(lm_scoring, "TRAIN_TEXTS", 1)
+    seen = []
+    whole = lm_scoring.learn_all
+    monkeypatch.setattr(lm_scoring, "learn_all", lambda *a: seen.append(whole(*a)) or seen[-1])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    rows = lm_scoring.score_texts(docs, held).collect()
+    sub = lm_scoring.subwords(sentencepiece_codec.default_model())
+    size = lambda t: len(sub.split(b"".join(b" " + w for w in t.encode().translate(lm_scoring._FOLD).split()))) + 1
+    texts = dict(docs.select("doc_id", "text").collect())
+    assert seen[0][1] == sum(size(texts[r.doc_id]) for r in rows if not r.held_out)
+    monkeypatch.setattr(lm_scoring, "learn_all", lambda texts, w, *a: (w, 0))
+    begun = lm_scoring.score_texts(docs, held).collect()
+    assert sum(r.score for r in rows if r.held_out) > 0.97 * sum(r.score for r in begun if r.held_out)
+
+
+def test_lm_tells_ids_of_a_group_apart():
+    size = 5000
+    groups = lm_scoring.group_of(np.arange(size))
+    a, b = np.flatnonzero(groups == np.bincount(groups).argmax())[:2]
+    keys, counts = np.asarray([a * size + 7, b * size + 8]), np.asarray([1000, 1000])
+    classes = np.zeros(size, np.int64)
+    exact = lm_scoring.followers(keys, counts, classes)
+    within = np.full((lm_scoring.BUCKETS, size), -np.log(size), np.float16)
+    x, y = np.repeat([a, b], size), np.tile(np.arange(size), 2)
+    p = np.exp(lm_scoring.log_within(exact, within, classes, x, y)).reshape(2, size)
+    assert np.allclose(p.sum(axis=1), 1, atol=0.02) and p[0, 7] > 0.9 > 0.01 > p[0, 8] and p[1, 8] > 0.9
+
+
 def test_lm_is_causal_and_learns(monkeypatch):
     monkeypatch.setattr(lm_scoring, "STEPS", 200)
     r = np.random.default_rng(0)
