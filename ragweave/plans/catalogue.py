@@ -460,6 +460,46 @@ def display_table(spark, sf_dir):
     return shown.select("Rank.query_id", F.col("Rank.final_rank").alias("Rank"), *shown.columns[1:])
 
 
+# The same operators over whole texts: the hits of a query are the documents among the vectors its search ranks first, numbered anew.
+
+_FOUND = f"""WITH {_SCORED}, h AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS final_rank, d.text, d.source || '_a.txt' AS source, d.lang AS relevance, d.n_chars % 8 / CAST(8 AS DOUBLE) AS score, d.n_chars % 16 / CAST(8 AS DOUBLE) AS relevance_score
+    FROM ranked JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 10)"""
+
+
+def _over_found(name: str) -> str:
+    return SQL[name].replace(f"WITH h AS ({_HIT_SQL})", _FOUND)
+
+
+def _found_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.expr("source || '_a.txt'").alias("source"), F.col("lang").alias("relevance"), F.expr("n_chars % 8 / 8.0D").alias("score"), F.expr("n_chars % 16 / 8.0D").alias("relevance_score"))
+    found = _hits(spark, sf_dir, "faiss", 10).select("query_id", "rank", "chunk_id").join(docs, "chunk_id")
+    return found.withColumn("final_rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rank)")).drop("chunk_id", "rank")
+
+
+@query(_over_found("context_blocks"))
+def context_blocks_whole(spark, sf_dir):
+    hits = generate.ordered_hits(_found_hits(spark, sf_dir))
+    h = F.col("hits")
+    return hits.select("query_id", generate.answer_context(h).alias("answer_context"), generate.judge_context(h).alias("judge_context"), generate.recall_context(h).alias("recall_context"))
+
+
+@query(_over_found("trace_context"))
+def trace_context_whole(spark, sf_dir):
+    return report.traces(_found_hits(spark, sf_dir))
+
+
+@query(_over_found("display_table"))
+def display_table_whole(spark, sf_dir):
+    shown = report.display(_found_hits(spark, sf_dir).withColumn("final_rank", F.struct("query_id", "final_rank")), wrapped=False)
+    return shown.select("Rank.query_id", F.col("Rank.final_rank").alias("Rank"), *shown.columns[1:])
+
+
+@query(SQL["experiment_detail"].replace("substr(text, 1, 20)", "text"))
+def experiment_detail_whole(spark, sf_dir):
+    whole = _EVALUATED.replace("substr(text, 1, 20)", "text").replace("FROM documents", "FROM {documents}")
+    return report.detail(spark.sql(whole, documents=read(spark, sf_dir, "documents")))
+
+
 # Model calls, with the deterministic offline providers.
 
 
@@ -469,7 +509,7 @@ def _offline_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 5 == 0, "Unanswerable").otherwise("Factual").alias("query_type"), F.col("text").alias("query"), F.substring("text", 1, 80).alias("answer"))
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 5 == 0, "Unanswerable").otherwise("Factual").alias("query_type"), F.col("text").alias("query"), F.col("text").alias("answer"))
 
 
 @query()

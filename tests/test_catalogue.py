@@ -15,6 +15,19 @@ def test_query_without_sql_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name, column", [("context_blocks_whole", "answer_context"), ("trace_context_whole", "traceable_context"), ("display_table_whole", "Text Snippet"), ("experiment_detail_whole", "Model Answer")])
+def test_whole_texts_reach_the_operators(spark, name, column):
+    texts = [r.text for r in catalogue.read(spark, SF, "documents").select("text").collect()]
+    shown = [r[0] for r in catalogue.QUERIES[name](spark, SF).select(column).collect()]
+    assert sum(any(t in s for s in shown) for t in texts if len(t) > 200) > 20
+
+
+def test_reference_answers_are_whole(spark):
+    items = dict(catalogue.read(spark, SF, "benchmark").select("item_id", "text").collect())
+    assert max(map(len, items.values())) > 80
+    assert {r.query_id: r.answer for r in catalogue._questions(spark, SF).collect()} == items
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
