@@ -22,16 +22,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(docs with a key of every row in _row, whether that is doc_id): where ids repeat or are null, rows are numbered and written."""
+    n = docs.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if n.rows == n.ids:
+        return docs.withColumn("_row", F.col("doc_id")), True
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows"), False
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each component of near-duplicates (five-word shingles, 0.8 or more)."""
-    found = ngram_jaccard.link(docs)
-    return docs.join(found.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    """Keep the row of smallest id (null last) of each component of near-duplicates (five-word shingles, 0.8 or more)."""
+    rows, own = keyed(docs)
+    found = ngram_jaccard.link(rows, "_row")
+    if own:
+        dropped = found.where("component_id <> _row")
+    else:
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+        least = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("kept"))
+        dropped = found.join(least, "component_id").where("_row <> kept")
+    return rows.join(dropped.select("_row"), "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that share a window of words with a benchmark item."""
-    found = decontam.hits(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    rows, _ = keyed(docs)
+    found = decontam.hits(rows, table(spark, sf_dir, "benchmark"), "_row")
+    return rows.join(found.where("n_hit > 0").select("_row"), "_row", "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,15 @@ def test_stages_keep_columns_and_edges(spark):
             docs = stage(spark, docs, SF)
             assert docs.dtypes == table.dtypes, name
         assert {r.doc_id for r in docs.collect()} == ({1, None} if table.count() else set())
+
+
+def test_repeated_and_null_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(i, t, "en", "s", len(t)) for i, t in [(7, a), (7, a), (None, a), (3, a + " more"), (None, b), (None, b), (5, leak), (None, leak + " tail"), (9, b[:60]), (9, leak)]]
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept if r.text[0] in "ab" and r.text != leak), key=repr) == sorted([(3, a + " more"), (None, b), (9, b[:60])], key=repr)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=repr) == sorted([(r[0], r[1]) for r in rows if leak not in r[1]], key=repr)
