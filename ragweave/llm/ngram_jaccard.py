@@ -1,15 +1,17 @@
 """Exact Jaccard join of documents' word-shingle sets with token-combination prefixes.
 
-Shingles are ordered rare class first, then by hash. Two sets that are similar enough share at least k = 2 shingles of
-their extended prefixes (the first n - ceil(t n) + k). A rare shingle of that prefix is indexed alone; of frequent
-ones the combinations of two are indexed. A set with so many frequent shingles in its prefix that combinations would
-not pay indexes these alone, and then the others add theirs to meet it. Which shingles are frequent is counted over
-all prefixes; it changes the cost, never the result.
+Shingles are ordered rare class first, then by hash. Two similar sets share a shingle of their prefixes (the first
+n - ceil(t n) + 1). A shingle that few prefixes hold is indexed alone. A set whose prefix holds a frequent one is
+extended to the whole set and indexed by combinations of shingles: shingles fall into parts by hash, and those of one
+part are a combination. Sets that differ in m shingles at most cannot differ in all of m + 1 parts, so similar ones
+that share frequent shingles alone share a combination. Their number grows with a set's size, not with its square,
+and all shingles of a combination must agree, so even frequent ones part texts that are put together from common pieces.
 
 Sets that share an index entry are not paired off. Equal sets are one class from the start. In each entry all sets of
-like size are verified against a central one of them; what links is one component. Then only sets of different components that
-share an entry can still link. Before texts are fetched, bitmaps of the sets' parities must be close: their Hamming
-distance is at most the number of shingles in which the sets differ, so no link between different sets is lost.
+like size are verified against a central one of them; what links is one component. Only sets of different components
+that share an entry are left; entries are cut into blocks, pairs of blocks are dealt out, and bitmaps of the sets'
+parities are compared in place. Their Hamming distance is at most the number of shingles in which the sets differ, so
+no link between different sets is lost; what is close enough is verified on the texts.
 """
 
 from __future__ import annotations
@@ -26,12 +28,16 @@ from pyspark.sql import functions as F
 from ragweave.llm import repeats as R
 from ragweave.llm.common import components, discard, materialize, slices
 
-#: Prefix occurrences beyond which a shingle is frequent, and the most shingles of that class (the most frequent ones).
-FREQUENT, FREQUENT_MOST = 16, 500_000
-#: Frequent shingles of a prefix up to which their combinations of two are indexed.
-COMBINED = 16
+#: Prefixes that hold a shingle beyond which it is frequent and no longer indexed alone.
+FREQUENT = 32
+#: Most shingles that are sent to all tasks to be put last in the order; this changes the cost, never the result.
+LAST_MOST = 500_000
 #: Rounds in which all sets of an entry are compared with one more central set of it, before the pairs that are left.
 STARS = 3
+#: Sets in a block of an entry, about.
+BLOCK = 128
+#: Copies of a row that many others meet.
+SALTS = 16
 _SLICE = 2 << 20
 
 
@@ -52,7 +58,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 
 #: Words of 64 bits of a set's bitmap: bit i is the parity of the shingles that fall on i.
-BITMAP = 8
+BITMAP = 12
 
 
 def parities(shingles: np.ndarray) -> list[int]:
@@ -73,13 +79,69 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def size_classes(most: int, percent: int) -> np.ndarray:
+    """First sizes of the classes up to size `most`: a set's similar larger sets are in its class or the next."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * 100 // percent + 1)
+    return np.asarray(out)
+
+
+def combinations(s: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set's combinations; any two different similar sets share one.
+
+    A set is cut for its own size class and for the one below, so that it meets sets of its class and of both beside
+    it. Some parts more than needed are made, so that empty ones, which say little, can be left out; a set with more
+    empty ones than that keeps them.
+    """
+    classes, out = size_classes(len(s), percent), []
+    for level in (len(classes) - 2, len(classes) - 3):
+        if level < 0:
+            continue
+        smaller = int(classes[level + 1]) - 1
+        differ = (smaller + smaller * 100 // percent) * (100 - percent) // (100 + percent)
+        spare = 2 + differ // 16
+        parts = differ + 1 + spare
+        mixed = R.mix(s, np.uint64(level))
+        part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        there, heads = np.unique(part[order], return_index=True)
+        sums = np.zeros(parts, np.uint64)
+        sums[there] = np.add.reduceat(mixed[order], heads)
+        chosen = there if parts - len(there) <= spare else np.arange(parts)
+        out.append(R.mix(sums[chosen], (level << 32 | chosen).astype(np.uint64)))
+    return np.concatenate(out)
+
+
+def close_pairs(cell: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of one cell and of different components whose sizes and bitmaps allow a link.
+
+    Rows are sorted by cell. In a cell of two blocks (side 0 and 1) rows of one side are not compared.
+    """
+    found, i, step = [], np.arange(len(cell)), 0
+    while True:
+        step += 1
+        i = i[: np.searchsorted(i, len(cell) - step)]
+        i = i[cell[i] == cell[i + step]]
+        if not len(i):
+            break
+        j = i + step
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j])) & (low * 100 >= high * percent)
+        a, b = i[ok], j[ok]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        near = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+        found.append((a[near], b[near]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (i, i)
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) of every row: documents link when 100 * shared >= percent * united shingles.
 
     component_id is the smallest key reachable by links, the row's own included. Null, empty and blank texts have no
-    shingles and link with nothing. Rows that repeat a text are one class. Keys are taken to be unique whole numbers; a
-    row without one has no say in a component's smallest key. Extra columns are ignored; an empty table gives an
-    empty one.
+    shingles and link with nothing. Rows that repeat a text are one class. Rows that repeat a key are rows of their
+    own; a row without one links as others do, but has no say in a component's smallest key. Extra columns are
+    ignored; an empty table gives an empty one.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     least = next(n for n in range(1, 202) if 100 * n >= percent * (n + 1))  # smaller sets are similar to equal ones alone
@@ -104,55 +166,59 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(counts)], ["token", "n"])
 
     counted = materialize(rows.mapInArrow(first_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT), "frequent")
-    if (many := counted.count()) > FREQUENT_MOST:
-        counted = counted.where(F.col("n") > counted.agg(F.percentile_approx("n", 1 - FREQUENT_MOST / many, 100_000)).first()[0])
-    top = counted.select("token").limit(FREQUENT_MOST).toArrow()
-    frequent = np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
+    if (many := counted.count()) > LAST_MOST:
+        counted = counted.where(F.col("n") > counted.agg(F.percentile_approx("n", 1 - LAST_MOST / many, 100_000)).first()[0])
+    top = counted.select("token").limit(LAST_MOST).toArrow()
+    last = np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    sent = docs.sparkSession.sparkContext.broadcast(last)  # at most LAST_MOST numbers
 
     def index(batches):
         common = sent.value
         for sets in in_play(batches):
-            keys, sigs, sizes, wide = [], [], [], []
+            keys, sigs, sizes = [], [], []
             for sig, s in sets:
-                at = np.searchsorted(common, s)
-                often = np.zeros(len(s), bool) if not len(common) else common[np.minimum(at, len(common) - 1)] == s
-                length = len(s) - _shorter(len(s), percent) + 2
-                rare = s[~often][:length]
-                rest = s[often][: length - len(rare)]
-                found = [rare]
-                wides = [np.ones(len(rare), bool)]
-                if len(rest):
-                    many = len(rest) > COMBINED
-                    found.append(R.mix(rest, np.uint64(2)))
-                    wides.append(np.full(len(rest), many))
-                    if not many:
-                        i, j = np.triu_indices(len(rest), 1)
-                        found.append(R.mix(R.mix(rest[i], np.uint64(3)), rest[j]))
-                        wides.append(np.ones(len(i), bool))
-                keys.append(np.concatenate(found))
-                wide.append(np.concatenate(wides))
-                sigs.append(np.full(len(keys[-1]), sig, np.int64))
-                sizes.append(np.full(len(keys[-1]), len(s), np.int64))
+                length = len(s) - _shorter(len(s), percent) + 1
+                if len(common):
+                    often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+                    s = np.concatenate([s[~often][:length], s[often][:length]])[:length]
+                keys.append(s[:length])
+                sigs.append(sig)
+                sizes.append(length)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(wide))], ["key", "sig", "n", "wide"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.repeat(np.asarray(sigs, np.int64), sizes))], ["key", "sig"])
 
-    entries = materialize(rows.mapInArrow(index, "key long, sig long, n long, wide boolean"), "entries")
-    shared = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.max("wide").alias("any")).where("lo <> hi and any").select("key")
-    groups = materialize(entries.join(shared, "key").distinct(), "groups")
+    entries = materialize(rows.mapInArrow(index, "key long, sig long"), "entries")
+    met = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("met")).where("lo <> hi").select("key", (F.col("met") > FREQUENT).alias("frequent"))
+    shared = materialize(entries.join(met, "key").distinct(), "shared")
     discard(entries)
+    alone = shared.where("not frequent").select("key", "sig")
 
-    # The texts of the sets in play, by signature.
-    keeper = signed.groupBy("sig").agg(F.min("doc").alias("doc")).join(groups.select("sig").distinct(), "sig")
+    # The texts of the sets in play, by signature; the set is signed again, as keys may repeat.
+    wanted = shared.groupBy("sig").agg(F.max("frequent").alias("frequent"))
+    keeper = signed.where(F.col("n") >= least).groupBy("sig").agg(F.min("doc").alias("doc")).join(wanted, "sig")
 
     def shrink(batches):
         for part in slices(batches, "text", _SLICE):
-            raw = R.raw_texts(part, 1)
-            bits = [parities(s) for s in shingle_sets(raw, words)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([R._squeeze.compress(t) for t in raw], pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["sig", "z", "bits"])
-
-    texts = materialize(rows.join(keeper, "doc").select("sig", "text").mapInArrow(shrink, "sig long, z binary, bits array<long>"), "texts")
-    bits = texts.select("sig", *(F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP)))
+            raw, out = R.raw_texts(part, 1), []
+            asked, often = (part.column(i).to_pylist() for i in (2, 3))
+            for t, s, want, f in zip(raw, shingle_sets(raw, words), asked, often):
+                sig = _signature(s)
+                if (want is None or want == sig) and len(s) >= least:
+                    out.append((sig, len(s), R._squeeze.compress(t), parities(s), _signed(combinations(s, percent)) if f else None))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["sig", "n", "z", "bits", "keys"])
+
+    shape = "sig long, n long, z binary, bits array<long>, keys array<long>"
+    texts = rows.join(keeper.where("doc is not null"), "doc").select("doc", "text", "sig", "frequent").mapInArrow(shrink, shape)
+    orphans = rows.where("doc is null").select("doc", "text", F.lit(None).cast("long").alias("sig"), F.lit(True).alias("frequent")).mapInArrow(shrink, shape)
+    orphans = orphans.join(keeper.where("doc is null").select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    texts = materialize(texts.union(orphans), "texts")
+    combined = texts.select(F.explode("keys").alias("key"), "sig")
+    several = combined.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
+    sized = texts.select("sig", "n", *(F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP)))
+    groups = materialize(alone.union(combined.join(several, "key").distinct()).join(texts.select("sig", "n").distinct(), "sig"), "groups")
+    discard(shared)
 
     def overlap(batches):
         known = OrderedDict()
@@ -165,61 +231,91 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             return s
 
         for part in batches:
-            both, either = [], []
+            linked = []
             for a, b, za, zb in zip(*(part.column(c).to_pylist() for c in ("a", "b", "za", "zb"))):
                 x, y = get(a, za), get(b, zb)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                both.append(shared)
-                either.append(len(x) + len(y) - shared)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(both * 100 >= (len(x) + len(y) - both) * percent)
             names = [c for c in part.schema.names if c not in ("za", "zb")]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(both, pa.int64()), pa.array(either, pa.int64())], [*names, "both", "either"])
+            mask = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(mask) for c in names], names)
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """The distinct pairs (a, b and what else they hold) with the numbers of their shared and united shingles."""
-        names, pairs = pairs.columns, pairs.distinct()
+        """The pairs (a, b and what else they hold) that link; pairs are distinct."""
+        names = pairs.columns
         x = pairs.join(texts.select(F.col("sig").alias("a"), F.col("z").alias("za")), "a")
         x = x.join(texts.select(F.col("sig").alias("b"), F.col("z").alias("zb")), "b").select(*names, "za", "zb")
-        return materialize(x.mapInArrow(overlap, ", ".join(f"{c} long" for c in (*names, "both", "either"))), name)
+        return materialize(x.mapInArrow(overlap, ", ".join(f"{c} long" for c in names)), name)
 
-    linked = F.col("both") * 100 >= F.col("either") * percent
     differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(BITMAP)), F.lit(0))
     close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
 
     # The set with the most shared entries is central to its near copies: the text they were made from, or close to it.
     central = groups.groupBy("sig").agg(F.count("*").alias("met"))
-    sized = materialize(groups.select("sig", "n").distinct().join(bits, "sig"), "sized")
-    x, y = sized.alias("x"), sized.alias("y")
     classed = materialize(groups.join(central, "sig").withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-12))), "classed")
-    left, links, centers, done = classed.withColumn("comp", F.col("sig")), None, None, None
+    discard(groups)
+    salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS)))).alias("salt")
+    x, left, links, centers, done, label = sized.alias("x"), classed.withColumn("comp", F.col("sig")), None, None, None, None
     for _ in range(STARS):
-        fresh = left.where("wide") if done is None else left.where("wide").join(done, ["key", "class", "comp"], "left_anti")
+        fresh = left if done is None else left.join(done, ["key", "class", "comp"], "left_anti")
         pivots = materialize(fresh.groupBy("key", "class").agg(F.max(F.struct("met", "sig", "comp")).alias("p")).select("key", "class", "p.sig", "p.comp"), "pivots")
         both = left.select("key", "sig", "comp", F.explode(F.array("class", F.col("class") - 1)).alias("class"))
         stars = both.join(pivots.select("key", "class", F.col("sig").alias("pivot"), F.col("comp").alias("center")), ["key", "class"]).where("comp <> center").select("sig", "pivot").distinct()
-        near = stars.join(x, F.col("x.sig") == stars.sig).join(y, (F.col("y.sig") == stars.pivot) & close)
-        found = verify(near.select(stars.sig.alias("a"), stars.pivot.alias("b")), "stars").where(linked).select("a", "b")
+        y = sized.join(pivots.select("sig").distinct(), "sig").select("*", salts).alias("y")
+        near = stars.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).alias("s").join(x, F.col("x.sig") == F.col("s.sig")).join(y, (F.col("y.sig") == F.col("s.pivot")) & (F.col("y.salt") == F.col("s.salt")) & close)
+        found = verify(near.select(F.col("s.sig").alias("a"), F.col("s.pivot").alias("b")), "stars")
         if links is not None and found.isEmpty():
             break
         links = found if links is None else links.union(found)
         label = components(links)
         named = label.withColumnRenamed("node", "sig")
         earlier, left = left, classed.join(named, "sig", "left").withColumn("comp", F.coalesce("label", "sig")).drop("label")
-        split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("wide").alias("any")).where("lo <> hi and any").select("key")
+        split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         left = materialize(left.join(split, "key"), "left")
         discard(earlier)
         centers = pivots.select("key", "class", "sig") if centers is None else centers.union(pivots.select("key", "class", "sig"))
         done = centers.join(named, "sig", "left").select("key", "class", F.coalesce("label", "sig").alias("comp")).distinct()
 
-    placed = materialize(left.select("key", "sig", "wide", "comp").join(sized, "sig"), "placed")
-    x, y = placed.alias("x"), placed.alias("y")
-    meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.wide") | F.col("y.wide")) & close)
-    late = verify(meet.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")), "late")
+    # What is left: entries of several components, in blocks; every pair of blocks is a cell.
+    def compare(batches):
+        tail = None
+        for part in batches:
+            part = pa.Table.from_batches([part])
+            if tail is not None:
+                part = pa.concat_tables([tail, part])
+            cells = part.column("cell").to_numpy()
+            whole = int(np.searchsorted(cells, cells[-1])) if len(cells) else 0
+            tail = part.slice(whole)
+            if whole:
+                yield from pairs_of(part.slice(0, whole))
+        if tail is not None and tail.num_rows:
+            yield from pairs_of(tail)
+
+    def pairs_of(part):
+        cell, side, sig, comp, n = (part.column(c).to_numpy() for c in ("cell", "side", "sig", "comp", "n"))
+        bits = np.stack([part.column(f"b{i}").to_numpy() for i in range(BITMAP)], axis=1).view(np.uint64)
+        i, j = close_pairs(cell, side, comp, n, bits, percent)
+        lo, hi = (np.where(sig[i] < sig[j], p, q) for p, q in ((i, j), (j, i)))
+        found = np.unique(np.stack([sig[lo], sig[hi], comp[lo], comp[hi]], axis=1), axis=0) if len(i) else np.zeros((0, 4), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["a", "b", "ca", "cb"])
+
+    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select("key", "blocks", salts)
+    members = left.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(blocks, ["key", "salt"])
+    members = members.withColumn("own", F.pmod(F.xxhash64("sig", F.lit(5)), "blocks").cast("int")).select("key", "sig", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = members.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "sig", "comp").join(sized, "sig")
+    cells = dealt.repartition("cell").sortWithinPartitions("cell").select("cell", "side", "sig", "comp", "n", *(f"b{i}" for i in range(BITMAP)))
+    late = verify(cells.mapInArrow(compare, "a long, b long, ca long, cb long").distinct(), "late")
     # Links between components are links between their labels; as few as there are such pairs of components.
-    merged = components(late.where(linked).select("ca", "cb").distinct(), "ca", "cb").select("node", F.col("label").alias("top"))
-    nodes = label.select("node", "label").union(late.where(linked).select("ca", "ca").union(late.where(linked).select("cb", "cb"))).distinct()
-    final = nodes.join(merged.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-
-    whole = signed.join(final.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("comp", F.coalesce("label", "sig"))
-    smallest = whole.where("n > 0").groupBy("comp").agg(F.min("doc").alias("first"))
-    out = whole.join(smallest, "comp", "left")
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc")).alias("component_id"))
+    merged = components(late.select("ca", "cb").distinct(), "ca", "cb").select("node", F.col("label").alias("top"))
+    nodes = label.select("node", "label").union(late.select("ca", "ca").union(late.select("cb", "cb"))).distinct()
+    final = nodes.join(merged.withColumnRenamed("node", "label"), "label", "left").select(F.col("node").alias("sig"), F.coalesce("top", "label").alias("comp"))
+
+    # A set that one row alone holds and that links with none needs no lookup; neither does one without shingles.
+    held = signed.where("n > 0").groupBy("sig").agg(F.min("doc").alias("doc"), F.count("*").alias("rows")).join(final, "sig", "left").where("rows > 1 or comp is not null").select("sig", "doc", F.coalesce("comp", "sig").alias("comp"))
+    held = materialize(held, "held")
+    smallest = held.groupBy("comp").agg(F.min("doc").alias("first")).select("comp", "first", salts)
+    named = held.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(smallest, ["comp", "salt"]).select("sig", "first", salts)
+    salted = signed.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    out = salted.join(named.withColumn("known", F.lit(True)), ["sig", "salt"], "left").select("doc", "n", F.when(F.col("known"), F.col("first")).otherwise(F.col("doc")).alias("component_id"))
+    out = out.union(signed.where("n = 0").select("doc", "n", "doc"))
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")

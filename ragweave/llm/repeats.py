@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -24,11 +25,12 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-_SPACES = b" \t\n\x0b\x0c\r"
-_VALUES = np.random.default_rng(3).integers(1, 2**64, 256, dtype=np.uint64)
-_VALUES[list(_SPACES)] = 0
-_LOWER = _VALUES.copy()
-_LOWER[65:91] = _VALUES[97:123]
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_MASKS = np.asarray([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+#: Longer words are hashed one by one.
+_LONG = 256
 
 
 def word_tokens(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -39,25 +41,34 @@ def word_tokens(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
 def words_in(raw: bytes, sizes: list[int], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, bounds, first byte of each word, byte after each word) of texts of these sizes that each end in one space.
 
-    Words are runs of bytes other than the six ASCII white spaces; lower hashes A-Z as a-z. A word's hash is the sum of
-    a random number for each byte times a power for its place in the word, mixed.
+    Words are runs of bytes other than the six ASCII white spaces; lower hashes A-Z as a-z.
     """
-    data = np.frombuffer(raw, np.uint8)
-    values = (_LOWER if lower else _VALUES)[data]
-    blank = values == 0
-    first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(data) else np.zeros(0, np.int64)
+    if lower:
+        raw = raw.translate(_LOWER)
+    blank = _BLANK[np.frombuffer(raw, np.uint8)]
+    first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(raw) else np.zeros(0, np.int64)
     edges = np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64) + 1)]).astype(np.int64)
     bounds = np.searchsorted(first, edges)
-    if not len(first):
-        return np.zeros(0, np.uint64), bounds, first, first
     last = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
-    gaps = np.diff(np.append(first, len(data)))
-    place = np.arange(first[0], len(data)) - np.repeat(first, gaps)
-    powers = np.full(int(gaps.max()), _A | np.uint64(1))
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
-    values = values[first[0] :] * powers[place]
-    return mix(np.add.reduceat(values, first - first[0]), np.uint64(7)), bounds, first, last
+    return hash_runs(raw, first, last), bounds, first, last
+
+
+def hash_runs(raw: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each run raw[first:last]: its length, then eight bytes after eight, each mixed in (no sum of its parts)."""
+    out = mix((last - first).astype(np.uint64), np.uint64(11))
+    if not len(first):
+        return out
+    eight = np.ndarray((len(raw) + 1,), np.uint64, raw + bytes(8), 0, (1,))
+    short = last - first <= _LONG
+    which, at, ends = np.flatnonzero(short), first[short], last[short]
+    while len(which):
+        room = ends - at
+        out[which] = mix(out[which], eight[at] & _MASKS[np.minimum(room, 8)])
+        more = room > 8
+        which, at, ends = which[more], at[more] + 8, ends[more]
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[first[i] : last[i]], 11)
+    return out
 
 
 def gram_hashes(tokens: np.ndarray, n: int) -> np.ndarray:

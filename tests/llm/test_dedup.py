@@ -33,11 +33,66 @@ def test_jaccard_against_brute_force(spark, words, percent):
 
 def test_frequent_shingles_are_combined(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "FREQUENT", 1)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 3)
     r = rng(9)
     base = prose(r, 40, 10_000).split()
     texts = [" ".join(w if i != k and i != 2 * k + 1 else f"z{k}" for i, w in enumerate(base)) for k in range(20)] + [prose(r, 30, 500) for _ in range(10)]
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard.link(documents(spark, texts), words=1, percent=80).collect()}
-    assert got == jaccard_components(texts, 1, 80)
+    for words, percent in ((1, 80), (2, 90), (3, 70)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard.link(documents(spark, texts), words=words, percent=percent).collect()}
+        assert got == jaccard_components(texts, words, percent)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_share_a_combination(percent):
+    r = np.random.default_rng(percent)
+    for n in (3, 7, 20, 61, 200, 900):
+        a = r.integers(0, 2**63, n).astype(np.uint64)
+        for _ in range(30):
+            b = a.copy()
+            while True:  # a chain of edits, as long as the sets are similar
+                b = b[r.permutation(len(b))][r.integers(0, 2) :] if r.random() < 0.5 and len(b) > 1 else np.append(b, r.integers(0, 2**63, 1).astype(np.uint64))
+                both = len(np.intersect1d(a, b))
+                if 100 * both < percent * (len(a) + len(b) - both):
+                    break
+                assert len(np.intersect1d(ngram_jaccard.combinations(a, percent), ngram_jaccard.combinations(b, percent)))
+    assert len(ngram_jaccard.combinations(a, percent)) < 0.6 * len(a)
+
+
+def test_texts_of_common_pieces_meet_rarely(spark):
+    """Documents of 20 sentences from a pool of 60, none similar: twice as many compare fewer than three times as many pairs."""
+    r, pairs = rng(4), {}
+    pool = [prose(r, 8, 10_000) for _ in range(60)]
+    for n in (150, 300):
+        texts = [" ".join(r.sample(pool, 20)).encode() for _ in range(n)]
+        met = {}
+        for i, s in enumerate(ngram_jaccard.shingle_sets(texts, 3)):
+            for k in ngram_jaccard.combinations(s, 90).tolist():
+                met.setdefault(k, []).append(i)
+        pairs[n] = sum(len(x) * (len(x) - 1) // 2 for x in met.values())
+    assert pairs[300] < 3 * max(pairs[150], 300)
+
+
+def test_null_and_repeated_keys_link(spark):
+    r = rng(11)
+    base = prose(r, 200, 10_000).split()
+    edit = lambda k: " ".join(w if i not in k else f"y{i}" for i, w in enumerate(base))
+    ends = [edit(range(0, 9)), edit(range(10, 19))]  # each is similar to the base, not to the other
+    schema = "doc_id long, text string"
+    rows = [(0, ends[0]), (None, " ".join(base)), (1, ends[1]), (5, "other words " + prose(r, 50)), (5, ends[0] + " x")]
+    got = sorted((x.doc_id is None, x.doc_id, x.component_id) for x in ngram_jaccard.link(spark.createDataFrame(rows, schema), words=1, percent=90).collect() if x.doc_id is not None)
+    assert got == [(False, 0, 0), (False, 1, 0), (False, 5, 0), (False, 5, 5)]
+
+
+def thue_morse(n, x, y):
+    return "".join(x if bin(i).count("1") % 2 == 0 else y for i in range(n))
+
+
+def test_words_do_not_collide_by_construction(spark):
+    a, b = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    assert len(set(repeats.word_tokens([" ".join([a, b, a[:512], b[:512], a[:64], b[:64]]).encode()])[0].tolist())) == 6
+    texts = [" ".join([a] * 60), " ".join([b] * 60), a, b]
+    assert {x.doc_id: x.component_id for x in ngram_jaccard.link(documents(spark, texts), words=3, percent=90).collect()} == {i: i for i in range(4)}
+    assert all(x.n_removed == 0 for x in substring_dedup.remove_repeats(documents(spark, texts)).collect() if x.doc_id == 1)
 
 
 def test_empty_tables_clashing_columns_and_repeated_rows(spark):
