@@ -30,6 +30,8 @@ TRAIN_TEXTS, TRAIN_WINDOWS, STEPS, BATCH = 5000, 120_000, 1500, 192
 ALL_BATCH, ALL_RATE, SUMS = 384, 0.002, 8
 #: Groups of ids, by hash, whose followers are counted; the weight of the class's own distribution in a group's.
 BUCKETS, SMOOTH = 1024, 2.0
+#: Windows worked on at once.
+BLOCK = 32
 _SLOTS, _MULTIPLY, _LONGEST = 17, np.uint64(0x9E3779B97F4A7C15), 7
 _MASKS = [np.uint64((1 << (8 * n)) - 1) for n in range(_LONGEST + 1)]
 ADD = 0.1
@@ -106,28 +108,30 @@ _FUTURE = np.triu(np.full((SPAN, SPAN), -1e9, dtype=np.float32), 1)
 
 
 def _attend(w: dict, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hidden states for windows of ids x (windows, SPAN)."""
-    e = w["E"][x] + w["P"]
-    q, k, v = e @ w["Q"], e @ w["K"], e @ w["V"]
+    """(inputs, queries, keys, values, attention, mixed values, hidden states) for windows of ids x (windows, SPAN)."""
+    flat = (w["E"][x] + w["P"]).reshape(-1, WIDTH)
+    joint = flat @ np.concatenate([w["Q"] * np.float32(WIDTH**-0.5), w["K"], w["V"]], axis=1)
+    q, k, v = (joint[:, i * WIDTH : (i + 1) * WIDTH].reshape(-1, SPAN, WIDTH) for i in range(3))
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
     s += _FUTURE
     np.exp(np.minimum(s, 30, out=s), out=s)
     s /= s.sum(axis=2, keepdims=True)
-    mixed = s @ v
-    return e, q, k, v, s, mixed, e + mixed @ w["O"]
+    mixed = (s @ v).reshape(-1, WIDTH)
+    return flat, q, k, v, s, mixed, flat + mixed @ w["O"]
 
 
 def log_classes(w: dict, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(target class | ids up to the position) for every position."""
-    hidden = _attend(w, x)[-1]
-    z = hidden.reshape(-1, WIDTH) @ w["U"]
-    z += w["b"]
-    chosen = z[np.arange(len(z)), target.ravel()]
-    top = z.max(axis=1, keepdims=True)
-    z -= top
-    np.exp(z, out=z)
-    return (chosen - top[:, 0] - np.log(z.sum(axis=1))).reshape(target.shape)
+    """log P(target class | ids up to the position) for every position; BLOCK windows at a time, which caches hold."""
+    out = np.empty(target.shape, np.float32)
+    for a in range(0, len(x), BLOCK):
+        part = target[a : a + BLOCK]
+        z = _attend(w, x[a : a + BLOCK])[-1] @ w["U"]
+        z += w["b"]
+        np.clip(z, -60, 60, out=z)
+        chosen = z[np.arange(len(z)), part.ravel()]
+        np.exp(z, out=z)
+        out[a : a + BLOCK] = (chosen - np.log(z.sum(axis=1))).reshape(part.shape)
+    return out
 
 
 def learn(windows: np.ndarray, targets: np.ndarray, valid: np.ndarray, vocabulary: int) -> dict:
@@ -142,7 +146,7 @@ def learn(windows: np.ndarray, targets: np.ndarray, valid: np.ndarray, vocabular
 
 
 class Adam:
-    """Running means of gradients and their squares, which scale the steps."""
+    """Running means of gradients and their squares, which scale the steps; embeddings move where an id occurs."""
 
     def __init__(self, w: dict):
         self.first, self.second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
@@ -150,37 +154,48 @@ class Adam:
 
     def update(self, w: dict, g: dict, rate: float) -> None:
         self.step += 1
+        rate = np.float32(rate / (1 - 0.9**self.step))
+        level = np.float32(1 / (1 - 0.99**self.step))
         for name, grad in g.items():
-            self.first[name] = 0.9 * self.first[name] + 0.1 * grad
-            self.second[name] = 0.99 * self.second[name] + 0.01 * grad * grad
-            w[name] -= (rate * (self.first[name] / (1 - 0.9**self.step)) / (np.sqrt(self.second[name] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+            at, grad = grad if name == "E" else (slice(None), grad)
+            first = self.first[name][at] * np.float32(0.9) + np.float32(0.1) * grad
+            second = self.second[name][at] * np.float32(0.99) + np.float32(0.01) * grad * grad
+            self.first[name][at], self.second[name][at] = first, second
+            w[name][at] -= rate * first / (np.sqrt(second * level) + np.float32(1e-8))
 
 
 def gradient(w: dict, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> dict:
-    """Gradient of the mean cross-entropy of the classes y at the positions m of windows x."""
-    scale = np.float32(WIDTH**-0.5)
-    e, q, k, v, s, mixed, hidden = _attend(w, x)
-    z = hidden @ w["U"] + w["b"]
-    z -= z.max(axis=2, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(axis=2, keepdims=True)
-    np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], 2) - 1, 2)
-    dz = p * (m[..., None] / max(1, m.sum())).astype(np.float32)
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    g = {"U": flat(hidden).T @ flat(dz), "b": flat(dz).sum(axis=0)}
-    dh = dz @ w["U"].T
-    g["O"] = flat(mixed).T @ flat(dh)
-    dm = dh @ w["O"].T
-    dv = s.transpose(0, 2, 1) @ dm
-    ds = dm @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g |= {"Q": flat(e).T @ flat(dq), "K": flat(e).T @ flat(dk), "V": flat(e).T @ flat(dv)}
-    de = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-    g["P"] = de.sum(axis=0)
-    g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], x.ravel(), flat(de))
-    return g
+    """Gradient of the mean cross-entropy of the classes y at the positions m of windows x; that of E as (ids, rows)."""
+    scale, share = np.float32(WIDTH**-0.5), np.float32(1 / max(1, m.sum()))
+    weights = np.concatenate([w["Q"] * scale, w["K"], w["V"]], axis=1)
+    g = {k: np.zeros_like(v) for k, v in w.items() if k not in "EQKV"}
+    joint, inputs = np.zeros_like(weights), []
+    for a in range(0, len(x), BLOCK):
+        flat, q, k, v, s, mixed, hidden = _attend(w, x[a : a + BLOCK])
+        z = hidden @ w["U"]
+        z += w["b"]
+        np.exp(np.clip(z, -60, 60, out=z), out=z)
+        mask = m[a : a + BLOCK].reshape(-1, 1) * share
+        z *= mask / z.sum(axis=1, keepdims=True)
+        z[np.arange(len(z)), y[a : a + BLOCK].ravel()] -= mask[:, 0]
+        g["U"] += hidden.T @ z
+        g["b"] += z.sum(axis=0)
+        d = z @ w["U"].T
+        g["O"] += mixed.T @ d
+        dm = (d @ w["O"].T).reshape(-1, SPAN, WIDTH)
+        ds = dm @ v.transpose(0, 2, 1)
+        ds *= s
+        ds -= s * ds.sum(axis=2, keepdims=True)
+        parts = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dm], axis=2).reshape(-1, 3 * WIDTH)
+        joint += flat.T @ parts
+        d += parts @ weights.T
+        g["P"] += d.reshape(-1, SPAN, WIDTH).sum(axis=0)
+        inputs.append(d)
+    order = np.argsort(x.ravel(), kind="stable")
+    ids = x.ravel()[order]
+    heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    rows = np.add.reduceat(np.concatenate(inputs)[order], heads, axis=0)
+    return g | {"Q": joint[:, :WIDTH] * scale, "K": joint[:, WIDTH : 2 * WIDTH], "V": joint[:, 2 * WIDTH :], "E": (ids[heads], rows)}
 
 
 def learn_all(texts: DataFrame, w: dict, classes: np.ndarray, end: int) -> tuple[dict, int]:
@@ -426,9 +441,13 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             before, target, scored, text = windows_of(bounds, end, ids)
             total = np.zeros(len(own))
             for a in range(0, len(before), 1024):
-                x, y = before[a : a + 1024], target[a : a + 1024]
-                logs = log_classes(weights, x, classes[y]) + log_within(exact, within, classes, x, y)
+                logs = log_classes(weights, before[a : a + 1024], classes[target[a : a + 1024]])
                 total += np.bincount(text[a : a + 1024], np.where(scored[a : a + 1024], logs, 0).sum(axis=1, dtype=np.float64), len(own))
+            previous = np.concatenate([[end], ids[:-1]])
+            previous[bounds[:-1]] = end
+            pair, which = np.unique(previous * len(classes) + ids, return_inverse=True)
+            logs = log_within(exact, within, classes, pair // len(classes), pair % len(classes))[which]
+            total += np.add.reduceat(logs, bounds[:-1], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(total / np.log(10))], ["row", "_key", "_held", "n_tokens", "score"])
 
     scores = texts.mapInArrow(score, f"row long, _key {kind_of_key}, _held boolean, n_tokens long, score double")

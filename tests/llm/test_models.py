@@ -90,6 +90,53 @@ def test_lm_base_against_counts(spark, monkeypatch):
     assert got[texts.index(None)].score == got[texts.index("")].score
 
 
+def test_lm_score_against_brute_force(spark, monkeypatch):
+    """The model's score from its definition, a token at a time, for given weights."""
+    L = lm_scoring
+    sub = L.subwords(sentencepiece_codec.default_model())
+    r = np.random.default_rng(8)
+    w = {k: r.standard_normal(s) * 0.5 for k, s in L._shapes(sub.size).items()}
+    monkeypatch.setattr(L, "learn", lambda *a: {k: v.astype(np.float32) for k, v in w.items()})
+    monkeypatch.setattr(L, "learn_all", lambda texts, w, *a: (w, 0))
+    texts = awkward(rng(7))[:30] + [None, "", "the end of the and", "the end of the"]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    ids = [[*sub.split(b"".join(b" " + x for x in (t or "").encode().lower().split())).tolist(), sub.end] for t in texts]
+    seen, after, mass, group_after, group_mass = np.zeros(sub.size), Counter(), Counter(), Counter(), Counter()
+    for own in (i for i, h in zip(ids, held) if not h):
+        np.add.at(seen, own, 1)
+    classes = L.classes_of(seen)
+    group = L.group_of(np.arange(sub.size)).tolist()
+    for own in (i for i, h in zip(ids, held) if not h):
+        for x, y in zip([sub.end, *own], own):
+            after[x, y] += 1
+            mass[x, classes[y]] += 1
+            group_after[group[x], y] += 1
+            group_mass[group[x], classes[y]] += 1
+    in_class = (seen + L.ADD) / np.bincount(classes, seen + L.ADD, L.CLASSES)[classes]
+
+    def within(x, y):
+        k = classes[y]
+        wide = (group_after[group[x], y] + L.SMOOTH * in_class[y]) / (group_mass[group[x], k] + L.SMOOTH)
+        return (after[x, y] + L.SMOOTH * wide) / (mass[x, k] + L.SMOOTH)
+
+    def of_class(before, k):
+        e = w["E"][before] + w["P"][: len(before)]
+        q, keys, values = e[-1] @ w["Q"], e @ w["K"], e @ w["V"]
+        a = np.exp(keys @ q * L.WIDTH**-0.5)
+        z = (e[-1] + (a / a.sum()) @ values @ w["O"]) @ w["U"] + w["b"]
+        return np.exp(z[k]) / np.exp(z).sum()
+
+    docs = documents(spark, texts)
+    got = {x.doc_id: x.score for x in L.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).collect()}
+    for i, own in enumerate(ids):
+        before, total = [sub.end, *own], 0.0
+        for t, y in enumerate(own[:400]):
+            start = 0 if t < L.SPAN else -(-(t - L.SPAN + 1) // (L.SPAN - L.OVERLAP)) * (L.SPAN - L.OVERLAP)
+            total += math.log10(of_class(before[start : t + 1], classes[y]) * within(before[t], y))
+        if len(own) <= 400:
+            assert math.isclose(got[i], total, rel_tol=2e-3), (i, len(own))
+
+
 def test_lm_edges(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "STEPS", 20)
     docs = documents(spark, ["a b", None])
