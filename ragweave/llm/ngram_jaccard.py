@@ -7,11 +7,12 @@ part are a combination. Sets that differ in m shingles at most cannot differ in
 that share frequent shingles alone share a combination. Their number grows with a set's size, not with its square,
 and all shingles of a combination must agree, so even frequent ones part texts that are put together from common pieces.
 
-Sets that share an index entry are not paired off. Equal sets are one class from the start. In each entry all sets of
-like size are verified against a central one of them; what links is one component. Only sets of different components
-that share an entry are left; entries are cut into blocks, pairs of blocks are dealt out, and bitmaps of the sets'
-parities are compared in place. Their Hamming distance is at most the number of shingles in which the sets differ, so
-no link between different sets is lost; what is close enough is verified on the texts.
+Equal sets are one class from the start. Sets that share a rare shingle are few; those of like size are compared by
+bitmaps of their parities, whose Hamming distance is at most the number of shingles in which the sets differ, so no
+link between different sets is lost; only the texts of close pairs are fetched and verified. Sets that share a
+combination are not paired off: in each entry all sets of like size are verified against a central one, and what links
+is one component. Only sets of different components that share an entry are left; entries are cut into blocks, pairs
+of blocks are dealt out, and bitmaps are compared in place before texts are.
 """
 
 from __future__ import annotations
@@ -61,9 +62,9 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
 BITMAP = 12
 
 
-def parities(shingles: np.ndarray) -> list[int]:
+def parities(shingles: np.ndarray) -> np.ndarray:
     counts = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def _signature(shingles: np.ndarray) -> int:
@@ -113,11 +114,8 @@ def combinations(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def close_pairs(cell: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of one cell and of different components whose sizes and bitmaps allow a link.
-
-    Rows are sorted by cell. In a cell of two blocks (side 0 and 1) rows of one side are not compared.
-    """
+def pairs_of(cell: np.ndarray, allowed) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of one cell for which allowed(i, j) holds; rows are sorted by cell."""
     found, i, step = [], np.arange(len(cell)), 0
     while True:
         step += 1
@@ -126,15 +124,26 @@ def close_pairs(cell: np.ndarray, side: np.ndarray, comp: np.ndarray, n: np.ndar
         if not len(i):
             break
         j = i + step
-        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j])) & (low * 100 >= high * percent)
-        a, b = i[ok], j[ok]
-        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-        near = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
-        found.append((a[near], b[near]))
+        ok = allowed(i, j)
+        found.append((i[ok], j[ok]))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (i, i)
 
 
+def whole_cells(batches, name: str):
+    """Columns of runs of whole cells, as a dictionary; the input is sorted by the column `name`."""
+    tail = None
+    for part in batches:
+        part = pa.Table.from_batches([part])
+        part = part if tail is None else pa.concat_tables([tail, part])
+        cells = part.column(name).to_numpy()
+        whole = int(np.searchsorted(cells, cells[-1])) if len(cells) else 0
+        if whole:
+            yield {c: part.column(c).slice(0, whole).to_numpy() for c in part.column_names}
+        tail = part.slice(whole)
+    if tail is not None and tail.num_rows:
+        yield {c: tail.column(c).to_numpy() for c in tail.column_names}
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) of every row: documents link when 100 * shared >= percent * united shingles.
 
@@ -149,9 +158,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     def sign(batches):
         for part in slices(batches, "text", _SLICE):
             sets = shingle_sets(R.raw_texts(part, 1), words)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())], ["doc", "n", "sig"])
+            bits = np.stack([parities(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(BITMAP))], ["doc", "n", "sig", *bitmap])
 
-    signed = materialize(rows.mapInArrow(sign, "doc long, n long, sig long"), "signed")
+    bitmap = [f"b{i}" for i in range(BITMAP)]
+    signed = materialize(rows.mapInArrow(sign, ", ".join(f"{c} long" for c in ("doc", "n", "sig", *bitmap))), "signed")
 
     def in_play(batches):
         """Different sets of a slice that can link with another: (signature, set)."""
@@ -160,8 +171,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             yield list({_signature(s): s for s in sets}.items())
 
     def first_tokens(batches):
+        """Counts of a prefix and half as much again, as what is put last is replaced by what follows."""
         for sets in in_play(batches):
-            tokens = np.concatenate([np.zeros(0, np.uint64), *(s[: len(s) - _shorter(len(s), percent) + 1] for _, s in sets)])
+            tokens = np.concatenate([np.zeros(0, np.uint64), *(s[: (len(s) - _shorter(len(s), percent) + 1) * 3 // 2 + 4] for _, s in sets)])
             tokens, counts = np.unique(tokens, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(counts)], ["token", "n"])
 
@@ -178,24 +190,42 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             keys, sigs, sizes = [], [], []
             for sig, s in sets:
                 length = len(s) - _shorter(len(s), percent) + 1
+                sigs.append((sig, len(s), length))
                 if len(common):
                     often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                    s = np.concatenate([s[~often][:length], s[often][:length]])[:length]
+                    s = np.concatenate([s[~often][:length], s[often][:length]])
                 keys.append(s[:length])
-                sigs.append(sig)
-                sizes.append(length)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.repeat(np.asarray(sigs, np.int64), sizes))], ["key", "sig"])
+                sig, size, times = np.asarray(sigs, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.repeat(sig, times)), pa.array(np.repeat(size, times))], ["key", "sig", "n"])
 
-    entries = materialize(rows.mapInArrow(index, "key long, sig long"), "entries")
+    entries = materialize(rows.mapInArrow(index, "key long, sig long, n long"), "entries")
     met = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("met")).where("lo <> hi").select("key", (F.col("met") > FREQUENT).alias("frequent"))
     shared = materialize(entries.join(met, "key").distinct(), "shared")
     discard(entries)
-    alone = shared.where("not frequent").select("key", "sig")
 
-    # The texts of the sets in play, by signature; the set is signed again, as keys may repeat.
-    wanted = shared.groupBy("sig").agg(F.max("frequent").alias("frequent"))
-    keeper = signed.where(F.col("n") >= least).groupBy("sig").agg(F.min("doc").alias("doc")).join(wanted, "sig")
+    # Rare shingles: at most FREQUENT sets each, whose pairs of like size are compared by bitmap.
+    def like_sizes(batches):
+        for c in whole_cells(batches, "key"):
+            sig, n = c["sig"], c["n"]
+            i, j = pairs_of(c["key"], lambda i, j: np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[i], sig[j])), pa.array(np.maximum(sig[i], sig[j]))], ["a", "b"])
+
+    alone = shared.where("not frequent").select("key", "sig", "n").repartition("key").sortWithinPartitions("key")
+    alike = materialize(alone.mapInArrow(like_sizes, "a long, b long").distinct(), "alike")
+    hot = shared.where("frequent").select("sig").distinct()
+    play = alike.select(F.col("a").alias("sig")).union(alike.select("b")).union(hot).distinct()
+    sized = materialize(signed.join(play, "sig").select("sig", "n", *bitmap).dropDuplicates(["sig"]), "sized")
+    x, y = sized.alias("x"), sized.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bitmap), F.lit(0))
+    close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
+    near = materialize(alike.join(x, F.col("a") == F.col("x.sig")).join(y, (F.col("b") == F.col("y.sig")) & close).select("a", "b"), "near")
+    discard(alike)
+
+    # The texts to verify, by signature; sets are signed again, as keys may repeat.
+    wanted = near.select(F.col("a").alias("sig")).union(near.select("b")).distinct().withColumn("frequent", F.lit(False)).union(hot.withColumn("frequent", F.lit(True))).groupBy("sig").agg(F.max("frequent").alias("frequent"))
+    keeper = materialize(signed.join(wanted, "sig").groupBy("sig", "frequent").agg(F.min("doc").alias("doc")), "keeper")
+    discard(shared)
 
     def shrink(batches):
         for part in slices(batches, "text", _SLICE):
@@ -203,22 +233,16 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             asked, often = (part.column(i).to_pylist() for i in (2, 3))
             for t, s, want, f in zip(raw, shingle_sets(raw, words), asked, often):
                 sig = _signature(s)
-                if (want is None or want == sig) and len(s) >= least:
-                    out.append((sig, len(s), R._squeeze.compress(t), parities(s), _signed(combinations(s, percent)) if f else None))
+                if want is None or want == sig:
+                    out.append((sig, R._squeeze.compress(t), _signed(combinations(s, percent)) if f and len(s) else None))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["sig", "n", "z", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["sig", "z", "keys"])
 
-    shape = "sig long, n long, z binary, bits array<long>, keys array<long>"
+    shape = "sig long, z binary, keys array<long>"
     texts = rows.join(keeper.where("doc is not null"), "doc").select("doc", "text", "sig", "frequent").mapInArrow(shrink, shape)
     orphans = rows.where("doc is null").select("doc", "text", F.lit(None).cast("long").alias("sig"), F.lit(True).alias("frequent")).mapInArrow(shrink, shape)
     orphans = orphans.join(keeper.where("doc is null").select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
     texts = materialize(texts.union(orphans), "texts")
-    combined = texts.select(F.explode("keys").alias("key"), "sig")
-    several = combined.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
-    sized = texts.select("sig", "n", *(F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP)))
-    groups = materialize(alone.union(combined.join(several, "key").distinct()).join(texts.select("sig", "n").distinct(), "sig"), "groups")
-    discard(shared)
 
     def overlap(batches):
         known = OrderedDict()
@@ -247,15 +271,25 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         x = x.join(texts.select(F.col("sig").alias("b"), F.col("z").alias("zb")), "b").select(*names, "za", "zb")
         return materialize(x.mapInArrow(overlap, ", ".join(f"{c} long" for c in names)), name)
 
-    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(BITMAP)), F.lit(0))
-    close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
+    label = components(verify(near, "links"))
+    named = label.withColumnRenamed("node", "sig")
 
-    # The set with the most shared entries is central to its near copies: the text they were made from, or close to it.
+    # Frequent shingles: combinations. The set with the most shared entries is central to its near copies.
+    combined = texts.select(F.explode("keys").alias("key"), "sig")
+    several = combined.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
+    groups = materialize(combined.join(several, "key").distinct().join(sized.select("sig", "n"), "sig"), "groups")
     central = groups.groupBy("sig").agg(F.count("*").alias("met"))
     classed = materialize(groups.join(central, "sig").withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-12))), "classed")
     discard(groups)
     salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS)))).alias("salt")
-    x, left, links, centers, done, label = sized.alias("x"), classed.withColumn("comp", F.col("sig")), None, None, None, None
+
+    def in_several() -> DataFrame:
+        """Entries that sets of more than one component share."""
+        own = classed.join(named, "sig", "left").withColumn("comp", F.coalesce("label", "sig")).drop("label")
+        split = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        return materialize(own.join(split, "key"), "left")
+
+    left, links, centers, done = in_several(), None, None, None
     for _ in range(STARS):
         fresh = left if done is None else left.join(done, ["key", "class", "comp"], "left_anti")
         pivots = materialize(fresh.groupBy("key", "class").agg(F.max(F.struct("met", "sig", "comp")).alias("p")).select("key", "class", "p.sig", "p.comp"), "pivots")
@@ -264,46 +298,39 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         y = sized.join(pivots.select("sig").distinct(), "sig").select("*", salts).alias("y")
         near = stars.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).alias("s").join(x, F.col("x.sig") == F.col("s.sig")).join(y, (F.col("y.sig") == F.col("s.pivot")) & (F.col("y.salt") == F.col("s.salt")) & close)
         found = verify(near.select(F.col("s.sig").alias("a"), F.col("s.pivot").alias("b")), "stars")
-        if links is not None and found.isEmpty():
+        if found.isEmpty():
             break
         links = found if links is None else links.union(found)
-        label = components(links)
+        label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
         named = label.withColumnRenamed("node", "sig")
-        earlier, left = left, classed.join(named, "sig", "left").withColumn("comp", F.coalesce("label", "sig")).drop("label")
-        split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        left = materialize(left.join(split, "key"), "left")
+        earlier, left = left, in_several()
         discard(earlier)
         centers = pivots.select("key", "class", "sig") if centers is None else centers.union(pivots.select("key", "class", "sig"))
         done = centers.join(named, "sig", "left").select("key", "class", F.coalesce("label", "sig").alias("comp")).distinct()
 
     # What is left: entries of several components, in blocks; every pair of blocks is a cell.
     def compare(batches):
-        tail = None
-        for part in batches:
-            part = pa.Table.from_batches([part])
-            if tail is not None:
-                part = pa.concat_tables([tail, part])
-            cells = part.column("cell").to_numpy()
-            whole = int(np.searchsorted(cells, cells[-1])) if len(cells) else 0
-            tail = part.slice(whole)
-            if whole:
-                yield from pairs_of(part.slice(0, whole))
-        if tail is not None and tail.num_rows:
-            yield from pairs_of(tail)
-
-    def pairs_of(part):
-        cell, side, sig, comp, n = (part.column(c).to_numpy() for c in ("cell", "side", "sig", "comp", "n"))
-        bits = np.stack([part.column(f"b{i}").to_numpy() for i in range(BITMAP)], axis=1).view(np.uint64)
-        i, j = close_pairs(cell, side, comp, n, bits, percent)
-        lo, hi = (np.where(sig[i] < sig[j], p, q) for p, q in ((i, j), (j, i)))
-        found = np.unique(np.stack([sig[lo], sig[hi], comp[lo], comp[hi]], axis=1), axis=0) if len(i) else np.zeros((0, 4), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["a", "b", "ca", "cb"])
+        for c in whole_cells(batches, "cell"):
+            side, sig, comp, n = c["side"], c["sig"], c["comp"], c["n"]
+            bits = np.stack([c[b] for b in bitmap], axis=1).view(np.uint64)
+
+            def may_link(i, j):
+                ok = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j])) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+                at = np.flatnonzero(ok)
+                differ = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1, dtype=np.int64)
+                ok[at] = differ * (100 + percent) <= (n[i[at]] + n[j[at]]) * (100 - percent)
+                return ok
+
+            i, j = pairs_of(c["cell"], may_link)
+            lo, hi = (np.where(sig[i] < sig[j], p, q) for p, q in ((i, j), (j, i)))
+            found = np.unique(np.stack([sig[lo], sig[hi], comp[lo], comp[hi]], axis=1), axis=0) if len(i) else np.zeros((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["a", "b", "ca", "cb"])
 
     blocks = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select("key", "blocks", salts)
     members = left.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(blocks, ["key", "salt"])
     members = members.withColumn("own", F.pmod(F.xxhash64("sig", F.lit(5)), "blocks").cast("int")).select("key", "sig", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = members.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "sig", "comp").join(sized, "sig")
-    cells = dealt.repartition("cell").sortWithinPartitions("cell").select("cell", "side", "sig", "comp", "n", *(f"b{i}" for i in range(BITMAP)))
+    cells = dealt.repartition("cell").sortWithinPartitions("cell").select("cell", "side", "sig", "comp", "n", *bitmap)
     late = verify(cells.mapInArrow(compare, "a long, b long, ca long, cb long").distinct(), "late")
     # Links between components are links between their labels; as few as there are such pairs of components.
     merged = components(late.select("ca", "cb").distinct(), "ca", "cb").select("node", F.col("label").alias("top"))
