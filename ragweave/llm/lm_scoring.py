@@ -23,15 +23,15 @@ from ragweave.llm import repeats as R
 from ragweave.llm.common import buckets, materialize, share_by_hash, slices
 from ragweave.llm.sentencepiece_codec import MARK, default_model
 
-WIDTH, CLASSES, SPAN, OVERLAP = 16, 64, 32, 8
+WIDTH, CLASSES, SPAN, OVERLAP = 16, 64, 16, 4
 #: Texts and windows the attention weights begin with, and steps of that; all training texts follow.
-TRAIN_TEXTS, TRAIN_WINDOWS, STEPS, BATCH = 5000, 120_000, 1500, 192
+TRAIN_TEXTS, TRAIN_WINDOWS, STEPS, BATCH = 5000, 240_000, 1500, 384
 #: Windows in a step over all training texts, its rate, and parts that the weights are summed in.
-ALL_BATCH, ALL_RATE, SUMS = 384, 0.002, 8
+ALL_BATCH, ALL_RATE, SUMS = 768, 0.002, 8
 #: Groups of ids, by hash, whose followers are counted; the weight of the class's own distribution in a group's.
-BUCKETS, SMOOTH = 1024, 2.0
+BUCKETS, SMOOTH = 1024, 8.0
 #: Windows worked on at once.
-BLOCK = 32
+BLOCK = 64
 _SLOTS, _MULTIPLY, _LONGEST = 17, np.uint64(0x9E3779B97F4A7C15), 7
 _MASKS = [np.uint64((1 << (8 * n)) - 1) for n in range(_LONGEST + 1)]
 ADD = 0.1
@@ -92,6 +92,19 @@ class Subwords:
         return out[places] - 1, places
 
 
+def spread(ids: np.ndarray, places: np.ndarray, starts: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of a run of words, bounds of its texts in them), from the ids and places of each distinct word, which begins
+    at starts; words numbers the run's words, bounds cuts it into texts."""
+    order = np.argsort(starts)
+    heads = np.searchsorted(places, starts[order])
+    head, count = np.empty_like(heads), np.empty_like(heads)
+    head[order], count[order] = heads, np.diff(np.append(heads, len(places)))
+    sizes = count[words]
+    ends = np.cumsum(sizes)
+    at = np.repeat(head[words] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return ids[at], np.concatenate([[0], ends])[bounds]
+
+
 @lru_cache(maxsize=2)
 def subwords(model_path: str) -> Subwords:
     return Subwords(model_path)
@@ -104,7 +117,7 @@ def _shapes(vocabulary: int) -> dict[str, tuple]:
     return {"E": (vocabulary, WIDTH), "P": (SPAN, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "U": (WIDTH, CLASSES), "b": (CLASSES,)}
 
 
-_FUTURE = np.triu(np.full((SPAN, SPAN), -1e9, dtype=np.float32), 1)
+_PAST = np.tri(SPAN, dtype=np.float32)
 
 
 def _attend(w: dict, x: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -113,8 +126,8 @@ def _attend(w: dict, x: np.ndarray) -> tuple[np.ndarray, ...]:
     joint = flat @ np.concatenate([w["Q"] * np.float32(WIDTH**-0.5), w["K"], w["V"]], axis=1)
     q, k, v = (joint[:, i * WIDTH : (i + 1) * WIDTH].reshape(-1, SPAN, WIDTH) for i in range(3))
     s = q @ k.transpose(0, 2, 1)
-    s += _FUTURE
-    np.exp(np.minimum(s, 30, out=s), out=s)
+    np.exp(np.clip(s, -30, 30, out=s), out=s)
+    s *= _PAST
     s /= s.sum(axis=2, keepdims=True)
     mixed = (s @ v).reshape(-1, WIDTH)
     return flat, q, k, v, s, mixed, flat + mixed @ w["O"]
@@ -248,11 +261,18 @@ def windows_of(bounds: np.ndarray, end: int, ids: np.ndarray, overlap: int = OVE
     counts = 1 + np.maximum(0, -(-(sizes - SPAN) // step))
     text = np.repeat(np.arange(len(sizes)), counts)
     number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    place = (number * step)[:, None] + np.arange(SPAN)
-    inside = place < sizes[text][:, None]
-    at = bounds[text][:, None] + np.minimum(place, sizes[text][:, None] - 1)
-    before = np.where(place > 0, ids[np.maximum(at - 1, 0)], end)
-    return before, ids[at], inside & ((number == 0)[:, None] | (np.arange(SPAN) >= overlap)), text
+    place = (number * step).astype(np.int32)[:, None] + np.arange(SPAN, dtype=np.int32)
+    inside = place < sizes[text].astype(np.int32)[:, None]
+    at = np.minimum(bounds[text].astype(np.int32)[:, None] + place, np.int32(max(0, len(ids) - 1)))
+    fresh = inside & ((number == 0)[:, None] | (np.arange(SPAN) >= overlap))
+    return previous_of(bounds, end, ids)[at], ids[at], fresh, text
+
+
+def previous_of(bounds: np.ndarray, end: int, ids: np.ndarray) -> np.ndarray:
+    """The id before each; the end id before a text's first."""
+    out = np.concatenate([[end], ids[:-1]])
+    out[bounds[:-1]] = end
+    return out.astype(ids.dtype)
 
 
 def classes_of(counts: np.ndarray) -> np.ndarray:
@@ -325,14 +345,13 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             text = b" ".join([b"", *raw, b""]).translate(_FOLD)
             tokens, bounds, first, last = R.words_in(text, sizes)
             bounds = bounds[1:]
-            hashes, flat = np.unique(tokens, return_inverse=True)
+            hashes, where, flat = np.unique(tokens, return_index=True, return_inverse=True)
             doc = np.repeat(np.arange(len(raw)), np.diff(bounds))
             train = np.bincount(flat[~held[doc]], minlength=len(hashes)).astype(np.uint32)
             pairs, times = np.unique(flat * len(raw) + doc, return_counts=True)
             word, of = pairs // len(raw), (pairs % len(raw)).astype(np.uint32)
             part_of = R.bucket_of(hashes, n)
-            flat_ids, places = sub.split_at(text, first - 1, last)
-            cuts = np.searchsorted(places, np.cumsum([0, *(x + 1 for x in sizes)]) - 1)[1:]  # a first word holds the space before its text
+            flat_ids, cuts = spread(*sub.split_at(text, first[where] - 1, last[where]), first[where] - 1, flat, bounds)
             ids = [flat_ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
             follow = np.concatenate([[sub.end], *(np.append(i, sub.end) for i, h in zip(ids, held) if not h)])
             pair, often = np.unique(follow[:-1].astype(np.int64) * sub.size + follow[1:], return_counts=True)
@@ -443,9 +462,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             for a in range(0, len(before), 1024):
                 logs = log_classes(weights, before[a : a + 1024], classes[target[a : a + 1024]])
                 total += np.bincount(text[a : a + 1024], np.where(scored[a : a + 1024], logs, 0).sum(axis=1, dtype=np.float64), len(own))
-            previous = np.concatenate([[end], ids[:-1]])
-            previous[bounds[:-1]] = end
-            pair, which = np.unique(previous * len(classes) + ids, return_inverse=True)
+            pair, which = np.unique(previous_of(bounds, end, ids) * len(classes) + ids, return_inverse=True)
             logs = log_within(exact, within, classes, pair // len(classes), pair % len(classes))[which]
             total += np.add.reduceat(logs, bounds[:-1], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(total / np.log(10))], ["row", "_key", "_held", "n_tokens", "score"])
