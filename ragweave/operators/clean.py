@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 from ragweave.functions import text as T
 
 
-def explode_paragraphs(docs: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """(key, idx, para) for every paragraph, from 0."""
-    return docs.select(key, F.posexplode(T.paragraphs(F.col(text))).alias("idx", "para"))
+def explode_paragraphs(docs: DataFrame, key: str = "path", text: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns of keep, idx, para) for every paragraph, from 0."""
+    return docs.select(key, *keep, F.posexplode(T.paragraphs(F.col(text))).alias("idx", "para"))
 
 
 def seek_first_content(paras: DataFrame, key: str = "path") -> DataFrame:
@@ -37,10 +37,10 @@ def normalize_paragraphs(paras: DataFrame) -> DataFrame:
     return paras.withColumn("para", T.normalize_space(F.col("para"))).where("para <> ''")
 
 
-def core_paragraphs(docs: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """(key, idx, para): all cleaning steps; one exchange by key serves every window."""
-    sliced = docs.select(key, T.contents_slice(F.col(text)).alias(text))
-    return drop_sections(normalize_paragraphs(seek_first_content(explode_paragraphs(sliced, key, text), key)), key)
+def core_paragraphs(docs: DataFrame, key: str = "path", text: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns of keep, idx, para): all cleaning steps; one exchange by key serves every window."""
+    sliced = docs.select(key, *keep, T.contents_slice(F.col(text)).alias(text))
+    return drop_sections(normalize_paragraphs(seek_first_content(explode_paragraphs(sliced, key, text, keep), key)), key)
 
 
 def core_text(docs: DataFrame, key: str = "path", text: str = "content") -> DataFrame:

@@ -20,22 +20,23 @@ FAITHFUL_PROMPT = "Compare the answer with the passages, claim by claim. End wit
 
 
 def relevance_verdict(reply: Column, compat: bool = False) -> Column:
-    """RELEVANT or NOT RELEVANT; compat takes any reply that holds the word RELEVANT for the first."""
-    said = F.upper(F.trim(F.coalesce(reply, F.lit(""))))
+    """RELEVANT or NOT RELEVANT; null without a reply. compat takes any reply that holds the word RELEVANT for the first."""
+    said = F.upper(F.trim(reply))
     no = F.lit(False) if compat else F.contains(said, F.lit("NOT RELEVANT"))
-    return F.when(~no & F.contains(said, F.lit("RELEVANT")), "RELEVANT").otherwise("NOT RELEVANT")
+    return F.when(~no & F.contains(said, F.lit("RELEVANT")), "RELEVANT").when(reply.isNotNull(), "NOT RELEVANT")
 
 
 def recall_verdict(reply: Column) -> Column:
-    said = F.upper(F.trim(F.coalesce(reply, F.lit(""))))
-    return F.when(F.contains(said, F.lit("UNANSWERABLE")), "UNANSWERABLE").when(F.contains(said, F.lit("YES")), "YES").otherwise("NO")
+    """UNANSWERABLE, YES or NO; null without a reply."""
+    said = F.upper(F.trim(reply))
+    return F.when(F.contains(said, F.lit("UNANSWERABLE")), "UNANSWERABLE").when(F.contains(said, F.lit("YES")), "YES").when(reply.isNotNull(), "NO")
 
 
 def faithfulness_verdict(report: Column) -> Column:
-    """1 faithful, 0 unfaithful, -1 undecided; an explicit final verdict comes before a bare word."""
-    said = F.lower(F.coalesce(report, F.lit("")))
+    """1 faithful, 0 unfaithful, -1 undecided, null without a report; an explicit final verdict comes before a bare word."""
+    said = F.lower(report)
     has = lambda s: F.contains(said, F.lit(s))
-    return F.when(has("final verdict: faithful"), 1).when(has("final verdict: unfaithful"), 0).when(has("unfaithful"), 0).when(has("faithful"), 1).otherwise(-1)
+    return F.when(has("final verdict: faithful"), 1).when(has("final verdict: unfaithful"), 0).when(has("unfaithful"), 0).when(has("faithful"), 1).when(report.isNotNull(), -1)
 
 
 def is_answerable(query_type: Column) -> Column:
@@ -81,31 +82,37 @@ def rouge_l(reference: Column, candidate: Column, stem: bool = True) -> Column:
     return run(reference, candidate)
 
 
-def judge_relevance(hits: DataFrame, make: Callable[[], ChatModel], compat: bool = False) -> DataFrame:
-    """Add relevance to hits that carry their query."""
+def judge_relevance(hits: DataFrame, make: Callable[[], ChatModel], compat: bool = False, strict: bool = False) -> DataFrame:
+    """Add relevance to hits that carry their query; null where the judge failed."""
     prompt = F.concat(F.lit("Question: "), F.col("query"), F.lit("\n\nPassage:\nSource: "), F.coalesce("source", F.lit("")), F.lit("\nContent: "), F.col("text"))
-    asked = hits.withColumn("_reply", generate.ask(make, RELEVANCE_PROMPT, prompt))
+    asked = hits.withColumn("_reply", generate.ask(make, RELEVANCE_PROMPT, prompt, strict))
     return asked.withColumn("relevance", relevance_verdict(F.col("_reply"), compat)).drop("_reply")
 
 
 def precision_at_k(queries: DataFrame, judged: DataFrame) -> DataFrame:
-    """(query_id, ret_precision): share of returned hits that are relevant; 0 without hits."""
-    share = judged.groupBy("query_id").agg(F.avg((F.col("relevance") == "RELEVANT").cast("int")).alias("p"))
-    return queries.select("query_id").join(share, "query_id", "left").select("query_id", F.coalesce("p", F.lit(0.0)).alias("ret_precision"))
+    """(query_id, ret_precision): share of judged hits that are relevant; 0 without hits, null if no judgement came."""
+    share = judged.groupBy("query_id").agg(F.avg((F.col("relevance") == "RELEVANT").cast("int")).alias("p"), F.lit(True).alias("hit"))
+    found = queries.select("query_id").join(share, "query_id", "left")
+    return found.select("query_id", F.when(F.col("hit").isNull(), 0.0).otherwise(F.col("p")).alias("ret_precision"))
 
 
-def audit(answered: DataFrame, judged: DataFrame, make: Callable[[], ChatModel]) -> DataFrame:
-    """Evaluated queries: precision, recall verdict, ROUGE-L, faithfulness and its report, for (query_id, query_type, query, answer, model_answer)."""
-    rows = answered.join(precision_at_k(answered, judged), "query_id").join(generate.ordered_hits(judged), "query_id", "left")
+def audit(answered: DataFrame, judged: DataFrame, make: Callable[[], ChatModel], make_faithful: Callable[[], ChatModel] | None = None, strict: bool = False) -> DataFrame:
+    """Evaluated queries: precision, recall verdict, ROUGE-L, faithfulness and its report, for (query_id, query_type, query, answer, model_answer).
+
+    `make` judges retrieval, `make_faithful` answers. Judgements that failed are null, and judge_failures counts them.
+    """
+    rows = answered.join(precision_at_k(answered, judged), "query_id").join(generate.ordered_hits(judged, "final_rank", "relevance"), "query_id", "left")
     question = F.concat(F.lit("Question: "), F.col("query"), F.lit("\n\nAnswer:\n"))
     gold = F.coalesce("answer", F.lit(""))
     recall = F.concat(question, gold, F.lit("\n\nPassages:\n"), F.coalesce(generate.recall_context(F.col("hits")), F.lit("")))
     faith = F.concat(question, F.col("model_answer"), F.lit("\n\nPassages:\n"), F.coalesce(generate.judge_context(F.col("hits")), F.lit("")))
     answerable, given = is_answerable(F.col("query_type")), F.coalesce("model_answer", F.lit("")) != ""
-    asked = rows.withColumn("_recall", generate.ask(make, RECALL_PROMPT, recall)).withColumn("_report", generate.ask(make, FAITHFUL_PROMPT, F.when(answerable & given, faith)))
+    asked = rows.withColumn("_recall", generate.ask(make, RECALL_PROMPT, recall, strict)).withColumn("_report", generate.ask(make_faithful or make, FAITHFUL_PROMPT, F.when(answerable & given, faith), strict))
     rejected = refused(F.col("model_answer"))
+    unjudged = F.coalesce(F.size(F.filter("hits", lambda h: h["relevance"].isNull())), F.lit(0))
     return asked.withColumns(
         {
+            "judge_failures": unjudged + F.col("_recall").isNull().cast("int") + (answerable & given & F.col("_report").isNull()).cast("int"),
             "ret_recall": recall_verdict(F.col("_recall")),
             "rouge_score": F.when(~answerable, F.lit(0.0)).when(given, rouge_l(gold, F.coalesce("model_answer", F.lit("")))),
             "faithfulness_verdict": F.when(~answerable, rejected.cast("int")).when(given, faithfulness_verdict(F.col("_report"))),

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ragweave.functions import text as T
 from ragweave.operators import evaluate
@@ -32,7 +33,7 @@ def detail(evaluated: DataFrame) -> DataFrame:
     """One row for each query, numbered from 1 in the order of query_id (ids are dense from 0 or 1 or numbered anew by a sort)."""
     from ragweave.operators.chunk import dense_ids
 
-    numbered = dense_ids(evaluated, ["query_id"], "_n")
+    numbered = dense_ids(evaluated.withColumn("_place", F.row_number().over(Window.partitionBy("query_id").orderBy("query_id")) - 1), "query_id", "_place", "_n")
     return numbered.select(
         (F.col("_n") + 1).alias("ID"), F.col("query").alias("Question"), F.col("answer").alias("Reference"), F.col("model_answer").alias("Model Answer"), F.col("ret_recall").alias("Recall Verdict"), F.col("rouge_score").alias("ROUGE-L"), F.col("faithfulness_verdict").alias("Faithfulness Verdict"), F.col("faithfulness_report").alias("Audit Report (Raw)"), F.col("traceable_context").alias("Sources Used"),
     )
@@ -60,7 +61,7 @@ def source_or_na(source: Column, metadata_source: Column) -> Column:
 
 def display(hits: DataFrame, rank: str = "final_rank", wrapped: bool = True) -> DataFrame:
     """Ranked table for people; missing scores show as N/A."""
-    text, source = F.coalesce("text", F.lit("N/A")), F.coalesce("source", F.lit("N/A"))
+    text, source = F.coalesce("text", F.lit("N/A")), source_or_na(F.col("source"), F.col("metadata.source") if "metadata" in hits.columns else F.lit(None))
     return hits.select(
         F.col(rank).alias("Rank"), (T.wrap(source, 20) if wrapped else source).alias("Source"), T.display_score(F.col("score")).alias("Similarity Score"), T.display_score(F.col("relevance_score")).alias("Re-Ranker Score"), F.coalesce("relevance", F.lit("-")).alias("Precision Verdict"), (T.wrap(text, 100) if wrapped else text).alias("Text Snippet"),
     )

@@ -1,4 +1,4 @@
-"""Exact similarity search of query batches: blocks of queries against all index rows, partial top-N in each batch."""
+"""Exact similarity search of query batches: every task keeps the best rows of each query, a window merges them."""
 
 from __future__ import annotations
 
@@ -10,8 +10,13 @@ from pyspark.sql.window import Window
 
 from ragweave.functions import text as T
 
-#: Queries whose vectors are sent to every task at once; larger sets go in several such blocks.
+#: Queries that are compared at once, and up to which all are sent to every task; more are dealt out against groups of index rows.
 QUERY_BLOCK = 4096
+#: Index rows of a group, about.
+GROUP_ROWS = 262_144
+#: Decimals of a score: equal vectors tie, wherever they are computed.
+DECIMALS = 12
+_FOUND = "query_id long, chunk_id long, score double"
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -23,6 +28,44 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, flat.reshape(len(at), -1)
 
 
+def _unit(data: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(data, axis=1, keepdims=True)
+    return np.divide(data, size, out=np.zeros_like(data), where=size > 0)
+
+
+class _Best:
+    """The n best rows of each query so far, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, n: int):
+        self.ids, self.unit, self.n, self.found, self.size = ids, unit, n, [], 0
+
+    def add(self, keys: np.ndarray, data: np.ndarray) -> None:
+        scores = np.round(self.unit @ data.T, DECIMALS)
+        if len(keys) > self.n:
+            floor = np.partition(scores, len(keys) - self.n, axis=1)[:, len(keys) - self.n][:, None]
+            q, k = np.nonzero(scores >= floor)
+        else:
+            q, k = np.divmod(np.arange(scores.size), len(keys))
+        self.found.append((q, keys[k], scores[q, k]))
+        self.size += len(q)
+        if self.size > 8 * self.n * len(self.ids):
+            self.prune()
+
+    def prune(self) -> None:
+        q, keys, scores = (np.concatenate(c) for c in zip(*self.found))
+        order = np.lexsort((keys, -scores, q))
+        q, keys, scores = q[order], keys[order], scores[order]
+        first = np.searchsorted(q, np.arange(len(self.ids)))
+        kept = np.arange(len(q)) - first[q] < self.n
+        self.found, self.size = [(q[kept], keys[kept], scores[kept])], int(kept.sum())
+
+    def batch(self) -> pa.RecordBatch:
+        if self.found:
+            self.prune()
+        q, keys, scores = self.found[0] if self.found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(keys.astype(np.int64)), pa.array(scores)], ["query_id", "chunk_id", "score"])
+
+
 def top_n(queries: DataFrame, index: DataFrame, n: int = 100, method: str = "faiss", query_key: str = "query_id", query_vector: str = "query_embedding", key: str = "chunk_id") -> DataFrame:
     """(query_id, rank, chunk_id, score): the n best rows of each query, ties to the smaller id.
 
@@ -31,56 +74,75 @@ def top_n(queries: DataFrame, index: DataFrame, n: int = 100, method: str = "fai
     """
     if method not in ("base", "faiss"):
         raise ValueError(f"unknown search method {method!r}")
-    column = "embedding" if method == "base" else "norm_embedding"
-    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).cast("long").alias("q"), F.col(query_vector).alias("v"))
-    rows = index.select(F.col(key).cast("long").alias("k"), F.col(column).alias("v"))
-    spark = queries.sparkSession
-    blocks, held = [], []
-
-    def close():
-        sent = spark.sparkContext.broadcast((np.asarray([q for q, _ in held], dtype=np.int64), np.asarray([v for _, v in held], dtype=np.float64)))
-        blocks.append(rows.mapInArrow(_scorer(sent, n, method == "base"), "query_id long, chunk_id long, score double"))
-        held.clear()
-
-    for r in asked.toLocalIterator():
-        if np.linalg.norm(r.v) > 0:
-            held.append((r.q, r.v))
-            if len(held) == QUERY_BLOCK:
-                close()
-    if held or not blocks:
-        close()
-    found = blocks[0]
-    for b in blocks[1:]:
-        found = found.union(b)
+    cosine = method == "base"
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).cast("long").alias("k"), F.col(query_vector).alias("v")).where(norm > 0)
+    rows = index.select(F.col(key).cast("long").alias("k"), F.col("embedding" if cosine else "norm_embedding").alias("v"))
+    some = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if some.num_rows <= QUERY_BLOCK:
+        found = rows.mapInArrow(_scan(queries.sparkSession.sparkContext.broadcast(some), n, cosine), _FOUND)
+    else:
+        found = _grid(asked, rows, n, cosine)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n).select("query_id", "rank", "chunk_id", "score")
 
 
-def _scorer(sent, n: int, cosine: bool):
+def _scan(sent, n: int, cosine: bool):
+    """All queries against the rows of a task."""
+
     def run(batches):
-        ids, vectors = sent.value
-        if not len(ids):
+        asked = sent.value.combine_chunks()
+        if not asked.num_rows:
             return
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        best = _Best(np.asarray(asked.column(0)), _unit(_matrix(asked.column(1).combine_chunks())[1]), n)
         for batch in batches:
             at, data = _matrix(batch.column(1))
-            if not len(at):
-                continue
-            if cosine:
-                size = np.linalg.norm(data, axis=1, keepdims=True)
-                data = np.divide(data, size, out=np.zeros_like(data), where=size > 0)
-            scores = unit @ data.T
-            keys = np.asarray(batch.column(0))[at]
-            if len(keys) > n:
-                floor = np.partition(scores, len(keys) - n, axis=1)[:, len(keys) - n][:, None]
-                q, k = np.nonzero(scores >= floor)  # ties stay; the window decides
-            else:
-                q, k = np.divmod(np.arange(scores.size), len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[k]), pa.array(scores[q, k])], ["query_id", "chunk_id", "score"])
+            if len(at):
+                best.add(np.asarray(batch.column(0))[at], _unit(data) if cosine else data)
+        yield best.batch()
 
     return run
 
 
+def _grid(asked: DataFrame, rows: DataFrame, n: int, cosine: bool) -> DataFrame:
+    """Packed blocks of queries meet every group of packed index rows; a task holds one group and one block."""
+    groups = max(1, -(-rows.count() // GROUP_ROWS))
+
+    def pack(kind: int, unit: bool):
+        def run(batches):
+            for batch in batches:
+                at, data = _matrix(batch.column(1))
+                if len(at):
+                    data, keys = _unit(data) if unit else data, np.asarray(batch.column(0))[at]
+                    for a in range(0, len(at), QUERY_BLOCK):
+                        part = keys[a : a + QUERY_BLOCK]
+                        cell = int(part.astype(np.uint64).sum() * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % groups
+                        yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([kind], pa.int32()), pa.array([part.astype(np.int64).tobytes()], pa.binary()), pa.array([data[a : a + QUERY_BLOCK].tobytes()], pa.binary())], ["cell", "kind", "ids", "vectors"])
+
+        return run
+
+    def score(batches):
+        now, held = None, []
+        for batch in batches:
+            for cell, kind, ids, vectors in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(ids, np.int64)
+                data = np.frombuffer(vectors, np.float64).reshape(len(ids), -1)
+                if cell != now:
+                    now, held = cell, []
+                if kind == 0:
+                    held.append((ids, data))
+                    continue
+                best = _Best(ids, data, n)
+                for keys, part in held:
+                    best.add(keys, part)
+                yield best.batch()
+
+    shape = "cell int, kind int, ids binary, vectors binary"
+    blocks = asked.mapInArrow(pack(1, True), shape).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = rows.mapInArrow(pack(0, cosine), shape).union(blocks).repartition("cell").sortWithinPartitions("cell", "kind")
+    return dealt.mapInArrow(score, _FOUND)
+
+
 def with_text(hits: DataFrame, index: DataFrame) -> DataFrame:
     """Join text and source to hits by chunk id, after the cut."""
     return hits.join(index.select("chunk_id", "text", "source"), "chunk_id").select("query_id", "rank", "score", "chunk_id", "text", "source")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ragweave.functions import text as T
 from ragweave.operators import chunk, clean, embed, evaluate, generate, merge, report, route, search
 from ragweave.plans import experiment
-from ragweave.plans.config import Settings
+from ragweave.plans.config import BRIDGES, CONCEPTS, THINKERS, Settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -259,50 +259,94 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.format_string("%010d", "doc_id").alias("path"), F.concat("source", F.lit(".txt")).alias("filename"), F.expr("replace(text, chr(10), chr(10) || chr(10))").alias("content"))
 
 
+_FOLDED = """walk AS (
+        SELECT path, idx, 1 AS i, s, CAST('' AS VARCHAR) AS buf, CAST([] AS VARCHAR[]) AS done FROM long_ones
+        UNION ALL
+        SELECT path, idx, i + 1, s, CASE WHEN length(buf) + length(s[i]) <= 1200 THEN trim(CASE WHEN buf = '' THEN s[i] ELSE buf || ' ' || s[i] END) ELSE s[i] END,
+            CASE WHEN length(buf) + length(s[i]) <= 1200 OR buf = '' THEN done ELSE list_append(done, buf) END FROM walk WHERE i <= len(s)),
+    folded AS (SELECT path, idx, CASE WHEN buf = '' THEN done ELSE list_append(done, buf) END AS p FROM walk WHERE i = len(s) + 1)"""
+_MASTERS = rf"""docs AS (SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS path, source || '.txt' AS source, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents),
+    trimmed AS (SELECT path, source, {_STRIP.format('t')} AS t FROM (SELECT path, source, {_JOIN.format('t')} AS t FROM docs)),
+    marked AS (SELECT *, CASE WHEN contains(t, 'TABLE OF CONTENTS') THEN 'TABLE OF CONTENTS' WHEN contains(t, 'CONTENTS') THEN 'CONTENTS' END AS m FROM trimmed),
+    sliced AS (SELECT path, source, CASE WHEN m IS NULL THEN t ELSE substr(t, length(t) - instr(reverse(t), reverse(m)) - length(m) + 2) END AS t FROM marked),
+    p AS (SELECT path AS doc_id, unnest(range(0, len(a))) AS idx, unnest(a) AS para FROM (SELECT path, string_split(t, chr(10) || chr(10)) AS a FROM sliced)),
+    f AS (SELECT *, CASE WHEN idx >= 2 AND length(para) > 100 AND lead(length(para)) OVER (PARTITION BY doc_id ORDER BY idx) > 100 THEN idx END AS hit FROM p),
+    g AS (SELECT doc_id, idx, para, coalesce(min(hit) OVER (PARTITION BY doc_id) - 2, 0) AS start FROM f),
+    s0 AS (SELECT doc_id, idx, para FROM g WHERE idx >= start), {_SECTIONS.format('s0')},
+    long_ones AS (SELECT doc_id AS path, idx, {_SENTENCES.format('para')} AS s FROM kept WHERE length(para) > 1200),
+    {_FOLDED},
+    parts AS (SELECT path, idx, i AS part, p[i] AS text FROM folded, unnest(range(1, len(p) + 1)) t(i) UNION ALL SELECT doc_id, idx, 1, para FROM kept WHERE length(para) <= 1200),
+    masters AS (SELECT row_number() OVER (ORDER BY path, idx, part) - 1 AS master_id, text, source, path, row_number() OVER (PARTITION BY path ORDER BY idx, part) AS pos FROM parts JOIN docs USING (path))"""
+_REACH = "list_transform(range(1, len(s) + 1), lambda j: length(s[j]) + greatest(0, coalesce(list_sum(list_transform(s[1:j - 1], lambda x: length(x) + 1)), 0) - 1))"
+#: Packing: one row for each source walks over its master chunks; a chunk that is too short is split between sentences.
+_PACKED = f"""steps AS (
+        SELECT path, 1 AS i, CAST('' AS VARCHAR) AS buf, CAST([] AS BIGINT[]) AS ids, CAST([] AS STRUCT(core VARCHAR, ids BIGINT[])[]) AS done FROM masters WHERE pos = 1
+        UNION ALL
+        SELECT path, i + 1, CASE WHEN fits THEN joined WHEN filled THEN text ELSE array_to_string(s[cut + 1:], ' ') END,
+            CASE WHEN fits THEN list_append(ids, master_id) WHEN filled THEN [master_id] WHEN cut < len(s) THEN [master_id] ELSE [] END,
+            CASE WHEN fits THEN done WHEN filled THEN list_append(done, {{'core': buf, 'ids': ids}}) ELSE list_append(done, {{'core': array_to_string(s[1:cut], ' '), 'ids': list_append(ids, master_id)}}) END
+        FROM (SELECT *, CASE WHEN inside < len(s) AND (r[inside + 1] <= 2400 OR inside = 0) THEN inside + 1 ELSE inside END AS cut
+            FROM (SELECT *, len(list_filter(r, lambda x: x <= 1200)) AS inside
+            FROM (SELECT *, {_REACH} AS r
+            FROM (SELECT *, CASE WHEN fits OR filled THEN [] ELSE list_transform({_SENTENCES.format('joined')}, lambda x: trim(x)) END AS s
+            FROM (SELECT w.path, w.i, w.buf, w.ids, w.done, m.text, m.master_id, length(w.buf) + length(m.text) <= 1200 AS fits, length(w.buf) >= 800 AS filled, CASE WHEN w.buf = '' THEN m.text ELSE w.buf || ' ' || m.text END AS joined
+                FROM steps w JOIN masters m ON m.path = w.path AND m.pos = w.i)))))),
+    ends AS (SELECT path, CASE WHEN buf = '' THEN done ELSE list_append(done, {{'core': buf, 'ids': ids}}) END AS c, i, max(i) OVER (PARTITION BY path) AS top FROM steps),
+    cores AS (SELECT path, n, c[n].core AS core, c[n].ids AS ids FROM ends, unnest(range(1, len(c) + 1)) t(n) WHERE i = top)"""
+_CHUNKS = _Template("""SELECT row_number() OVER (ORDER BY path, n) - 1 AS chunk_id, text, CAST(length(text) AS INTEGER) AS size, array_to_string(ids, ',') AS master_ids, source, path
+    FROM ({0}) JOIN docs USING (path)""")
+_SUFFIX = "len(list_filter(range(1, len(s) + 1), lambda k: list_sum(list_transform(s[len(s) - k + 1:], lambda x: length(x) + 1)) <= floor(length(prev) * 0.3D)))".replace("0.3D", "CAST(0.3 AS DOUBLE)")
+_OVERLAPPED = f"""SELECT path, n, ids, CASE WHEN prev IS NULL THEN core WHEN k > 0 THEN trim(array_to_string(s[len(s) - k + 1:], ' ') || ' ' || core) WHEN length(s[len(s)]) < 600 THEN trim(s[len(s)] || ' ' || core) ELSE core END AS text
+    FROM (SELECT *, {_SUFFIX} AS k FROM (SELECT *, {_SENTENCES.format('prev')} AS s FROM (SELECT *, lag(core) OVER (PARTITION BY path ORDER BY n) AS prev FROM cores)))"""
+
+
 def _masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.master_chunks(_files(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_MASTERS} SELECT master_id, text, source, path FROM masters")
 def master_chunks(spark, sf_dir):
     return _masters(spark, sf_dir).select("master_id", "text", "metadata.source", "metadata.path")
 
 
 def _packed(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    return chunk.pack(_masters(spark, sf_dir), 800, mode).select("chunk_id", "text", "size", "original_master_ids", "metadata.source", "metadata.path")
+    packed = chunk.pack(_masters(spark, sf_dir), 800, mode)
+    return packed.select("chunk_id", "text", "size", F.array_join("original_master_ids", ",").alias("master_ids"), "metadata.source", "metadata.path")
 
 
-@query()
+@query(f"WITH RECURSIVE {_MASTERS}, {_PACKED} {_CHUNKS.format('SELECT path, n, ids, core AS text FROM cores')}")
 def pack_clean(spark, sf_dir):
     return _packed(spark, sf_dir, "clean")
 
 
-@query()
+@query(f"WITH RECURSIVE {_MASTERS}, {_PACKED} {_CHUNKS.format(_OVERLAPPED)}")
 def pack_overlap(spark, sf_dir):
     return _packed(spark, sf_dir, "overlap")
 
 
-@query("SELECT count(*) AS n_chunks, round(avg(length(text)), 2) AS mean_size, CAST(max(length(text)) AS INTEGER) AS max_size, CAST(min(length(text)) AS INTEGER) AS min_size FROM documents")
+@query(f"WITH RECURSIVE {_MASTERS} SELECT count(*) AS n_chunks, round(avg(length(text)), 2) AS mean_size, CAST(max(length(text)) AS INTEGER) AS max_size, CAST(min(length(text)) AS INTEGER) AS min_size FROM masters")
 def chunk_stats(spark, sf_dir):
-    return chunk.chunk_stats(read(spark, sf_dir, "documents"))
+    return chunk.chunk_stats(_masters(spark, sf_dir))
 
 
 # Routing.
 
-_LEXICON = ("the", "and", "tion")
+_ASKED = "CASE turn % 5 WHEN 0 THEN 'Compare Mill and Bain on \"induction\". ' WHEN 1 THEN 'How do Jevons, De Morgan and Venn differ on the syllogism vs ''axioms''? ' WHEN 2 THEN 'What is a premise? ' ELSE '' END || text"
+
 
+def _stems(words, column):
+    return "(" + " + ".join(f"CAST(contains(lower({column}), '{w}') AS INTEGER)" for w in words) + ")"
 
-def _stems(words, column="lower(text)"):
-    return "(" + " + ".join(f"CAST(contains({column}, '{w}') AS INTEGER)" for w in words) + ")"
 
+_COMPLEX = _Template(f"""{_stems(THINKERS, '{0}')} AS thinker_count, {_stems(CONCEPTS, '{0}')} AS concept_count, CASE WHEN {_stems(BRIDGES, '{0}')} > 0 THEN 2 ELSE 0 END AS bridge_score,
+        CASE WHEN regexp_matches({{0}}, '["''][^\\n]*?["'']') THEN 1 ELSE 0 END AS artifact_score""")
 
-@query(f"""WITH c AS (SELECT conv_id, turn, {_stems(_LEXICON)} AS thinker_count, {_stems(('ing', 'ou', 'er'))} AS concept_count,
-        CASE WHEN {_stems(('vs', 'differ', 'sh'))} > 0 THEN 2 ELSE 0 END AS bridge_score,
-        CASE WHEN regexp_matches(lower(text), '["''][^\\n]*?["'']') THEN 1 ELSE 0 END AS artifact_score FROM conversations)
+
+@query(f"""WITH q AS (SELECT conv_id, turn, {_ASKED} AS q FROM conversations), c AS (SELECT conv_id, turn, {_COMPLEX.format('q')} FROM q)
     SELECT *, thinker_count + concept_count + bridge_score + artifact_score AS total_score FROM c""")
 def complexity_score(spark, sf_dir):
-    c = route.complexity(F.col("text"), _LEXICON, ("ing", "ou", "er"), ("vs", "differ", "sh"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", c.alias("c")).select("conv_id", "turn", "c.*")
+    asked = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_ASKED).alias("q"))
+    return asked.select("conv_id", "turn", route.complexity(F.col("q")).alias("c")).select("conv_id", "turn", "c.*")
 
 
 _REPLY = "CASE turn % 4 WHEN 0 THEN '{\"queries\": [\"a\", \"b\", \"c\", \"d\"]}' WHEN 1 THEN 'no json' WHEN 2 THEN '{\"other\": 1}' ELSE '{\"queries\": []}' END"
@@ -381,7 +425,7 @@ def precision_at_k(spark, sf_dir):
     return found.withColumn("ret_precision", F.round("ret_precision", 6))
 
 
-_EVALUATED = """SELECT doc_id AS query_id, CASE doc_id % 3 WHEN 0 THEN 'Factual' WHEN 1 THEN 'Cross-concept' ELSE 'Unanswerable' END AS query_type, source AS query, lang AS answer, substr(text, 1, 20) AS model_answer,
+_EVALUATED = """SELECT doc_id AS query_id, CASE doc_id % 3 WHEN 0 THEN 'Factual' WHEN 1 THEN 'Cross-concept' ELSE 'Unanswerable' END AS query_type, source AS query, lang AS answer, text AS model_answer,
     CASE WHEN doc_id % 10 = 9 THEN NULL ELSE (doc_id % 4) / 3.0D END AS ret_precision, CASE doc_id % 5 WHEN 0 THEN 'UNANSWERABLE' WHEN 1 THEN 'NO' WHEN 2 THEN NULL ELSE 'YES' END AS ret_recall,
     CASE WHEN doc_id % 11 = 3 THEN NULL ELSE n_chars % 100 / 100.0D END AS rouge_score, CAST(CASE doc_id % 4 WHEN 0 THEN -1 WHEN 1 THEN NULL WHEN 2 THEN 1 ELSE 0 END AS INTEGER) AS faithfulness_verdict,
     source AS faithfulness_report, lang AS traceable_context FROM documents"""
@@ -404,10 +448,10 @@ def experiment_averages(spark, sf_dir):
 @query(f"""WITH a AS ({_AVERAGES}), s AS (
         SELECT 'Iteration' AS Metric, 4.0 AS Value FROM a UNION ALL SELECT 'Avg Precision@K', p FROM a UNION ALL SELECT 'Avg Recall', r FROM a
         UNION ALL SELECT 'Avg Faithfulness (1=Strict)', f FROM a UNION ALL SELECT 'Avg ROUGE-L', l FROM a UNION ALL SELECT 'Total Queries', n FROM a)
-    SELECT Metric, round(CAST(Value AS DOUBLE), 6) AS Value FROM s UNION ALL SELECT 'Chunking Mode', NULL FROM a""")
+    SELECT Metric, round(CAST(Value AS DOUBLE), 6) AS Value, CASE WHEN Metric = 'Iteration' THEN '4' END AS setting FROM s UNION ALL SELECT 'Chunking Mode', NULL, 'overlap' FROM a""")
 def experiment_summary(spark, sf_dir):
     s = report.summary(_evaluated(spark, sf_dir), Settings())
-    return s.select("Metric", F.round(F.expr("try_cast(Value AS DOUBLE)"), 6).alias("Value"))
+    return s.select("Metric", F.round(F.expr("try_cast(Value AS DOUBLE)"), 6).alias("Value"), F.expr("CASE WHEN Metric IN ('Iteration', 'Chunking Mode') THEN Value END").alias("setting"))
 
 
 @query(f"""SELECT row_number() OVER (ORDER BY query_id) AS "ID", query AS "Question", answer AS "Reference", model_answer AS "Model Answer", ret_recall AS "Recall Verdict", rouge_score AS "ROUGE-L",
@@ -426,80 +470,42 @@ def low_scores(spark, sf_dir):
     return evaluate.low_scores(_evaluated(spark, sf_dir)).select("query_id", "rouge_score")
 
 
-# Contexts: the documents of one source are the hits of one query.
+# Contexts: the hits of a query are the documents among the vectors its search ranks first, numbered anew.
 
-_HIT_ROWS = "SELECT CAST(substr(source, 4) AS BIGINT) AS query_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS final_rank, substr(text, 1, 80) AS text, source || '_a.txt' AS source, lang AS relevance, n_chars % 8 / {0} AS score, n_chars % 16 / {0} AS relevance_score FROM {1}"
-_HIT_SQL = _HIT_ROWS.format("CAST(8 AS DOUBLE)", "documents")
+_HITS = f"""{_SCORED}, h AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS final_rank, d.text, d.source || '_a.txt' AS source, d.lang AS relevance, d.n_chars % 8 / CAST(8 AS DOUBLE) AS score, d.n_chars % 16 / CAST(8 AS DOUBLE) AS relevance_score
+    FROM ranked JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 10)"""
 
 
-def _source_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_HIT_ROWS.format("8.0D", "{documents}"), documents=read(spark, sf_dir, "documents"))
+def _found_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.expr("source || '_a.txt'").alias("source"), F.col("lang").alias("relevance"), F.expr("n_chars % 8 / 8.0D").alias("score"), F.expr("n_chars % 16 / 8.0D").alias("relevance_score"))
+    found = _hits(spark, sf_dir, "faiss", 10).select("query_id", "rank", "chunk_id").join(docs, "chunk_id")
+    return found.withColumn("final_rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rank)")).drop("chunk_id", "rank")
 
 
-@query(f"""WITH h AS ({_HIT_SQL}) SELECT query_id,
+@query(f"""WITH {_HITS} SELECT query_id,
     string_agg('Source: ' || replace(replace(source, '_', ' '), '.txt', '') || chr(10) || 'Content: ' || text, chr(10) || chr(10) ORDER BY final_rank) AS answer_context,
     string_agg('Chunk ID: ' || final_rank || chr(10) || 'Source: ' || source || chr(10) || 'Content: ' || text, chr(10) || chr(10) ORDER BY final_rank) AS judge_context,
     string_agg('Passage ' || final_rank || ': ' || text, chr(10) || chr(10) ORDER BY final_rank) AS recall_context FROM h GROUP BY query_id""")
 def context_blocks(spark, sf_dir):
-    hits = generate.ordered_hits(_source_hits(spark, sf_dir))
+    hits = generate.ordered_hits(_found_hits(spark, sf_dir))
     h = F.col("hits")
     return hits.select("query_id", generate.answer_context(h).alias("answer_context"), generate.judge_context(h).alias("judge_context"), generate.recall_context(h).alias("recall_context"))
 
 
-@query(f"""WITH h AS ({_HIT_SQL}) SELECT query_id, chr(10) || chr(10) || repeat('=', 50) || string_agg('ID: ' || final_rank || ' | Similarity Score: ' || score || ' | Re-Ranker Score: ' || relevance_score ||
+@query(f"""WITH {_HITS} SELECT query_id, chr(10) || chr(10) || repeat('=', 50) || string_agg('ID: ' || final_rank || ' | Similarity Score: ' || score || ' | Re-Ranker Score: ' || relevance_score ||
     ' | Source: ' || source || ' | Verdict: ' || relevance || chr(10) || 'Content: ' || text, chr(10) || chr(10) ORDER BY final_rank) AS traceable_context FROM h GROUP BY query_id""")
 def trace_context(spark, sf_dir):
-    return report.traces(_source_hits(spark, sf_dir))
+    return report.traces(_found_hits(spark, sf_dir))
 
 
-@query(f"""WITH h AS ({_HIT_SQL}) SELECT query_id, final_rank AS "Rank", source AS "Source", CASE WHEN score = 0 THEN 'N/A' ELSE CAST(score AS VARCHAR) END AS "Similarity Score",
+@query(f"""WITH {_HITS} SELECT query_id, final_rank AS "Rank", source AS "Source", CASE WHEN score = 0 THEN 'N/A' ELSE CAST(score AS VARCHAR) END AS "Similarity Score",
     CASE WHEN relevance_score = 0 THEN 'N/A' ELSE CAST(relevance_score AS VARCHAR) END AS "Re-Ranker Score", relevance AS "Precision Verdict", text AS "Text Snippet" FROM h""")
 def display_table(spark, sf_dir):
-    hits = _source_hits(spark, sf_dir)
+    hits = _found_hits(spark, sf_dir)
     shown = report.display(hits.withColumn("final_rank", F.struct("query_id", "final_rank")), wrapped=False)
     return shown.select("Rank.query_id", F.col("Rank.final_rank").alias("Rank"), *shown.columns[1:])
 
 
-# The same operators over whole texts: the hits of a query are the documents among the vectors its search ranks first, numbered anew.
-
-_FOUND = f"""WITH {_SCORED}, h AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS final_rank, d.text, d.source || '_a.txt' AS source, d.lang AS relevance, d.n_chars % 8 / CAST(8 AS DOUBLE) AS score, d.n_chars % 16 / CAST(8 AS DOUBLE) AS relevance_score
-    FROM ranked JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 10)"""
-
-
-def _over_found(name: str) -> str:
-    return SQL[name].replace(f"WITH h AS ({_HIT_SQL})", _FOUND)
-
-
-def _found_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.expr("source || '_a.txt'").alias("source"), F.col("lang").alias("relevance"), F.expr("n_chars % 8 / 8.0D").alias("score"), F.expr("n_chars % 16 / 8.0D").alias("relevance_score"))
-    found = _hits(spark, sf_dir, "faiss", 10).select("query_id", "rank", "chunk_id").join(docs, "chunk_id")
-    return found.withColumn("final_rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rank)")).drop("chunk_id", "rank")
-
-
-@query(_over_found("context_blocks"))
-def context_blocks_whole(spark, sf_dir):
-    hits = generate.ordered_hits(_found_hits(spark, sf_dir))
-    h = F.col("hits")
-    return hits.select("query_id", generate.answer_context(h).alias("answer_context"), generate.judge_context(h).alias("judge_context"), generate.recall_context(h).alias("recall_context"))
-
-
-@query(_over_found("trace_context"))
-def trace_context_whole(spark, sf_dir):
-    return report.traces(_found_hits(spark, sf_dir))
-
-
-@query(_over_found("display_table"))
-def display_table_whole(spark, sf_dir):
-    shown = report.display(_found_hits(spark, sf_dir).withColumn("final_rank", F.struct("query_id", "final_rank")), wrapped=False)
-    return shown.select("Rank.query_id", F.col("Rank.final_rank").alias("Rank"), *shown.columns[1:])
-
-
-@query(SQL["experiment_detail"].replace("substr(text, 1, 20)", "text"))
-def experiment_detail_whole(spark, sf_dir):
-    whole = _EVALUATED.replace("substr(text, 1, 20)", "text").replace("FROM documents", "FROM {documents}")
-    return report.detail(spark.sql(whole, documents=read(spark, sf_dir, "documents")))
-
-
 # Model calls, with the deterministic offline providers.
 
 
@@ -512,28 +518,58 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 5 == 0, "Unanswerable").otherwise("Factual").alias("query_type"), F.col("text").alias("query"), F.col("text").alias("answer"))
 
 
-@query()
+_BAG = _Template("list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')")
+#: The hashing embedder: words fall on 64 dimensions by the first byte of their digest, signed by the second.
+_EMBEDDED = _Template(f"""(SELECT key, d AS pos, sum(sign) AS x FROM (
+        SELECT key, CAST('0x' || substr(md5(w), 1, 2) AS INTEGER) % 64 AS d, CASE WHEN CAST('0x' || substr(md5(w), 3, 2) AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END AS sign
+        FROM (SELECT key, unnest({_BAG.format('t')}) AS w FROM ({{0}}))) GROUP BY key, d)""")
+_DOC_VECTORS = f"""e AS (SELECT * FROM {_EMBEDDED.format('SELECT doc_id AS key, text AS t FROM documents')}),
+    size AS (SELECT key, sqrt(sum(x * x)) AS size FROM e GROUP BY key),
+    unit AS (SELECT key, pos, CAST(x / size AS FLOAT) AS x FROM e JOIN size USING (key) WHERE size > 0)"""
+
+
+@query(f"WITH {_DOC_VECTORS} SELECT key AS chunk_id, CAST(pos AS INTEGER) AS pos, round(CAST(x AS DOUBLE), 5) AS x FROM unit WHERE x <> 0")
 def embed_fake(spark, sf_dir):
-    return _offline_index(spark, sf_dir).select("chunk_id", "source", F.array_join(F.transform("norm_embedding", lambda x: F.round(x, 4)), ",").alias("vector"))
+    found = _offline_index(spark, sf_dir).select("chunk_id", F.posexplode("norm_embedding").alias("pos", "x")).where("x <> 0")
+    return found.select("chunk_id", "pos", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, list_distinct({_BAG.format('ref')}) AS a, list_distinct(list_append({_BAG.format('ans')}, 'source')) AS b FROM pairs)
+    SELECT conv_id, turn, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / CAST(len(a) AS DOUBLE) END, 6) AS relevance_score FROM w""")
 def rerank_fake(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).select("conv_id", "turn", F.col("ref").alias("query"), F.col("ans").alias("text"), F.lit("").alias("source"))
     return merge.rerank(pairs, experiment.OverlapScorer).select("conv_id", "turn", F.round("relevance_score", 6).alias("relevance_score"))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, w AS (SELECT conv_id * 1000 + turn AS query_id, {_BAG.format('split_part(ref, chr(10), 1)')} AS a, list_concat({_BAG.format('ans')}, ['source', 'a', 'content']) AS b, split_part({_STRIP.format('ans')}, chr(10), 1) AS said FROM pairs)
+    SELECT query_id, CASE WHEN said <> '' AND len(list_intersect(list_distinct(a), list_distinct(b))) > 0 THEN said ELSE 'I could not find an answer in the passages.' END AS model_answer FROM w""")
 def answer_fake(spark, sf_dir):
     asked = _pairs(spark, sf_dir).select(F.expr("conv_id * 1000 + turn").alias("query_id"), F.col("ref").alias("query"), F.col("ans").alias("text"))
     hits = asked.select("query_id", F.lit(1).alias("final_rank"), "text", F.lit("a.txt").alias("source"))
     return generate.answer(asked.drop("text"), hits, experiment.RuleChat).select("query_id", "model_answer")
 
 
-@query()
+#: Searches of the benchmark's items among the documents, each item one question: its words' vector against all, those over the threshold with enough words by shared words.
+_FETCHED = f"""{_DOC_VECTORS},
+    parts AS (SELECT item_id AS query_id, CAST(i - 1 AS INTEGER) AS sub_idx, p[i] AS t, item_id * 64 + i - 1 AS key FROM (
+        SELECT item_id, CASE WHEN thinker_count + concept_count + bridge_score + artifact_score < 4 THEN [text] ELSE list_slice(list_filter(list_transform(regexp_split_to_array(text, '\\band\\b|;'), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), 1, 3) END AS p
+        FROM (SELECT item_id, text, {_COMPLEX.format('text')} FROM benchmark)), unnest(range(1, len(p) + 1)) u(i)),
+    asked AS (SELECT key, t FROM parts),
+    items AS (SELECT * FROM {_EMBEDDED.format('SELECT key, t FROM asked')}),
+    asked_size AS (SELECT key, sqrt(sum(x * x)) AS size FROM items GROUP BY key),
+    scored AS (SELECT i.key AS q, u.key AS chunk_id, round(sum(i.x / a.size * CAST(u.x AS DOUBLE)), 12) AS score FROM items i JOIN asked_size a USING (key) JOIN unit u USING (pos) WHERE a.size > 0 GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM scored),
+    kept AS (SELECT r.*, p.query_id, p.sub_idx, p.t, d.text, d.source FROM ranked r JOIN parts p ON p.key = r.q JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 100 AND score > 0.5 AND {_WORDS.format('d.text')} > 10),
+    reranked AS (SELECT *, len(list_intersect(a, b)) / CAST(len(a) AS DOUBLE) AS relevance_score FROM (SELECT *, list_distinct({_BAG.format('t')}) AS a, list_distinct(list_concat({_BAG.format('text')}, list_append({_BAG.format('source')}, 'source'))) AS b FROM kept)),
+    deep AS (SELECT *, row_number() OVER (PARTITION BY query_id, sub_idx ORDER BY relevance_score DESC, rank) AS depth FROM reranked),
+    once AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY depth, sub_idx) AS n FROM deep),
+    final AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY depth, sub_idx) AS INTEGER) AS final_rank FROM once WHERE n = 1)"""
+
+
+@query(f"WITH {_FETCHED} SELECT query_id, final_rank, chunk_id, round(score, 6) AS score, round(relevance_score, 6) AS relevance_score FROM final WHERE final_rank <= 3")
 def retrieve_fake(spark, sf_dir):
     p = experiment.Providers()
-    found = merge.retrieve(_questions(spark, sf_dir), _offline_index(spark, sf_dir), p.embedder, p.scorer, p.chat, Settings(), experiment.keep)
+    found = merge.retrieve(_questions(spark, sf_dir), _offline_index(spark, sf_dir), p.embedder, p.scorer, p.decomposer, Settings(), experiment.keep)
     return found.select("query_id", "final_rank", "chunk_id", F.round("score", 6).alias("score"), F.round("relevance_score", 6).alias("relevance_score"))
 
 

@@ -37,6 +37,7 @@ class Settings:
     run_ingestion: bool = False
     run_generation: bool = True
     run_audit: bool = True
+    strict_models: bool = False
     compat_substring_verdict: bool = False
     embedding_model: str = "embed"
     generation_model: str = "generate"

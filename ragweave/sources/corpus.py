@@ -23,14 +23,25 @@ def text_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path", content.alias("content"))
 
 
-def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Packed chunks from Parquet, or from a file with one JSON array; a missing path gives an empty table."""
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        if path.endswith(".json"):
-            return spark.read.schema(schemas.CHUNK).option("multiLine", True).json(path)
-        return spark.read.schema(schemas.CHUNK).parquet(path)
+        if not path.endswith(".json"):
+            return spark.read.schema(schema).parquet(path)
+        first = spark.read.text(path).where("trim(value) <> ''").first()
+        array = first is not None and first.value.lstrip().startswith("[")
+        return spark.read.schema(schema).option("multiLine", array).json(path)
     except AnalysisException:
-        return spark.createDataFrame([], schemas.CHUNK)
+        return spark.createDataFrame([], schema)
+
+
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Packed chunks from Parquet, or from JSON: a line for each, or a file with one array; a missing path gives an empty table."""
+    return _table(spark, path, schemas.CHUNK)
+
+
+def masters(spark: SparkSession, path: str) -> DataFrame:
+    """Master chunks, from the same forms as chunks."""
+    return _table(spark, path, schemas.MASTER_CHUNK)
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:

@@ -24,10 +24,10 @@ def stream_corpus(spark: SparkSession, raw: str, out: str, providers: experiment
     docs = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path", content.alias("content"))
 
     def add(batch: DataFrame, number: int) -> None:
-        _, packed = chunk.build_chunks(experiment.keep(batch, "batch"), settings)
+        _, packed = chunk.build_chunks(experiment.keep(batch, "batch"), settings, providers.cut)
         earlier = index(spark, out).where(F.col("batch") < number)
         start = (earlier.agg(F.max("chunk_id")).first()[0] + 1) if not earlier.isEmpty() else 0
-        rows = embed.build_index(packed.withColumn("chunk_id", F.col("chunk_id") + start), providers.embedder, settings)
+        rows = embed.build_index(packed.withColumn("chunk_id", F.col("chunk_id") + start), providers.embedder, settings, providers.cut)
         rows.write.mode("overwrite").parquet(f"{out}/index/batch={number}")
 
     writer = docs.writeStream.foreachBatch(add).option("checkpointLocation", f"{out}/checkpoint")

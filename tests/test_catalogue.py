@@ -15,7 +15,7 @@ def test_query_without_sql_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name, column", [("context_blocks_whole", "answer_context"), ("trace_context_whole", "traceable_context"), ("display_table_whole", "Text Snippet"), ("experiment_detail_whole", "Model Answer")])
+@pytest.mark.parametrize("name, column", [("context_blocks", "answer_context"), ("trace_context", "traceable_context"), ("display_table", "Text Snippet"), ("experiment_detail", "Model Answer")])
 def test_whole_texts_reach_the_operators(spark, name, column):
     texts = [r.text for r in catalogue.read(spark, SF, "documents").select("text").collect()]
     shown = [r[0] for r in catalogue.QUERIES[name](spark, SF).select(column).collect()]

@@ -65,10 +65,10 @@ def test_overlap_stays_within_a_source(spark):
 
 
 def test_dense_ids(spark):
-    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(5)
-    got = chunk.dense_ids(rows, ["x"], "n").collect()
+    rows = spark.range(1000).select(F.col("id").alias("x"), F.format_string("%03d", (F.col("id") / 7).cast("int")).alias("g"), (F.col("id") % 7).alias("place")).repartition(5)
+    got = chunk.dense_ids(rows, "g", "place", "n").collect()
     assert all(r.x == r.n for r in got) and len(got) == 1000
-    assert chunk.dense_ids(rows.where("x < 0"), ["x"], "n").count() == 0
+    assert chunk.dense_ids(rows.where("x < 0"), "g", "place", "n").count() == 0
 
 
 def test_stats_of_nothing(spark):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragweave.operators import embed, evaluate, generate, merge, report, route, search
-from ragweave.plans import experiment
+from ragweave.plans import experiment, schemas
 from ragweave.plans.config import Settings
 from ragweave.providers import HashEmbedder, OverlapScorer, RuleChat
 from ragweave.sources import corpus, sinks
@@ -112,3 +112,94 @@ def test_answers_skip(spark):
     assert generate.answer(asked, hits, RuleChat, skip_without_hits=True).first().model_answer is None
     assert "could not find" in generate.answer(asked, hits, RuleChat).first().model_answer
     assert OverlapScorer().score([("a b", "b c"), ("", "x")]) == [0.5, 0.0]
+
+
+@pytest.mark.parametrize("name", ["c.json", "c"])
+def test_chunks_come_back(spark, tmp_path, name):
+    rows = [(i, f"text {i}\nmore", 9, [i, i + 1], ("s", "p")) for i in range(10)]
+    table = spark.createDataFrame(rows, schemas.CHUNK).repartition(3)
+    sinks.write_chunks(table, str(tmp_path / name))
+    assert sorted(corpus.chunks(spark, str(tmp_path / name)).collect()) == sorted(table.collect())
+    masters = spark.createDataFrame([(0, "a", ("s", "p")), (1, "b", ("s", "p"))], schemas.MASTER_CHUNK)
+    sinks.write_chunks(masters, str(tmp_path / ("m" + name)))
+    assert sorted(corpus.masters(spark, str(tmp_path / ("m" + name))).collect()) == sorted(masters.collect())
+    (tmp_path / "array.json").write_text('[{"chunk_id": 1, "text": "a"},\n {"chunk_id": 2, "text": "b"}]')
+    assert [r.chunk_id for r in corpus.chunks(spark, str(tmp_path / "array.json")).orderBy("chunk_id").collect()] == [1, 2]
+
+
+def test_failed_judges_are_counted_not_scored(spark):
+    class Broken:
+        def chat(self, system, user, schema=None):
+            raise OSError("no model")
+
+    hits = spark.createDataFrame([(1, "q", 1, "text", "s")], "query_id bigint, query string, final_rank int, text string, source string")
+    judged = evaluate.judge_relevance(hits, Broken)
+    assert judged.first().relevance is None
+    asked = spark.createDataFrame([(1, "Factual", "q", "a", "m"), (2, "Factual", "q", "a", "m")], "query_id bigint, query_type string, query string, answer string, model_answer string")
+    rows = {r.query_id: r for r in evaluate.audit(asked, judged, Broken).collect()}
+    assert (rows[1].ret_precision, rows[1].ret_recall, rows[1].faithfulness_verdict, rows[1].judge_failures) == (None, None, None, 3)
+    assert (rows[2].ret_precision, rows[2].judge_failures) == (0.0, 2)
+    with pytest.raises(Exception, match="no model"):
+        evaluate.judge_relevance(hits, Broken, strict=True).collect()
+
+
+def test_every_role_has_its_model(spark, tmp_path):
+    import json
+    from functools import partial
+
+    class Named:
+        def __init__(self, name):
+            self.name = name
+
+        def chat(self, system, user, schema=None):
+            with open(tmp_path / self.name, "a") as f:
+                f.write(system[:9])
+            return json.dumps({"queries": ["a"]}) if schema else "YES RELEVANT Final Verdict: Faithful"
+
+    text = "Compare Mill and Bain on 'induction' and more words than ten of them in all here"
+    chunks = spark.createDataFrame([(1, text, ("s", "p"))], "chunk_id bigint, text string, metadata struct<source:string,path:string>")
+    index = experiment.keep(embed.build_index(chunks, HashEmbedder), "index")
+    roles = experiment.Providers(decomposer=partial(Named, "d"), generator=partial(Named, "g"), retrieval_judge=partial(Named, "r"), answer_judge=partial(Named, "a"))
+    asked = corpus.queries(spark, [{"query": text, "answer": "x", "query_type": "Factual"}])
+    done = experiment.run_experiment(asked, index, roles, Settings(embedding_pause=0.0, threshold=-1.0, min_words=1))
+    assert done.first().faithfulness_verdict == 1
+    assert {p.name for p in tmp_path.iterdir()} == {"d", "g", "r", "a"}
+    made = experiment.served("http://localhost:1", Settings(judge_model="j", embedding_timeout=7))
+    assert (made.answer_judge().model, made.embedder().timeout) == ("j", 7)
+    quiet = experiment.run_experiment(asked, index, roles, Settings(embedding_pause=0.0, threshold=-1.0, run_generation=False, run_audit=False))
+    assert quiet.first().model_answer is None
+
+
+def test_modes(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.txt").write_text("CHAPTER I\n\n" + "\n\n".join(f"Induction {i} goes from cases to laws of thought. " * 5 for i in range(8)))
+    out = str(tmp_path / "out")
+    assert experiment.main(spark, "ingest", out, raw=str(tmp_path / "raw"), settings=FAST).count() > 0
+    assert experiment.main(spark, "gen", out, query="What is induction", settings=FAST).first().model_answer
+    assert experiment.main(spark, "eval", out, queries=[{"query": "What is induction"}], settings=FAST).count() == 1
+    with pytest.raises(ValueError):
+        experiment.main(spark, "other", out)
+    done = experiment.run(spark, str(tmp_path / "raw"), out, [{"query": "What is induction"}], settings=Settings(embedding_pause=0.0, run_ingestion=True))
+    assert done.count() == 1 and (tmp_path / "out" / "reports").exists()
+
+
+def test_many_queries_meet_groups_of_rows(spark, monkeypatch):
+    rows = spark.range(300).select(F.col("id").alias("chunk_id"), F.array(*(F.sin(F.col("id") % 250 * k).cast("float") for k in range(1, 5))).alias("embedding"))
+    index = rows.withColumn("norm_embedding", embed.l2_normalize(F.col("embedding"))).repartition(5)
+    asked = rows.where("chunk_id % 7 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    few = [sorted(search.top_n(asked, index, 6, m).collect()) for m in ("base", "faiss")]
+    monkeypatch.setattr(search, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(search, "GROUP_ROWS", 70)
+    assert [sorted(search.top_n(asked, index, 6, m).collect()) for m in ("base", "faiss")] == few
+
+
+def test_batches(spark):
+    class Batched(HashEmbedder):
+        def embed_batch(self, texts):
+            if len(texts) > 2 or "bad" in texts:
+                raise ValueError
+            return [self.embed(t) for t in texts]
+
+    small = Settings(embedding_pause=0.0, embedding_batch=2)
+    assert embed.embed_many(Batched(4), ["a", "b", "bad"], small) == [HashEmbedder(4).embed(t) for t in ("a", "b", "bad")]
+    assert embed.parts_of("aa. " + "b" * 30 + ". c. d.", 10) == ["aa.", "b" * 30 + ".", "c. d."]
