@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one for a session in one
+    process, as in tests; on a cluster, whose executors could not see it, an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="ragweave-")
         shared_dir.own = at
     return at.rstrip("/")
@@ -67,9 +70,18 @@ def discard(df: DataFrame) -> None:
         _drop(context._jvm, context._jsc.hadoopConfiguration(), path)
 
 
-def buckets(spark: SparkSession) -> int:
-    """How many parts a packed exchange is cut into; follows the session's shuffle parallelism."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Text bytes whose share of a packed exchange one worker is given.
+BUCKET_BYTES = 64 << 20
+
+
+def buckets(spark: SparkSession, size: int = 0) -> int:
+    """How many parts a packed exchange is cut into: the session's shuffle parallelism, more for many bytes of text."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
+def rows_and_bytes(docs: DataFrame, text: str) -> tuple[int, int]:
+    found = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("size")).first()
+    return found.rows, found["size"] or 0
 
 
 def crc_mod(col, mod: int):

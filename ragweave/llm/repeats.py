@@ -255,11 +255,11 @@ def repeated(hashes: np.ndarray, docs: np.ndarray, within: bool) -> tuple[np.nda
     return hashes, docs, group, np.bincount(group, minlength=1)[group] > 1 if len(group) else group.astype(bool)
 
 
-def candidates(read, gram: int, window: int, n: int, within: bool):
+def candidates(anchors, n: int, within: bool):
     """Mapper and reducer that leave, for each document, the hashes of its anchors that also occur elsewhere.
 
-    read(batches) yields (document ids, tokens, bounds). A mapper sends one row of a group of equal anchors for all
-    it has read, so an anchor of very many documents stays small; the others of the group it settles itself.
+    anchors(batches) yields (document ids, hashes) of anchors. A mapper sends one row of a group of equal anchors for
+    all it has read, so an anchor of very many documents stays small; the others of the group it settles itself.
     """
 
     def send(hashes, docs):
@@ -272,10 +272,9 @@ def candidates(read, gram: int, window: int, n: int, within: bool):
 
     def mapper(batches):
         hashes, docs, size = [], [], 0
-        for ids, tokens, bounds in read(batches):
-            _, _, _, doc, found = anchor_spans(tokens, bounds, gram, window)
+        for doc, found in anchors(batches):
             hashes.append(found)
-            docs.append(ids[doc])
+            docs.append(doc)
             size += len(found)
             if size >= FLUSH:
                 yield from packed_rows(send(hashes, docs))

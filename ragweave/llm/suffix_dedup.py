@@ -5,8 +5,8 @@
 2. Suffixes that begin at repeated anchors, with the windows around them, are range-partitioned by their leading
    bytes; the splitters are quantiles of a sample. Equal windows have equal anchors, so their suffixes share 32
    leading bytes and always meet in one range: at a boundary the two neighbours differ in their leading bytes.
-3. Every range sorts its windows by multikey quicksort, eight bytes at a time, keeping only parts of two or more equal
-   strings, and marks all windows of such a part but the earliest.
+3. Every range sorts its windows by multikey quicksort, eight bytes a key, keeping only parts of two or more strings,
+   and marks all windows of a part of equal ones but the earliest.
 
 Before sending, a mapper settles repetitions among what it has read, so a passage of very many documents stays small.
 """
@@ -19,45 +19,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.llm import repeats as R
-from ragweave.llm.common import buckets, slices
+from ragweave.llm.common import buckets, rows_and_bytes, slices
 
 WINDOW = 100
 GRAM = 32
 #: Documents read to choose the splitters; they change the balance of the ranges, never the result.
 SPLITTER_DOCUMENTS = 4000
+#: Strings of a part up to which it is sorted by whole keys.
+SMALL = 1024
 _SLICE = 1 << 20
 _FLUSH = 150_000
 
 
 def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Eight bytes from each offset as a big-endian number; data has eight bytes to spare."""
-    return data[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
-
-
-def multikey_quicksort(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(data) < 8:
+        return np.zeros(len(at), np.uint64)
+    return np.ndarray((len(data) - 7,), ">u8", np.ascontiguousarray(data), 0, (1,))[at].astype(np.uint64)
+
+
+def _split_three_ways(key: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, firsts, counts): every part split around its pivot, the median of its first, middle and last keys, into
+    smaller, equal and greater keys; firsts and counts have a row for each part."""
+    part = np.repeat(np.arange(len(sizes)), sizes)
+    a, b, c = key[heads], key[heads + sizes // 2], key[heads + sizes - 1]
+    pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[part]
+    side = (key > pivot).astype(np.int8) + (key >= pivot)
+    mine = [np.flatnonzero(side == k) for k in range(3)]
+    counts = np.stack([np.bincount(part[m], minlength=len(sizes)) for m in mine], axis=1)
+    firsts = heads[:, None] + np.cumsum(counts, axis=1) - counts
+    order = np.empty(len(key), np.int64)
+    for k, m in enumerate(mine):
+        order[R.expand(firsts[:, k], firsts[:, k] + counts[:, k] - 1)[0]] = m
+    return order, firsts, counts
+
+
+def multikey_quicksort(data: np.ndarray, at: np.ndarray, length: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
     """(members, part) of all parts of two or more equal strings data[i:i + length], i in at; parts are in order.
 
-    All parts are split at once by their next eight bytes into smaller, equal and greater ones; a part of one string
-    is done, and a part whose strings all agree is taken on unsorted.
+    A key is eight bytes. Parts of more than `small` strings are split three ways around a pivot, all at once; the
+    equal ones go on with the next key. Smaller parts are sorted by a key at a time. A part of one string is done,
+    and one whose strings agree to the end is found.
     """
-    members, part = np.arange(len(at)), np.zeros(len(at), dtype=np.int64)
-    for depth in range(0, length, 8):
-        if not len(members):
-            break
-        key = _leading(data, at[members] + min(depth, length - 8))
-        differs = np.concatenate([[False], (key[1:] != key[:-1]) & (part[1:] == part[:-1])])
-        mixed = np.zeros(int(part[-1]) + 1, dtype=bool)
-        mixed[part[differs]] = True
+    done, rest = [], []
+    members, heads, sizes, depth, place = np.arange(len(at)), *(np.asarray([x], np.int64) for x in (0, len(at), 0, 0))
+
+    def sorted_out(going, sizes, depth, place, heads):
+        """Put parts that are found or small aside; the others go on."""
+        for kind, out in ((going & (depth >= length), done), (going & (depth < length) & (sizes <= small), rest)):
+            out.append((members[R.expand(heads[kind], heads[kind] + sizes[kind] - 1)[0]], sizes[kind], depth[kind], place[kind]))
+        more = going & (depth < length) & (sizes > small)
+        left = members[R.expand(heads[more], heads[more] + sizes[more] - 1)[0]]
+        return left, np.cumsum(sizes[more]) - sizes[more], sizes[more], depth[more], place[more]
+
+    members, heads, sizes, depth, place = sorted_out(sizes > 1, sizes, depth, place, heads)
+    while len(sizes):
+        key = _leading(data, at[members] + np.repeat(np.minimum(depth, length - 8), sizes))
+        order, firsts, counts = _split_three_ways(key, heads, sizes)
+        members = members[order]
+        starts = place[:, None] + firsts - heads[:, None]
+        depths = depth[:, None] + np.asarray([0, 8, 0])
+        members, heads, sizes, depth, place = sorted_out(counts.ravel() > 1, counts.ravel(), depths.ravel(), starts.ravel(), firsts.ravel())
+
+    members, sizes, depth, place = (np.concatenate(x) for x in zip(*rest))
+    while len(sizes):
+        part = np.repeat(np.arange(len(sizes)), sizes)
+        key = _leading(data, at[members] + np.minimum(depth, length - 8)[part])
+        mixed = np.zeros(len(sizes), bool)
+        mixed[part[1:][(key[1:] != key[:-1]) & (part[1:] == part[:-1])]] = True
         todo = np.flatnonzero(mixed[part])
-        if len(todo):
-            order = todo[np.lexsort((key[todo], part[todo]))]
-            members[todo], key[todo] = members[order], key[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-        part = np.cumsum(new) - 1
-        keep = np.bincount(part)[part] > 1
-        members, part = members[keep], part[keep]
-        part = R.heads_of(part)
-    return members, part
+        order = todo[np.lexsort((key[todo], part[todo]))]
+        members[todo], key[todo] = members[order], key[order]
+        heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        counts = np.diff(np.append(heads, len(key)))
+        starts = place[part[heads]] + heads - (np.cumsum(sizes) - sizes)[part[heads]]
+        depths = depth[part[heads]] + 8
+        for kind in (depths >= length, depths < length):
+            kind = kind & (counts > 1)
+            left = members[R.expand(heads[kind], heads[kind] + counts[kind] - 1)[0]], counts[kind], depths[kind], starts[kind]
+            if (depths[kind] >= length).all() and len(depths[kind]):
+                done.append(left)
+                left = tuple(x[:0] for x in left)
+        members, sizes, depth, place = left
+    found, sizes, _, place = (np.concatenate(x) for x in zip(*done))
+    order = np.argsort(np.repeat(place, sizes), kind="stable")
+    return found[order], R.heads_of(np.repeat(place, sizes)[order])
 
 
 def _ranges(docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +133,7 @@ class _Suffixes:
 
     def pack(self, which: np.ndarray) -> bytes:
         head = np.asarray([len(which)], np.uint32).tobytes()
-        body = b"".join([self.docs[which].tobytes(), self.firsts[which].astype(np.uint32).tobytes(), self.counts[which].astype(np.uint8).tobytes(), *(self.texts[i] for i in which.tolist())])
+        body = b"".join([self.docs[which].tobytes(), self.firsts[which].astype(np.uint32).tobytes(), self.counts[which].astype(np.uint32).tobytes(), *(self.texts[i] for i in which.tolist())])
         return R._squeeze.compress(head + body)
 
     @staticmethod
@@ -98,9 +144,9 @@ class _Suffixes:
             n = int(np.frombuffer(raw, np.uint32, 1)[0])
             docs.append(np.frombuffer(raw, np.int64, n, 4))
             firsts.append(np.frombuffer(raw, np.uint32, n, 4 + 8 * n))
-            counts.append(c := np.frombuffer(raw, np.uint8, n, 4 + 12 * n).astype(np.int64))
-            ends = 4 + 13 * n + np.cumsum(c + window - 1)
-            texts += [raw[a:b] for a, b in zip([4 + 13 * n, *ends[:-1].tolist()], ends.tolist())]
+            counts.append(c := np.frombuffer(raw, np.uint32, n, 4 + 12 * n).astype(np.int64))
+            ends = 4 + 16 * n + np.cumsum(c + window - 1)
+            texts += [raw[a:b] for a, b in zip([4 + 16 * n, *ends[:-1].tolist()], ends.tolist())]
         return _Suffixes(np.concatenate(docs), np.concatenate(firsts), np.concatenate(counts), texts)
 
 
@@ -113,7 +159,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     left whole. Extra columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    n = buckets(spark)
+    count, size = rows_and_bytes(docs, text)
+    n = buckets(spark, size)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     whole = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= window))
 
@@ -133,13 +180,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             at = R.anchor_spans(data.astype(np.uint64), bounds, gram, window)[0]
             yield pa.RecordBatch.from_arrays([pa.array((_leading(data, at) >> np.uint64(1)).astype(np.int64))], ["lead"])
 
-    share = min(1.0, SPLITTER_DOCUMENTS / max(1, docs.count()))
+    share = min(1.0, SPLITTER_DOCUMENTS / max(1, count))
     sampled = whole.sample(share, seed=7).mapInArrow(leading_of_anchors, "lead long")
     quantiles = [i / n for i in range(1, n)]
-    found = sampled.agg(F.percentile_approx("lead", quantiles, 10_000).alias("q")).first().q if quantiles else []
+    found = sampled.agg(F.percentile_approx("lead", quantiles, max(10_000, 2 * n)).alias("q")).first().q if quantiles else []
     splitters = np.unique(np.asarray(found or [], dtype=np.int64))
 
-    mapper, reducer = R.candidates(read, gram, window, n, within=True)
+    def anchors(batches):
+        for ids, data, bounds in read(batches):
+            _, _, _, doc, hashes = R.anchor_spans(data, bounds, gram, window)
+            yield ids[doc], hashes
+
+    mapper, reducer = R.candidates(anchors, n, within=True)
 
     survivors = whole.join(R.exchange(whole.mapInArrow(mapper, R.PACKED), n, reducer, np.uint64), "doc").select("doc", "text", "hits")
 

@@ -105,17 +105,34 @@ def test_empty_tables_clashing_columns_and_repeated_rows(spark):
         assert ngram_jaccard.link(table).count() == n
 
 
-def test_multikey_quicksort():
+@pytest.mark.parametrize("small", [1, 16, 10_000])
+def test_multikey_quicksort(small):
     r = np.random.default_rng(4)
-    data = r.integers(97, 99, 4000, dtype=np.uint8)
-    at = np.arange(3900)
-    members, part = suffix_dedup.multikey_quicksort(np.concatenate([data, np.zeros(8, np.uint8)]), at, 12)
-    groups = {}
-    for i in at:
-        groups.setdefault(bytes(data[i : i + 12]), set()).add(int(i))
-    want = [g for _, g in sorted(groups.items()) if len(g) > 1]
-    got = [set(members[part == p].tolist()) for p in range(part.max() + 1)]
-    assert got == want
+    for letters, length in ((2, 12), (26, 9), (1, 20), (3, 30)):
+        data = r.integers(97, 97 + letters, 3000, dtype=np.uint8)
+        data = np.concatenate([data, data[500:900], data[100:200]])
+        at = r.permutation(len(data) - length)
+        members, part = suffix_dedup.multikey_quicksort(np.concatenate([data, np.zeros(8, np.uint8)]), at, length, small)
+        groups = {}
+        for i, x in enumerate(at.tolist()):
+            groups.setdefault(bytes(data[x : x + length]), set()).add(i)
+        want = [g for _, g in sorted(groups.items()) if len(g) > 1]
+        got = [set(members[part == p].tolist()) for p in range(part.max() + 1)] if len(part) else []
+        assert got == want
+    assert len(suffix_dedup.multikey_quicksort(np.zeros(8, np.uint8), np.zeros(0, np.int64), 8)[0]) == 0
+
+
+def test_wide_windows(spark):
+    text = "".join(chr(97 + x) for x in np.random.default_rng(2).integers(0, 26, 900))
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(documents(spark, [text, text]), window=400).collect()}
+    assert got == {0: 0, 1: 900}
+
+
+@pytest.mark.parametrize("window", [5, 24, 49, 100])
+def test_levels_of_any_window(spark, window):
+    texts = awkward(rng(window))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(documents(spark, texts), window=window).collect()}
+    assert got == removed_words(texts, window)
 
 
 def test_minima_and_grams():
