@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from ragweave.llm.common import map_slices, share_by_hash, texts_of
 from ragweave.llm.sentencepiece_codec import MARK, default_model
 
-#: Labelled rows of each language that are fitted (the ones of smallest hash), words kept of each, rounds of fitting.
+#: Labelled rows of each language that are fitted (the ones of smallest hash), rounds of fitting.
 SAMPLE_ROWS = 400
-SAMPLE_WORDS = 4000
 ROUNDS = 3
 #: Of texts without a letter.
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: word characters but digits, the underscore, and numbers such as ½ and ² that are no letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 #: Longest run of letters scored as one word; longer runs are cut there and every part is scored.
 LONGEST = 48
 CACHE_WORDS = 200_000
@@ -134,7 +135,7 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None, model_path: str | None = None) -> Model:
-    """Fit on SAMPLE_ROWS rows of each language; only their SAMPLE_WORDS most frequent words reach the driver."""
+    """Fit on SAMPLE_ROWS rows of each language, on all their words; the counts of those reach the driver."""
     from pyspark.sql import window as W
 
     path = model_path or default_model()
@@ -157,9 +158,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["lang", "word", "n"])
 
     counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(W.Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= SAMPLE_WORDS)
     found: dict[str, list[tuple[str, int]]] = {}
-    for r in top.select("lang", "word", "n").collect():  # at most SAMPLE_WORDS for each language
+    for r in counted.collect():  # words of SAMPLE_ROWS rows of each language
         found.setdefault(r.lang, []).append((r.word, r.n))
     languages = sorted(found)
     rare = 1e-6
