@@ -186,16 +186,14 @@ def fit(findings: DataFrame) -> Forest:
     return fit_forest(np.asarray([list(r.f) for r in rows], dtype=float).reshape(-1, len(NAMES)), np.asarray([float(r.label > 0) for r in rows]))
 
 
-@lru_cache(maxsize=1)
-def _own_forest() -> Forest:
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    return fit(spark.createDataFrame(labelled_findings(), "match string, left string, right string, label int"))
+_own: list[Forest] = []
 
 
 def default_forest(spark: SparkSession) -> Forest:
-    return _own_forest()
+    """The forest of labelled_findings, fitted once in a driver."""
+    if not _own:
+        _own.append(fit(spark.createDataFrame(labelled_findings(), "match string, left string, right string, label int")))
+    return _own[0]
 
 
 def scan(docs: DataFrame, forest: Forest, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -235,14 +233,20 @@ def scan(docs: DataFrame, forest: Forest, text: str = "text", threshold: float =
     none = F.array().cast("array<struct<start:int,length:int,value:string,score:double>>")
     found = F.when(body.rlike(PATTERN), _once(_once(F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)), all_of), placed)).otherwise(none)
 
-    def masked(kept: Column) -> Column:
-        def step(acc: Column, c: Column) -> Column:
-            piece = F.substring(body, acc["at"] + 1, c["start"] - acc["at"])
-            return F.struct((c["start"] + c["length"]).alias("at"), F.concat(acc["out"], piece, F.lit(MASK)).alias("out"))
+    def masked(found: Column) -> Column:
+        """The gaps and matches in a row again, with the values of secrets replaced; linear in the text."""
+
+        def piece(gaps: Column, matches: Column, i: Column) -> Column:
+            c, match = F.get(found, i), F.get(matches, i)
+            value = F.when(c["score"] >= threshold, F.lit(MASK)).otherwise(c["value"])
+            return F.concat(F.get(gaps, i), F.coalesce(F.concat(F.left(match, F.length(match) - c["length"]), value), F.lit("")))
+
+        def joined(gaps: Column, matches: Column) -> Column:
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: piece(gaps, matches, i)), "")
 
-        return F.aggregate(kept, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))))
+        return _once(F.split(body, PATTERN, -1), lambda gaps: _once(F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)), lambda matches: joined(gaps, matches)))
 
     others = [c for c in docs.columns if c not in ("findings", "masked")]
     rows = docs.select(*others, F.explode(F.array(found)).alias("findings"))
     secrets = F.filter("findings", lambda c: c["score"] >= threshold)
-    return rows.withColumn("masked", F.when(F.size(secrets) > 0, _once(secrets, masked)).otherwise(body))
+    return rows.withColumn("masked", F.when(F.size(secrets) > 0, _once(F.col("findings"), masked)).otherwise(body))
