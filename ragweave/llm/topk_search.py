@@ -10,25 +10,31 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-STRIPE_ROWS = 32_768
+#: Rows of a stripe at most; small tables have smaller ones, a few for each core.
+STRIPE_ROWS, LEAST_ROWS = 131_072, 2048
 QUERY_BLOCK = 256
 
 
 def _usable(column: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Positions of usable vectors and their integer components."""
-    at, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v is None or any(x is None for x in v):
-            continue
-        x = np.floor(scale * np.asarray(v, dtype=np.float64))
-        if np.isfinite(x).all():
-            at.append(i)
-            out.append(x.astype(np.int64))
-    return np.asarray(at, dtype=np.int64), out
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)
+    flat = column.flatten()  # null lists have no values
+    values = np.floor(scale * np.asarray(pc.fill_null(flat.cast(pa.float64()), np.nan), dtype=np.float64))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+    at = np.flatnonzero(np.asarray(column.is_valid()) & (bad[bounds[1:]] == bad[bounds[:-1]]))
+    out = []
+    for a, b in zip(bounds[at].tolist(), bounds[at + 1].tolist()):
+        x = values[a:b]
+        if b > a and np.abs(x).max() > np.sqrt((2**63 - 1) / (b - a)) / 2:
+            raise OverflowError("components are too large for scores of 64 bits")
+        out.append(x.astype(np.int64))
+    return at, out
 
 
 def _packed(stripe: int, kind: int, ids: np.ndarray, vectors: list[np.ndarray]) -> tuple:
@@ -87,10 +93,12 @@ def top_k(vectors: DataFrame, k: int = 5, key: str = "vec_id", value: str = "emb
     Components become floor(scale * x). Vectors that are null or hold a null or non-finite component take no part.
     Vectors of unlike length meet in the terms they share. Rows that repeat an id are all candidates, but never of a
     query with that id; repeated query ids share one list. Fewer than k others give fewer rows; an empty table none.
+    Finite components so large that a score could pass 64 bits raise OverflowError.
     """
     is_query = F.col(key) % 50 == 0 if is_query is None else is_query
     rows = vectors.select(F.col(key).cast("long").alias("_id"), F.col(value).cast("array<double>").alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_q")).where("_id is not null")
-    stripes = max(1, -(-rows.count() // stripe_rows))
+    count, cores = rows.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    stripes = max(1, -(-count // max(1, min(stripe_rows, max(LEAST_ROWS, count // (2 * cores))))))
 
     def pack(batches):
         for batch in batches:
