@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ragweave.llm.common import materialize
 
 WINDOW, GRAM = 10, 4
-#: Largest benchmark side, in rows, that is sent to every executor; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 500_000
+#: Largest benchmark side, in bytes, that is sent to every executor; beyond it Spark shuffles both sides.
+BROADCAST_BYTES = 32 << 20
 _SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 _FROM, _TO = _SEPARATORS + string.ascii_uppercase, " " * len(_SEPARATORS) + string.ascii_lowercase
 
@@ -54,8 +54,9 @@ def _shingled(rows: DataFrame, keep: list[str], text: str, window: int, gram: in
     return rows.select(*keep, F.explode(F.array(_marked(F.col(text), window, gram))).alias("_s")).select(*keep, "_s.w", "_s.m")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, width: Column) -> DataFrame:
+    """df, to be sent to all executors if its rows, width bytes each, are small together."""
+    return F.broadcast(df) if (df.agg(F.sum(width + 32)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -71,20 +72,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     n = F.least(F.size("w"), F.lit(window))
     runs = wide.select("item", "w", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("at")).select("n", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("run"), "item")
     runs = materialize(runs.groupBy("n", "run").agg(F.sort_array(F.collect_set("item")).alias("items")), "runs")
-    marks = _small(wide.select(F.explode("m").alias("mark")).distinct())
+    marks = _small(wide.select(F.explode("m").alias("mark")).distinct(), F.lit(8))
 
     taken = _shingled(rows, ["_doc"], "_text", window, gram)
     taken = materialize(taken.select("_doc", F.size("w").alias("n_words"), F.array_distinct("m").alias("m")), "marks")
-    met = taken.select("_doc", F.explode("m").alias("mark")).join(marks, "mark").groupBy("_doc").agg(F.collect_set("mark").alias("met"))
+    met = taken.select("_doc", F.explode("m").alias("mark")).join(marks, "mark").select("_doc").distinct()
 
-    suspects = _shingled(rows.join(met, "_doc"), ["_doc", "met"], "_text", window, gram)
-    placed = suspects.select("_doc", "met", "w", F.posexplode("m").alias("at", "mark"))
-    found = placed.where(F.array_contains("met", F.col("mark"))).select("_doc", "at", F.lit(window).alias("n"), F.array_join(F.slice("w", F.col("at") + 1, window), " ").alias("run"))
+    suspects = _shingled(rows.join(met, "_doc"), ["_doc"], "_text", window, gram)
+    places = F.transform("m", lambda mark, i: F.struct(i.alias("at"), mark.alias("mark"), F.array_join(F.slice("w", i + 1, window), " ").alias("run")))
+    found = suspects.select("_doc", F.inline(places)).join(marks, "mark").select("_doc", "at", F.lit(window).alias("n"), "run")
     for r in runs.where(F.col("n") < window).select("n").distinct().orderBy("n").collect():  # at most window - 1 lengths
         short = rows.select("_doc", F.explode(F.array(words(F.col("_text")))).alias("w"))
         each = short.where(F.size("w") >= r.n).select("_doc", "w", F.explode(F.sequence(F.lit(0), F.size("w") - r.n)).alias("at"))
         found = found.union(each.select("_doc", "at", F.lit(r.n).alias("n"), F.array_join(F.slice("w", F.col("at") + 1, r.n), " ").alias("run")))
-    exact = found.join(_small(runs), ["n", "run"]).select("_doc", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")).alias("span"), "items")
+    exact = found.join(_small(runs, F.octet_length("run") + F.size("items") * 24), ["n", "run"]).select("_doc", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")).alias("span"), "items")
 
     def cover(spans: Column) -> Column:
         zero = F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("n"))
