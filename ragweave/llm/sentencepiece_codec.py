@@ -22,6 +22,8 @@ from ragweave.llm.common import map_slices, texts_of
 MARK = "▁"
 #: Words whose ids a worker keeps in each of two generations; the older one goes when the younger is full. This changes speed only.
 CACHE_WORDS = 250_000
+#: Longer words are encoded anew each time, so that the bytes kept are bounded too.
+CACHE_LETTERS = 64
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -72,6 +74,8 @@ class PrefixTableCodec:
             older: dict[str, bytes] = {}
 
             def __missing__(self, word: str) -> bytes:
+                if len(word) > CACHE_LETTERS:
+                    return codec.encode_word(word)
                 out = self.older.get(word)
                 if out is None:
                     out = codec.encode_word(word)
