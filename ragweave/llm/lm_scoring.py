@@ -23,7 +23,7 @@ from ragweave.llm import repeats as R
 from ragweave.llm.common import buckets, materialize, share_by_hash, slices
 from ragweave.llm.sentencepiece_codec import MARK, default_model
 
-WIDTH, CLASSES, SPAN, OVERLAP = 16, 64, 16, 4
+WIDTH, CLASSES, SPAN, OVERLAP = 16, 56, 16, 4
 #: Texts and windows the attention weights begin with, and steps of that; all training texts follow.
 TRAIN_TEXTS, TRAIN_WINDOWS, STEPS, BATCH = 5000, 240_000, 1500, 384
 #: Windows in a step over all training texts, its rate, and parts that the weights are summed in.
@@ -118,6 +118,7 @@ def _shapes(vocabulary: int) -> dict[str, tuple]:
 
 
 _PAST = np.tri(SPAN, dtype=np.float32)
+_TINY, _ONES, _ROWS = np.float32(1e-30), np.ones(BLOCK * SPAN, np.float32), np.arange(BLOCK * SPAN)
 
 
 def _attend(w: dict, x: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -140,10 +141,10 @@ def log_classes(w: dict, x: np.ndarray, target: np.ndarray) -> np.ndarray:
         part = target[a : a + BLOCK]
         z = _attend(w, x[a : a + BLOCK])[-1] @ w["U"]
         z += w["b"]
-        np.clip(z, -60, 60, out=z)
-        chosen = z[np.arange(len(z)), part.ravel()]
+        np.minimum(z, 80, out=z)
+        chosen = z.ravel()[_ROWS[: len(z)] * CLASSES + part.ravel()]
         np.exp(z, out=z)
-        out[a : a + BLOCK] = (chosen - np.log(z.sum(axis=1))).reshape(part.shape)
+        out[a : a + BLOCK] = (chosen - np.log(z.sum(axis=1) + _TINY)).reshape(part.shape)
     return out
 
 
@@ -187,12 +188,12 @@ def gradient(w: dict, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> dict:
         flat, q, k, v, s, mixed, hidden = _attend(w, x[a : a + BLOCK])
         z = hidden @ w["U"]
         z += w["b"]
-        np.exp(np.clip(z, -60, 60, out=z), out=z)
-        mask = m[a : a + BLOCK].reshape(-1, 1) * share
-        z *= mask / z.sum(axis=1, keepdims=True)
-        z[np.arange(len(z)), y[a : a + BLOCK].ravel()] -= mask[:, 0]
+        np.exp(np.minimum(z, 80, out=z), out=z)
+        mask = m[a : a + BLOCK].ravel() * share
+        z *= (mask / (z.sum(axis=1) + _TINY))[:, None]
+        z.ravel()[_ROWS[: len(z)] * CLASSES + y[a : a + BLOCK].ravel()] -= mask
         g["U"] += hidden.T @ z
-        g["b"] += z.sum(axis=0)
+        g["b"] += _ONES[: len(z)] @ z
         d = z @ w["U"].T
         g["O"] += mixed.T @ d
         dm = (d @ w["O"].T).reshape(-1, SPAN, WIDTH)
@@ -202,10 +203,11 @@ def gradient(w: dict, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> dict:
         parts = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dm], axis=2).reshape(-1, 3 * WIDTH)
         joint += flat.T @ parts
         d += parts @ weights.T
-        g["P"] += d.reshape(-1, SPAN, WIDTH).sum(axis=0)
+        g["P"] += (_ONES[: len(d) // SPAN] @ d.reshape(-1, SPAN * WIDTH)).reshape(SPAN, WIDTH)
         inputs.append(d)
-    order = np.argsort(x.ravel(), kind="stable")
-    ids = x.ravel()[order]
+    flat = x.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    ids = flat[order]
     heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     rows = np.add.reduceat(np.concatenate(inputs)[order], heads, axis=0)
     return g | {"Q": joint[:, :WIDTH] * scale, "K": joint[:, WIDTH : 2 * WIDTH], "V": joint[:, 2 * WIDTH :], "E": (ids[heads], rows)}
@@ -364,7 +366,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             for b in range(n):
                 mine, posts = by_word[word_cuts[b] : word_cuts[b + 1]], by_pair[pair_cuts[b] : pair_cuts[b + 1]]
                 local[mine] = np.arange(len(mine))
-                out.append((b, R.pack(hashes[mine], train[mine]), R.pack(local[word[posts]].astype(np.uint32), of[posts], times[posts].astype(np.uint32)), R.pack(*(x[pair_of == b] for x in (pair, often)))))
+                out.append((b, R.pack(hashes[mine], train[mine]), R.pack(np.diff(local[word[posts]], prepend=0).astype(np.uint32), of[posts], times[posts].astype(np.uint32)), R.pack(np.diff(pair[pair_of == b], prepend=np.uint32(0)), often[pair_of == b])))
             m = len(out)
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip((*[[x[0] for x in out]], [row] * m, *([x[i] for x in out] for i in (1, 2, 3))), kinds)), pa.nulls(m, part.column(0).type), pa.array(held[:0].tolist() + [None] * m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], NAMES)
@@ -393,12 +395,13 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
         for r, (h, _) in zip(found, asked):
             mine = place[at : at + len(h)]
             at += len(h)
-            local, doc, times = R.unpack(r["posts"], np.uint32, np.uint32, np.uint32)
+            steps, doc, times = R.unpack(r["posts"], np.uint32, np.uint32, np.uint32)
+            local = np.cumsum(steps, dtype=np.int64)
             docs, which = np.unique(doc, return_inverse=True)
             known = np.bincount(which, times * (counts[mine[local]] > 0), len(docs))
             rows.append(r["row"])
             data.append(R.pack(docs.astype(np.uint32), known.astype(np.uint32), np.bincount(which, times * logs[mine[local]], len(docs))))
-        pair, often = (np.concatenate(x) for x in zip(*(R.unpack(r["pairs"], np.uint32, np.uint32) for r in found)))
+        pair, often = (np.concatenate(x) for x in zip(*((np.cumsum(p, dtype=np.int64), o) for p, o in (R.unpack(r["pairs"], np.uint32, np.uint32) for r in found))))
         pair, which = np.unique(pair, return_inverse=True)
         often = np.bincount(which, often, len(pair))
         total = R.pack(*(np.concatenate(x).astype(np.int64) for x in (([counts.sum()], pair), ([(counts > 0).sum()], often))))
