@@ -118,7 +118,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 out += R.to_documents(docs[late], places[late], n)
             yield from R.packed_rows(out)
 
-    marks = R.exchange(survivors.mapInArrow(extend, R.PACKED), n, compare, np.uint32)
+    marks = materialize(R.exchange(survivors.mapInArrow(extend, R.PACKED), n, compare, np.uint32), "marks")
 
     def finish(batches):
         for part in slices(batches, "text", _SLICE):
