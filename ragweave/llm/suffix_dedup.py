@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.llm import repeats as R
-from ragweave.llm.common import buckets, rows_and_bytes, slices
+from ragweave.llm.common import buckets, materialize, rows_and_bytes, slices
 
 WINDOW = 100
 GRAM = 32
 #: Documents read to choose the splitters; they change the balance of the ranges, never the result.
 SPLITTER_DOCUMENTS = 4000
 #: Strings of a part up to which it is sorted by whole keys.
-SMALL = 1024
+SMALL = 4096
 _SLICE = 1 << 20
 _FLUSH = 150_000
 
@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                     out += R.to_documents(*_ranges(docs[late], starts[late]), n)
             yield from R.packed_rows(out)
 
-    marks = R.exchange(survivors.mapInArrow(suffixes, R.PACKED), n, compare, np.uint64)
+    marks = materialize(R.exchange(survivors.mapInArrow(suffixes, R.PACKED), n, compare, np.uint64), "marks")
 
     def finish(batches):
         for part in slices(batches, "text", _SLICE):
