@@ -201,7 +201,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     entries = materialize(rows.mapInArrow(index, "key long, sig long, n long"), "entries")
     met = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("met")).where("lo <> hi").select("key", (F.col("met") > FREQUENT).alias("frequent"))
-    shared = materialize(entries.join(met, "key").distinct(), "shared")
+    shared = materialize(entries.join(met.hint("merge"), "key").distinct(), "shared")
     discard(entries)
 
     # Rare shingles: at most FREQUENT sets each, whose pairs of like size are compared by bitmap.
@@ -215,16 +215,17 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     alike = materialize(alone.mapInArrow(like_sizes, "a long, b long").distinct(), "alike")
     hot = shared.where("frequent").select("sig").distinct()
     play = alike.select(F.col("a").alias("sig")).union(alike.select("b")).union(hot).distinct()
-    sized = materialize(signed.join(play, "sig").select("sig", "n", *bitmap).dropDuplicates(["sig"]), "sized")
+    sized = materialize(signed.join(play.hint("merge"), "sig").select("sig", "n", *bitmap).dropDuplicates(["sig"]), "sized")
     x, y = sized.alias("x"), sized.alias("y")
     differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bitmap), F.lit(0))
     close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
     near = materialize(alike.join(x, F.col("a") == F.col("x.sig")).join(y, (F.col("b") == F.col("y.sig")) & close).select("a", "b"), "near")
     discard(alike)
 
-    # The texts to verify, by signature; sets are signed again, as keys may repeat.
+    # The texts to verify, by signature; sets are signed again, as keys may repeat. Joins that move much are merge joins
+    # at every size, so that a run on little data shows what one on much data needs.
     wanted = near.select(F.col("a").alias("sig")).union(near.select("b")).distinct().withColumn("frequent", F.lit(False)).union(hot.withColumn("frequent", F.lit(True))).groupBy("sig").agg(F.max("frequent").alias("frequent"))
-    keeper = materialize(signed.join(wanted, "sig").groupBy("sig", "frequent").agg(F.min("doc").alias("doc")), "keeper")
+    keeper = materialize(signed.join(wanted.hint("merge"), "sig").groupBy("sig", "frequent").agg(F.min("doc").alias("doc")), "keeper")
     discard(shared)
 
     def shrink(batches):
@@ -239,7 +240,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["sig", "z", "keys"])
 
     shape = "sig long, z binary, keys array<long>"
-    texts = rows.join(keeper.where("doc is not null"), "doc").select("doc", "text", "sig", "frequent").mapInArrow(shrink, shape)
+    texts = rows.join(keeper.where("doc is not null").hint("merge"), "doc").select("doc", "text", "sig", "frequent").mapInArrow(shrink, shape)
     orphans = rows.where("doc is null").select("doc", "text", F.lit(None).cast("long").alias("sig"), F.lit(True).alias("frequent")).mapInArrow(shrink, shape)
     orphans = orphans.join(keeper.where("doc is null").select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
     texts = materialize(texts.union(orphans), "texts")
