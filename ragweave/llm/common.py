@@ -56,7 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         _folders.add(folder)
         atexit.register(_drop, context._jvm, context._jsc.hadoopConfiguration(), folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     context._jvm.System.gc()  # Spark deletes shuffle files once the driver has let go of the plan that made them
     out = spark.read.schema(df.schema).parquet(path)
     out.ragweave_path = path

@@ -371,3 +371,27 @@ def test_secrets_of_the_tables(spark):
         ends = {f.start + f.length for f in r.findings if f.score >= secret_scan.THRESHOLD}
         assert ends == {m.end() for m in planted.finditer(r.text)}
     assert hashlib.sha256(rows[0].text.encode()).hexdigest()
+
+
+def test_numbers_are_no_letters(spark):
+    model = language_id.fit(read(spark, "documents"))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(documents(spark, ["\u00bd \u00b2 \u2462 12 _", "\u4e00", "a\u00b2"]), model).collect()}
+    assert got[0] == "und" and got[1] != "und" and got[2] != "und"
+
+
+def test_clashing_columns(spark):
+    schema = "doc_id long, text string, _key string, _text string, _doc string, row long, ids string, findings string, masked string, lang string, label int, hits int"
+    rows = [(1, "the end of password=hV7kq2Zx9Lm4", "k", "t", "d", 3, "i", "f", "m", "en", 1, 2), (1, "the end of password=hV7kq2Zx9Lm4", "k", "t", "d", 3, "i", "f", "m", "en", 1, 2), (None, None, None, None, None, None, None, None, None, None, None, None)]
+    for table in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)):
+        n = table.count()
+        coded = sentencepiece_codec.encode_decode(table).collect()
+        assert len(coded) == n and len({tuple(r.ids) for r in coded if r.doc_id == 1}) == min(n, 1)
+        scored = lm_scoring.score_texts(table, F.lit(False)).collect()
+        assert len(scored) == n and len({r.score for r in scored if r.doc_id == 1}) == min(n, 1)
+        assert language_id.identify(table, language_id.fit(table)).count() == n
+        assert [r.masked for r in secret_scan.scan(table, secret_scan.default_forest(spark)).collect() if r.doc_id == 1] == ["the end of password=[SECRET]"] * (2 if n else 0)
+
+
+def test_many_secrets_in_a_text(spark):
+    text = " and ".join(f"password=hV7kq2Zx9Lm{i} then" for i in range(400))
+    assert masked_texts(spark, [text]) == [" and ".join(["password=[SECRET] then"] * 400)]
