@@ -44,7 +44,7 @@ def _drop(jvm, conf, folder: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and lost executors cost nothing.
 
     The tables of an application share one folder there, which goes when the driver's Python ends.
@@ -56,7 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         _folders.add(folder)
         atexit.register(_drop, context._jvm, context._jsc.hadoopConfiguration(), folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     context._jvm.System.gc()  # Spark deletes shuffle files once the driver has let go of the plan that made them
     out = spark.read.schema(df.schema).parquet(path)
     out.ragweave_path = path
