@@ -23,7 +23,7 @@ from ragweave.llm import repeats as R
 from ragweave.llm.common import buckets, materialize, share_by_hash, slices
 from ragweave.llm.sentencepiece_codec import MARK, default_model
 
-WIDTH, CLASSES, SPAN, OVERLAP = 16, 56, 16, 4
+WIDTH, CLASSES, SPAN, OVERLAP = 16, 48, 16, 4
 #: Texts and windows the attention weights begin with, and steps of that; all training texts follow.
 TRAIN_TEXTS, TRAIN_WINDOWS, STEPS, BATCH = 5000, 240_000, 1500, 384
 #: Windows in a step over all training texts, its rate, and parts that the weights are summed in.
@@ -356,8 +356,8 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             flat_ids, cuts = spread(*sub.split_at(text, first[where] - 1, last[where]), first[where] - 1, flat, bounds)
             ids = [flat_ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
             follow = np.concatenate([[sub.end], *(np.append(i, sub.end) for i, h in zip(ids, held) if not h)])
-            pair, often = np.unique(follow[:-1].astype(np.int64) * sub.size + follow[1:], return_counts=True)
-            pair, often = pair.astype(np.uint32), often.astype(np.uint32)
+            pair, often = np.unique(follow[:-1].astype(np.uint32) * np.uint32(sub.size) + follow[1:].astype(np.uint32), return_counts=True)
+            often = often.astype(np.uint32)
             pair_of = pair % n
             out = []
             by_word, by_pair = np.argsort(part_of, kind="stable"), np.argsort(part_of[word], kind="stable")
@@ -375,7 +375,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             row += m
 
     NAMES = ["bucket", "row", "words", "posts", "pairs", "_key", "_held", "n_tokens", "ids"]
-    taken = materialize(rows.mapInArrow(split, f"bucket int, row long, words binary, posts binary, pairs binary, _key {kind_of_key}, _held boolean, n_tokens long, ids binary"), "split")
+    taken = materialize(rows.mapInArrow(split, f"bucket int, row long, words binary, posts binary, pairs binary, _key {kind_of_key}, _held boolean, n_tokens long, ids binary"), "split", "zstd")
 
     def count(batches):
         now, found = None, []
@@ -465,7 +465,8 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
             for a in range(0, len(before), 1024):
                 logs = log_classes(weights, before[a : a + 1024], classes[target[a : a + 1024]])
                 total += np.bincount(text[a : a + 1024], np.where(scored[a : a + 1024], logs, 0).sum(axis=1, dtype=np.float64), len(own))
-            pair, which = np.unique(previous_of(bounds, end, ids) * len(classes) + ids, return_inverse=True)
+            pair, which = np.unique((previous_of(bounds, end, ids) * len(classes) + ids).astype(np.uint32), return_inverse=True)
+            pair = pair.astype(np.int64)
             logs = log_within(exact, within, classes, pair // len(classes), pair % len(classes))[which]
             total += np.add.reduceat(logs, bounds[:-1], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(total / np.log(10))], ["row", "_key", "_held", "n_tokens", "score"])
