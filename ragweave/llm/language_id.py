@@ -23,12 +23,12 @@ SAMPLE_ROWS = 400
 ROUNDS = 3
 #: Of texts without a letter.
 UNDETERMINED = "und"
-#: Runs of letters: word characters but digits, the underscore, and numbers such as ½ and ² that are no letters.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 #: Longest run of letters scored as one word; longer runs are cut there and every part is scored.
 LONGEST = 48
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
+#: Text bytes worked on at once.
+_SLICE = 2 << 20
 
 
 @lru_cache(maxsize=2)
@@ -55,6 +55,8 @@ def vocabulary(model_path: str):
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters, cut at LONGEST letters."""
     found = _WORD.findall(text.lower())
+    if not all(map(str.isalpha, found)):  # numbers such as ½ and ² count as word characters, but are no letters
+        found = [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
     if max(map(len, found), default=0) <= LONGEST:
         return found
     return [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
@@ -206,5 +208,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
         found = m.predict(texts) if m.languages else [(UNDETERMINED, 0.0)] * len(texts)
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names)
 
-    out = map_slices(rows, run, f"{kinds}, lang_pred string, score double", "_text")
+    out = map_slices(rows, run, f"{kinds}, lang_pred string, score double", "_text", _SLICE)
     return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
