@@ -26,7 +26,7 @@ UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 #: Longest run of letters scored as one word; longer runs are cut there and every part is scored.
 LONGEST = 48
-CACHE_WORDS = 50_000
+CACHE_WORDS = 150_000
 #: Text bytes worked on at once.
 _SLICE = 2 << 20
 
