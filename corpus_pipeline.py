@@ -15,7 +15,11 @@ SURE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognisable language: no text, no letter, or no language with at least SURE."""
+    """Drop documents without a recognisable language: no text, no letter, or no language with at least SURE.
+
+    A null lang is filled with the prediction, others stay. Of tied languages the first by name is predicted, whose
+    score is then below SURE or even. Rows are independent: repeated ids and rows stay; an empty table gives an empty one.
+    """
     model = language_id.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2), order=F.xxhash64("doc_id"))
     found = language_id.identify(docs, model, keep=COLUMNS)
     kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= SURE))
@@ -31,7 +35,11 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row of smallest id (null last) of each component of near-duplicates (five-word shingles, 0.8 or more)."""
+    """Keep the row of smallest id (null last) of each component of near-duplicates (five-word shingles, 0.8 or more).
+
+    Of repeated rows one stays, whatever their ids. Null, empty and blank texts link with nothing and stay, as do all
+    rows of an empty table.
+    """
     rows, own = keyed(docs)
     found = ngram_jaccard.link(rows, "_row")
     if own:
@@ -44,20 +52,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that share a window of words with a benchmark item."""
+    """Drop documents that share a window of words with a benchmark item.
+
+    Rows are judged by their own texts, also where ids repeat or are null; null and empty texts stay, as do all
+    documents where there are no items.
+    """
     rows, _ = keyed(docs)
     found = decontam.hits(rows, table(spark, sf_dir, "benchmark"), "_row")
     return rows.join(found.where("n_hit > 0").select("_row"), "_row", "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets by a mask; every document stays."""
+    """Replace secrets by a mask; every document stays. A null text stays null, with a null n_chars; ids do not matter."""
     found = secret_scan.scan(docs, secret_scan.default_forest(spark))
     return found.withColumns({"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and the text decoded from them, as counts and digests."""
+    """Ids and the text decoded from them, as counts and digests, a row for every row. Null and empty texts have the end
+    id alone; an empty table gives an empty one."""
     coded = sentencepiece_codec.encode_decode(docs)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
