@@ -26,8 +26,8 @@ from ragweave.llm.sentencepiece_codec import MARK, default_model
 WIDTH, CLASSES, SPAN, OVERLAP = 16, 48, 16, 4
 #: Texts and windows the attention weights begin with, and steps of that; all training texts follow.
 TRAIN_TEXTS, TRAIN_WINDOWS, STEPS, BATCH = 5000, 240_000, 1500, 384
-#: Windows in a step over all training texts, its rate, and parts that the weights are summed in.
-ALL_BATCH, ALL_RATE, SUMS = 768, 0.002, 8
+#: Windows in a step over all training texts, its rate, and runs that the weights are cut into to be summed.
+ALL_BATCH, ALL_RATE, RUNS = 768, 0.002, 64
 #: Groups of ids, by hash, whose followers are counted; the weight of the class's own distribution in a group's.
 BUCKETS, SMOOTH = 1024, 8.0
 #: Windows worked on at once.
@@ -215,7 +215,8 @@ def gradient(w: dict, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> dict:
 
 def learn_all(texts: DataFrame, w: dict, classes: np.ndarray, end: int) -> tuple[dict, int]:
     """(w, tokens): w carried over every token of all texts (ids), by each partition from the same start, and averaged
-    with the tokens as weights. Steps grow with the texts; SUMS sets of weights come to the driver."""
+    with the tokens as weights. Steps grow with the texts. Each run of the weights is summed whole in one task, so one
+    set of weights comes to the driver, however many partitions there are."""
     names, shapes = list(w), {k: v.shape for k, v in w.items()}
     begun = texts.sparkSession.sparkContext.broadcast((w, classes, end))
 
@@ -231,29 +232,32 @@ def learn_all(texts: DataFrame, w: dict, classes: np.ndarray, end: int) -> tuple
                 pick = order[a : a + ALL_BATCH]
                 adam.update(w, gradient(w, before[pick], classes[target[pick]], scored[pick]), ALL_RATE * min(1.0, (adam.step + 1) / 50) * len(pick) / ALL_BATCH)
             tokens += int(scored.sum())
-        if tokens:
-            yield batch(TaskContext.get().partitionId(), tokens, np.concatenate([w[k].ravel() for k in names]).astype(np.float64) * tokens)
+        if tokens:  # how far each weight moved; zeros, as of embeddings of ids that are absent here, take little room
+            moved = np.concatenate([((w[k] - start[k]) * np.float32(tokens)).ravel() for k in names])
+            yield batch(TaskContext.get().partitionId(), {run: (tokens, x) for run, x in enumerate(np.array_split(moved, RUNS))})
 
-    def batch(part, tokens, sums):
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tokens], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["part", "tokens", "sums"])
+    def batch(part, runs):
+        tokens, moved = zip(*runs.values())
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(runs), pa.int32()), pa.array(list(runs), pa.int32()), pa.array(tokens, pa.int64()), pa.array([x.tobytes() for x in moved], pa.binary())], ["part", "run", "tokens", "moved"])
 
     def add(batches):
-        tokens, sums = 0, 0.0
+        runs = {}
         for b in batches:
             for r in b.to_pylist():
-                tokens, sums = tokens + r["tokens"], sums + np.frombuffer(r["sums"], np.float64)
-        if tokens:
-            yield batch(0, tokens, sums)
+                tokens, moved = runs.get(r["run"], (0, 0.0))
+                runs[r["run"]] = tokens + r["tokens"], moved + np.frombuffer(r["moved"], np.float32).astype(np.float64)
+        if runs:
+            yield batch(0, runs)
 
-    schema = "part int, tokens long, sums binary"
+    schema = "part int, run int, tokens long, moved binary"
     carried = texts.select("ids").mapInArrow(carry, schema)
-    found = carried.repartition(SUMS, "part").sortWithinPartitions("part").mapInArrow(add, schema).collect()
-    tokens = sum(r.tokens for r in found)
-    if not tokens:
+    found = sorted(carried.repartition(RUNS, "run").sortWithinPartitions("part").mapInArrow(add, schema).collect(), key=lambda r: r.run)
+    if not found:
         return w, 0
-    mean = (sum(np.frombuffer(r.sums, np.float64) for r in found) / tokens).astype(np.float32)
+    tokens = found[0].tokens
+    moved = (np.concatenate([np.frombuffer(r.moved, np.float64) for r in found]) / tokens).astype(np.float32)
     cuts = np.cumsum([0, *(int(np.prod(shapes[k])) for k in names)])
-    return {k: mean[a:b].reshape(shapes[k]) for k, a, b in zip(names, cuts[:-1], cuts[1:])}, tokens
+    return {k: w[k] + moved[a:b].reshape(shapes[k]) for k, a, b in zip(names, cuts[:-1], cuts[1:])}, tokens
 
 
 def windows_of(bounds: np.ndarray, end: int, ids: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, ...]:

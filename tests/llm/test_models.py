@@ -198,6 +198,27 @@ def test_lm_learns_from_all_training_rows(spark, monkeypatch):
     assert sum(r.score for r in rows if r.held_out) > 0.97 * sum(r.score for r in begun if r.held_out)
 
 
+def test_lm_sends_the_driver_one_set_of_weights(spark, monkeypatch):
+    """However many partitions carry the weights and sum them; the mean is that of the partitions, by tokens."""
+    size, r = 300, np.random.default_rng(3)
+    w = {k: (r.standard_normal(s) * 0.1).astype(np.float32) for k, s in lm_scoring._shapes(size).items()}
+    classes = np.arange(size) % lm_scoring.CLASSES
+    texts = [r.integers(0, size, 1 + 5 * i % 90).astype(np.uint16).tobytes() for i in range(40)]
+    ids = spark.createDataFrame([(x,) for x in texts], "ids binary").repartition(6).cache()
+    frame, sizes = type(ids), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: [sizes.append(sum(len(x) for x in row if isinstance(x, (bytes, bytearray)))) or row for row in collect(self)])
+    got, tokens = lm_scoring.learn_all(ids, w, classes, size - 1)
+    assert sum(sizes) <= 8 * sum(x.size for x in w.values())
+    monkeypatch.undo()
+    ids = ids.withColumn("at", F.spark_partition_id()).collect()
+    parts = [spark.createDataFrame([(r.ids,) for r in ids if r.at == p], "ids binary").coalesce(1) for p in sorted({r.at for r in ids})]
+    alone = [lm_scoring.learn_all(p, w, classes, size - 1) for p in parts]
+    assert tokens == sum(n for _, n in alone) == sum(len(x) // 2 for x in texts)
+    for k in w:
+        assert np.allclose(got[k], sum(x[k].astype(float) * n for x, n in alone) / tokens, atol=1e-5) and (got[k] != w[k]).any()
+
+
 def test_lm_tells_ids_of_a_group_apart():
     size = 5000
     groups = lm_scoring.group_of(np.arange(size))
