@@ -11,8 +11,10 @@ Equal sets are one class from the start. Sets that share a rare shingle are few;
 bitmaps of their parities, whose Hamming distance is at most the number of shingles in which the sets differ, so no
 link between different sets is lost; only the texts of close pairs are fetched and verified. Sets that share a
 combination are not paired off: in each entry all sets of like size are verified against a central one, and what links
-is one component. Only sets of different components that share an entry are left; entries are cut into blocks, pairs
-of blocks are dealt out, and bitmaps are compared in place before texts are.
+is one component. Only sets of different components that share an entry are left. Bitmaps of small entries are compared
+in place before texts are. The sets of large entries are indexed once more, without the shingles that one of them alone
+holds: the more of these two sets have, the less may differ in the rest, and the fewer and longer are the combinations
+of their rests. Entries that are large even then are cut into blocks, and pairs of blocks are dealt out.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ FREQUENT = 32
 LAST_MOST = 500_000
 #: Rounds in which all sets of an entry are compared with one more central set of it, before the pairs that are left.
 STARS = 3
-#: Sets in a block of an entry, about.
-BLOCK = 128
+#: Sets in a block of an entry, about; those of larger entries are indexed once more.
+BLOCK = 512
 #: Copies of a row that many others meet.
 SALTS = 16
 _SLICE = 2 << 20
@@ -114,6 +116,32 @@ def combinations(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def slack(n: int, lone: int, percent: int) -> int:
+    """What a set of n shingles, `lone` of which no other holds, adds to the number of shingles in which its rest may
+    differ from a similar set's: n (1 - t) / (1 + t) - lone, rounded up, in steps that grow with it."""
+    most = -((lone * (100 + percent) - n * (100 - percent)) // (100 + percent))
+    step = 1 << max(0, abs(most).bit_length() - 4)
+    return -(-most // step) * step
+
+
+def rest_combinations(rest: np.ndarray, own: int, others: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sides) of a set's rest by its own slack, for each slack that similar sets have: as many parts as the sum of
+    both and one more, so that similar sets agree in one. Sides are 0 and 1 by slack, -1 where the slacks are equal."""
+    keys, sides = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for other in others:
+        parts = own + other + 1
+        if parts < 1:
+            continue
+        tag = np.uint64((min(own, other) + (1 << 20)) << 24 | (max(own, other) + (1 << 20)))
+        mixed = R.mix(rest, tag)
+        part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, part, mixed)
+        keys.append(R.mix(R.mix(sums, np.arange(parts).astype(np.uint64)), tag))
+        sides.append(np.full(parts, -1 if own == other else int(own > other), np.int32))
+    return np.concatenate(keys), np.concatenate(sides)
+
+
 def pairs_of(cell: np.ndarray, allowed) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows of one cell for which allowed(i, j) holds; rows are sorted by cell."""
     found, i, step = [], np.arange(len(cell)), 0
@@ -309,7 +337,53 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         centers = pivots.select("key", "class", "sig") if centers is None else centers.union(pivots.select("key", "class", "sig"))
         done = centers.join(named, "sig", "left").select("key", "class", F.coalesce("label", "sig").alias("comp")).distinct()
 
-    # What is left: entries of several components, in blocks; every pair of blocks is a cell.
+    # What is left: entries of several components. The sets of large ones are indexed again, by their rests.
+    crowded = left.groupBy("key").count().where(F.col("count") > BLOCK).select("key")
+
+    def by_rests() -> DataFrame:
+        """Entries of the sets that crowded ones hold."""
+        crowd = materialize(left.join(crowded, "key").select("sig", "comp", "n").distinct().join(texts.select("sig", "z"), "sig").dropDuplicates(["sig"]), "crowd")
+
+        def sets_of(part):
+            return shingle_sets([R._open.decompress(z) for z in part.column("z").to_pylist()], words)
+
+        def held_by(batches):
+            """Shingles of a slice of the crowd, how many of its sets hold them, and one of these."""
+            for part in slices(batches, "z", _SLICE >> 3):
+                sets = sets_of(part)
+                tokens, first, times = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(np.repeat(part.column("sig").to_numpy(), [len(s) for s in sets])[first]), pa.array(times)], ["token", "sig", "times"])
+
+        alone = crowd.mapInArrow(held_by, "token long, sig long, times long").groupBy("token").agg(F.min("sig").alias("sig"), F.sum("times").alias("times")).where("times = 1")
+        lone = alone.groupBy("sig").agg(F.collect_list("token").alias("lone"))
+        crowd = materialize(crowd.join(lone, "sig", "left").withColumn("lone", F.coalesce("lone", F.array().cast("array<long>"))), "crowd")
+
+        def slacks(batches):
+            for part in batches:
+                sizes, lone = (part.column(i).to_pylist() for i in (0, 1))
+                classes = size_classes(max(sizes, default=0), percent)
+                found = {(int(np.searchsorted(classes, n, "right")), slack(n, k, percent)) for n, k in zip(sizes, lone)}
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int32()) for i in (0, 1)], ["class", "slack"])
+
+        there = sorted(tuple(r) for r in crowd.select("n", F.size("lone")).mapInArrow(slacks, "class int, slack int").distinct().collect())  # of each class of sizes a few
+
+        def again(batches):
+            for part in slices(batches, "z", _SLICE >> 3):
+                out = []
+                for sig, comp, lone, s in zip(*(part.column(c).to_pylist() for c in ("sig", "comp", "lone")), sets_of(part)):
+                    size = int(np.searchsorted(size_classes(len(s), percent), len(s), "right"))
+                    rest = np.setdiff1d(s, np.asarray(lone, np.int64).view(np.uint64), assume_unique=True)
+                    keys, turns = rest_combinations(rest, slack(len(s), len(lone), percent), sorted({x for c, x in there if abs(c - size) <= 1}))
+                    out.append((_signed(keys), turns, np.full(len(keys), sig), np.full(len(keys), comp)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "turn", "sig", "comp"])
+
+        return crowd.mapInArrow(again, "key long, turn int, sig long, comp long")
+
+    entered = left.select("key", F.lit(-1).alias("turn"), "sig", "comp")
+    if not crowded.isEmpty():  # else no text needs to be moved
+        entered = materialize(entered.join(crowded, "key", "left_anti").union(by_rests()), "entered")
+
+    # Entries in blocks; every pair of blocks, of both sides where an entry has sides, is a cell.
     def compare(batches):
         for c in whole_cells(batches, "cell"):
             side, sig, comp, n = c["side"], c["sig"], c["comp"], c["n"]
@@ -327,10 +401,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             found = np.unique(np.stack([sig[lo], sig[hi], comp[lo], comp[hi]], axis=1), axis=0) if len(i) else np.zeros((0, 4), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["a", "b", "ca", "cb"])
 
-    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select("key", "blocks", salts)
-    members = left.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(blocks, ["key", "salt"])
-    members = members.withColumn("own", F.pmod(F.xxhash64("sig", F.lit(5)), "blocks").cast("int")).select("key", "sig", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = members.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "sig", "comp").join(sized, "sig")
+    sides = [F.ceil(F.count_if(x) / BLOCK).cast("int").alias(name) for x, name in ((F.col("turn") < 1, "here"), (F.col("turn") == 1, "there"))]
+    blocks = entered.groupBy("key").agg(*sides, F.min("turn").alias("least"), F.max("turn").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    blocks = blocks.where("lo <> hi and (least < 0 or least <> most)").select("key", "here", "there", salts)
+    members = entered.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(blocks, ["key", "salt"])
+    members = members.withColumn("blocks", F.when(F.col("turn") == 1, F.col("there")).otherwise(F.col("here"))).withColumn("across", F.when(F.col("turn") == 0, F.col("there")).otherwise(F.col("here")))
+    members = members.withColumn("own", F.pmod(F.xxhash64("sig", F.lit(5)), "blocks").cast("int")).select("key", "turn", "sig", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("other"))
+    even, second = F.col("turn") < 0, F.when(F.col("turn") < 0, F.col("own") > F.col("other")).otherwise(F.col("turn") == 1)
+    first = F.when(second, F.col("other")).otherwise(F.col("own")), F.when(second, F.col("own")).otherwise(F.col("other"))
+    dealt = members.select(F.xxhash64("key", *first).alias("cell"), F.when(even & (F.col("own") == F.col("other")), -1).otherwise(second.cast("int")).alias("side"), "sig", "comp").join(sized, "sig")
     cells = dealt.repartition("cell").sortWithinPartitions("cell").select("cell", "side", "sig", "comp", "n", *bitmap)
     late = verify(cells.mapInArrow(compare, "a long, b long, ca long, cb long").distinct(), "late")
     # Links between components are links between their labels; as few as there are such pairs of components.

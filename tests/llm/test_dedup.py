@@ -72,6 +72,44 @@ def test_texts_of_common_pieces_meet_rarely(spark):
     assert pairs[300] < 3 * max(pairs[150], 300)
 
 
+def test_crowds_of_near_copies_are_dealt_once(spark, monkeypatch):
+    """Near copies in which too much differs to link are not dealt out in every pair of blocks."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 16)
+    r, dealt = rng(21), []
+    base = prose(r, 150, 10_000).split()
+    edit = lambda i, k: " ".join(f"z{i}" if p in k else w for p, w in enumerate(base))
+    texts = [edit(i, r.sample(range(150), r.choice((2, 3, 3, 4)))) for i in range(240)] + [edit(300 + i, r.sample(range(150), 1)) for i in range(4)]
+    texts += [" ".join(base[:p] + base[p + 1 + p % 4 :]) for p in r.sample(range(150), 12)]
+    docs = documents(spark, texts)
+    frame = type(docs)
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: (dealt.append(self.count()) if a == ("cell",) else None, repartition(self, *a))[1])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard.link(docs, words=3, percent=90).collect()}
+    assert got == jaccard_components(texts, 3, 90)
+    assert len({c for _, c in got.values()}) > 100  # most do not link
+    assert dealt[0] < 20 * len(texts)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_agree_in_a_part_of_their_rests(percent):
+    r = np.random.default_rng(percent)
+    met = 0
+    for n in (12, 61, 200, 900):
+        for _ in range(150):
+            a = r.integers(0, 2**63, n).astype(np.uint64)
+            out, new = r.integers(0, n * (100 - percent) // 60 + 1, 2)
+            b = np.append(a[out:], r.integers(0, 2**63, new).astype(np.uint64))
+            if 100 * (n - out) < percent * (n + new):
+                continue
+            free = r.integers(0, out + 1), r.integers(0, new + 1)  # of what the other lacks
+            x, y = ngram_jaccard.slack(n, int(free[0]), percent), ngram_jaccard.slack(len(b), int(free[1]), percent)
+            keys, sides = zip(ngram_jaccard.rest_combinations(a[free[0] :], x, [y]), ngram_jaccard.rest_combinations(b[: len(b) - free[1]], y, [x]))
+            assert len(np.intersect1d(*keys))
+            assert {int(s[0]) for s in sides} == ({-1} if x == y else {0, 1})
+            met += 1
+    assert met > 60
+
+
 def test_null_and_repeated_keys_link(spark):
     r = rng(11)
     base = prose(r, 200, 10_000).split()
