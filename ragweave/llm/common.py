@@ -101,7 +101,10 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into runs of rows with about `limit` bytes of text each (one row at least)."""
+    """Cut Arrow batches into runs of rows with about `limit` bytes of text each (one row at least).
+
+    After each batch, what Arrow keeps of freed ones goes back to the system, as workers share a machine's memory with the JVM.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -115,6 +118,8 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = S
                 start, total = i, 0
             total += int(sizes[i]) + 64
         yield batch.slice(start, n - start)
+        del batch, column, sizes
+        pa.default_memory_pool().release_unused()
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, name: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
@@ -122,8 +127,11 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
 
     def run(batches):
         for part in slices(batches, name, limit):
-            if (out := fn(part)) is not None:
+            out = fn(part)
+            del part  # not held while the next batch is read
+            if out is not None:
                 yield out
+            del out
 
     return df.mapInArrow(run, schema)
 

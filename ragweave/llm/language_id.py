@@ -27,8 +27,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Longest run of letters scored as one word; longer runs are cut there and every part is scored.
 LONGEST = 48
 CACHE_WORDS = 150_000
-#: Text bytes worked on at once.
-_SLICE = 2 << 20
+#: Text bytes and new words worked on at once.
+_SLICE = 1 << 20
+_AT_ONCE = 5_000
 
 
 @lru_cache(maxsize=2)
@@ -120,8 +121,8 @@ class Model:
         index, split = self.index, [words_of(x) for x in texts]
         fresh = list(dict.fromkeys(w for words in split for w in words if w not in index))
         parts = [self.logs]
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a : a + 20_000]
+        for a in range(0, len(fresh), _AT_ONCE):
+            part = fresh[a : a + _AT_ONCE]
             index.update(zip(part, range(len(index), len(index) + len(part))))
             parts.append(self.marginals(part))
         self.logs = np.concatenate(parts)
@@ -198,15 +199,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     rows stay; columns not in keep are ignored; an empty table gives an empty one. keep may name the text.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text).alias("_text"))
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:-1])
-    names = [*rows.columns[:-1], "lang_pred", "score"]
+    rows = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), *([] if text in keep else [F.col(text).alias("_text")]))
+    at = f"_k{keep.index(text)}" if text in keep else "_text"  # a text that is kept is sent once
+    kept = rows.dtypes[: len(keep)]
+    kinds = ", ".join(f"{c} {t}" for c, t in kept)
+    names = [*(c for c, _ in kept), "lang_pred", "score"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value.ready()
-        texts = texts_of(batch, "_text")
+        texts = texts_of(batch, at)
         found = m.predict(texts) if m.languages else [(UNDETERMINED, 0.0)] * len(texts)
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names)
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names)
 
-    out = map_slices(rows, run, f"{kinds}, lang_pred string, score double", "_text", _SLICE)
+    out = map_slices(rows, run, f"{kinds}, lang_pred string, score double", at, _SLICE)
     return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")

@@ -10,7 +10,7 @@ their ids are kept in a bounded per-worker cache.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ MARK = "▁"
 CACHE_WORDS = 250_000
 #: Longer words are encoded anew each time, so that the bytes kept are bounded too.
 CACHE_LETTERS = 64
+#: Text bytes worked on at once.
+_SLICE = 1 << 20
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -68,7 +70,7 @@ class PrefixTableCodec:
         self._pairs: dict[int, bool] = {}
         self.unknown = re.compile(f"[^{re.escape(''.join(sorted(self.alphabet)))}]")
         self.inside = frozenset(p[i : i + 2] for p in self.tokens for i in range(len(p) - 1))
-        codec = self
+        codec = weakref.proxy(self)  # no cycle, so that words go with their codec at once
 
         class Words(dict):
             older: dict[str, bytes] = {}
@@ -171,10 +173,20 @@ class PrefixTableCodec:
         return out[1:] if out[:1] == " " else out
 
 
-@lru_cache(maxsize=2)
-def codec(model_path: str) -> PrefixTableCodec:
-    """One codec for each worker process and model."""
-    return PrefixTableCodec(model_path)
+class Shared:
+    """The codec of a broadcast, built once in each worker process. Spark takes broadcasts from a reused worker before a
+    task that does not name them, so a codec and its words are not held beside the tables of a later stage."""
+
+    def __init__(self, model_path: str):
+        self.model_path = model_path
+
+    def __getstate__(self):
+        return {"model_path": self.model_path}
+
+    def ready(self) -> PrefixTableCodec:
+        if not hasattr(self, "codec"):
+            self.codec = PrefixTableCodec(self.model_path)
+        return self.codec
 
 
 def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str | None = None) -> DataFrame:
@@ -183,10 +195,10 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", mode
     Null and empty texts have the end id alone and decode to the empty text. Rows are independent: repeated rows
     and ids stay, extra columns are ignored, an empty table gives an empty one.
     """
-    path = model_path or default_model()
+    sent = docs.sparkSession.sparkContext.broadcast(Shared(model_path or default_model()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(path)
+        c = sent.value.ready()
         encoded = [c.encode(x) for x in texts_of(batch, "_text")]
         offsets = np.zeros(len(encoded) + 1, dtype=np.int32)
         np.cumsum([len(x) >> 2 for x in encoded], out=offsets[1:])
@@ -197,4 +209,4 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", mode
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = dict(rows.dtypes)["_key"]
-    return map_slices(rows, run, f"_key {kind}, ids array<int>, decoded string", "_text", 4 << 20).withColumnRenamed("_key", key)
+    return map_slices(rows, run, f"_key {kind}, ids array<int>, decoded string", "_text", _SLICE).withColumnRenamed("_key", key)

@@ -62,6 +62,50 @@ def test_language_marginals(spark):
     assert np.allclose(model.marginals(words), want)
 
 
+def test_codec_goes_with_its_stage(spark):
+    """A worker that is used again holds no codec once a task of another query has begun."""
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        rows = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_pydict({"rows": [rows], "codecs": [sum(type(x).__name__ == "PrefixTableCodec" for x in gc.get_objects())]})
+
+    docs = read(spark, "documents").limit(40).repartition(8).cache()
+    assert sentencepiece_codec.encode_decode(docs).count() == 40
+    found = docs.select("doc_id").mapInArrow(held, "rows long, codecs long").collect()
+    docs.unpersist()
+    assert sum(r.rows for r in found) == 40 and {r.codecs for r in found} == {0}
+
+
+def test_language_id_sends_a_kept_text_once(spark, monkeypatch):
+    model = language_id.fit(read(spark, "documents"))
+    docs = documents(spark, [None, "", "the " * 9, "das und " * 9, "the " * 9])
+    sent, map_slices = [], language_id.map_slices
+    monkeypatch.setattr(language_id, "map_slices", lambda df, *a: sent.append(df.columns) or map_slices(df, *a))
+    rows = lambda *keep: sorted((r.doc_id, r.lang_pred, r.score) for r in language_id.identify(docs, model, keep=keep).collect())
+    assert rows("text", "doc_id", "lang") == rows("doc_id")
+    assert [len(x) for x in sent] == [3, 2]
+    assert dict(language_id.identify(docs, model, keep=("doc_id", "text")).select("doc_id", "text").collect()) == dict(docs.select("doc_id", "text").collect())
+
+
+def test_new_words_of_languages_take_bounded_memory(spark):
+    import tracemalloc
+
+    model = language_id.fit(read(spark, "documents")).ready()
+    r = rng(5)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(10)) for _ in range(20_000)]
+    tracemalloc.start()
+    try:
+        model.predict([" ".join(words)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.index) == len(set(words)) and peak < 40 << 20, peak
+
+
 def test_language_edges(spark):
     model = language_id.fit(read(spark, "documents"))
     docs = documents(spark, [None, "", "123 !?", "the " * 9, "x" * 500, "the " * 9])
