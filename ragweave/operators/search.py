@@ -10,10 +10,14 @@ from pyspark.sql.window import Window
 
 from ragweave.functions import text as T
 
-#: Queries that are compared at once, and up to which all are sent to every task; more are dealt out against groups of index rows.
+#: Queries up to which all are sent to every task; more are dealt out against groups of index rows.
 QUERY_BLOCK = 4096
-#: Index rows of a group, about.
-GROUP_ROWS = 262_144
+#: Index rows of a group, about, and their bytes at most; small tables have smaller groups, one for each core, of so many rows at least.
+GROUP_ROWS, GROUP_BYTES, LEAST_ROWS = 131_072, 64 << 20, 8192
+#: Queries and index rows whose scores a worker holds at once.
+TILE_QUERIES, TILE_ROWS = 256, 4096
+#: Bytes of vectors in a packed row.
+PACK_BYTES = 1 << 20
 #: Decimals of a score: equal vectors tie, wherever they are computed.
 DECIMALS = 12
 _FOUND = "query_id long, chunk_id long, score double"
@@ -34,29 +38,47 @@ def _unit(data: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The n best rows of each query so far, ties to the smaller id."""
+    """The n best rows of each of a tile's queries so far, ties to the smaller id. Scores that are no numbers take no part.
+
+    A query with n rows has a floor, the last of them by score and id; only rows before it are kept.
+    """
 
     def __init__(self, ids: np.ndarray, unit: np.ndarray, n: int):
         self.ids, self.unit, self.n, self.found, self.size = ids, unit, n, [], 0
+        self.floor, self.last = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max)
 
     def add(self, keys: np.ndarray, data: np.ndarray) -> None:
-        scores = np.round(self.unit @ data.T, DECIMALS)
-        if len(keys) > self.n:
-            floor = np.partition(scores, len(keys) - self.n, axis=1)[:, len(keys) - self.n][:, None]
-            q, k = np.nonzero(scores >= floor)
-        else:
-            q, k = np.divmod(np.arange(scores.size), len(keys))
-        self.found.append((q, keys[k], scores[q, k]))
-        self.size += len(q)
-        if self.size > 8 * self.n * len(self.ids):
+        for a in range(0, len(keys), TILE_ROWS):
+            self._add(keys[a : a + TILE_ROWS], data[a : a + TILE_ROWS])
+
+    def _add(self, keys: np.ndarray, data: np.ndarray) -> None:
+        scores = self.unit @ data.T
+        floor = self.floor
+        over = scores >= self._under(floor)
+        if len(keys) > self.n and np.count_nonzero(over) > 2 * self.n * len(self.ids):
+            floor = np.fmax(floor, -np.partition(-scores, self.n - 1, axis=1)[:, self.n - 1])
+            over = scores >= self._under(floor)
+        q, k = np.nonzero(over)
+        scores, keys = np.round(scores[q, k], DECIMALS), keys[k]
+        kept = (scores > self.floor[q]) | ((scores == self.floor[q]) & (keys < self.last[q]))
+        self.found.append((q[kept], keys[kept], scores[kept]))
+        self.size += int(kept.sum())
+        if self.size > 2 * self.n * len(self.ids):
             self.prune()
 
+    @staticmethod
+    def _under(floor: np.ndarray) -> np.ndarray:
+        """What no score lies under that may be rounded to the floor."""
+        return (floor - 1e-11 * np.maximum(1.0, np.abs(floor)))[:, None]
+
     def prune(self) -> None:
         q, keys, scores = (np.concatenate(c) for c in zip(*self.found))
         order = np.lexsort((keys, -scores, q))
         q, keys, scores = q[order], keys[order], scores[order]
-        first = np.searchsorted(q, np.arange(len(self.ids)))
-        kept = np.arange(len(q)) - first[q] < self.n
+        place = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.ids)))[q]
+        nth = place == self.n - 1
+        self.floor[q[nth]], self.last[q[nth]] = scores[nth], keys[nth]
+        kept = place < self.n
         self.found, self.size = [(q[kept], keys[kept], scores[kept])], int(kept.sum())
 
     def batch(self) -> pa.RecordBatch:
@@ -82,7 +104,8 @@ def top_n(queries: DataFrame, index: DataFrame, n: int = 100, method: str = "fai
     if some.num_rows <= QUERY_BLOCK:
         found = rows.mapInArrow(_scan(queries.sparkSession.sparkContext.broadcast(some), n, cosine), _FOUND)
     else:
-        found = _grid(asked, rows, n, cosine)
+        width = len(some.column(1)[0])
+        found = _grid(asked, rows, n, cosine, min(GROUP_ROWS, max(1, GROUP_BYTES // (8 * width))))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n).select("query_id", "rank", "chunk_id", "score")
 
@@ -94,52 +117,77 @@ def _scan(sent, n: int, cosine: bool):
         asked = sent.value.combine_chunks()
         if not asked.num_rows:
             return
-        best = _Best(np.asarray(asked.column(0)), _unit(_matrix(asked.column(1).combine_chunks())[1]), n)
+        ids, unit = np.asarray(asked.column(0)), _unit(_matrix(asked.column(1).combine_chunks())[1])
+        tiles = [_Best(ids[a : a + TILE_QUERIES], unit[a : a + TILE_QUERIES], n) for a in range(0, len(ids), TILE_QUERIES)]
         for batch in batches:
             at, data = _matrix(batch.column(1))
             if len(at):
-                best.add(np.asarray(batch.column(0))[at], _unit(data) if cosine else data)
-        yield best.batch()
+                keys, data = np.asarray(batch.column(0))[at], _unit(data) if cosine else data
+                for best in tiles:
+                    best.add(keys, data)
+        for best in tiles:
+            yield best.batch()
 
     return run
 
 
-def _grid(asked: DataFrame, rows: DataFrame, n: int, cosine: bool) -> DataFrame:
-    """Packed blocks of queries meet every group of packed index rows; a task holds one group and one block."""
-    groups = max(1, -(-rows.count() // GROUP_ROWS))
+def _grid(asked: DataFrame, rows: DataFrame, n: int, cosine: bool, group_rows: int) -> DataFrame:
+    """Packed tiles of queries stream past every group of index rows; a task holds one group and one tile."""
+    count, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-count // group_rows), min(cores, count // LEAST_ROWS))
 
-    def pack(kind: int, unit: bool):
-        def run(batches):
-            for batch in batches:
-                at, data = _matrix(batch.column(1))
-                if len(at):
-                    data, keys = _unit(data) if unit else data, np.asarray(batch.column(0))[at]
-                    for a in range(0, len(at), QUERY_BLOCK):
-                        part = keys[a : a + QUERY_BLOCK]
-                        cell = int(part.astype(np.uint64).sum() * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % groups
-                        yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([kind], pa.int32()), pa.array([part.astype(np.int64).tobytes()], pa.binary()), pa.array([data[a : a + QUERY_BLOCK].tobytes()], pa.binary())], ["cell", "kind", "ids", "vectors"])
+    def packed(cell: int, kind: int, keys: np.ndarray, data: np.ndarray, most: int):
+        step = max(1, min(most, PACK_BYTES // (8 * data.shape[1])))
+        for a in range(0, len(keys), step):
+            yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([kind], pa.int32()), pa.array([keys[a : a + step].astype(np.int64).tobytes()], pa.binary()), pa.array([data[a : a + step].tobytes()], pa.binary())], ["cell", "kind", "ids", "vectors"])
 
-        return run
+    def pack_rows(batches):
+        for batch in batches:
+            at, data = _matrix(batch.column(1))
+            if not len(at):
+                continue
+            keys = np.asarray(batch.column(0))[at]
+            data = _unit(data) if cosine else data
+            cells = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(groups)
+            for cell in np.unique(cells).tolist():
+                m = cells == cell
+                yield from packed(cell, 0, keys[m], data[m], TILE_ROWS)
+
+    def pack_queries(batches):
+        for batch in batches:
+            at, data = _matrix(batch.column(1))
+            if len(at):
+                yield from packed(-1, 1, np.asarray(batch.column(0))[at], _unit(data), TILE_QUERIES)
 
     def score(batches):
-        now, held = None, []
+        now, held, more = None, [], []
+
+        def tile():
+            held.append(tuple(np.concatenate(c) for c in zip(*more)))
+            more.clear()
+
         for batch in batches:
-            for cell, kind, ids, vectors in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(ids, np.int64)
-                data = np.frombuffer(vectors, np.float64).reshape(len(ids), -1)
+            for i in range(batch.num_rows):
+                cell, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                ids = np.frombuffer(batch.column(2)[i].as_py(), np.int64)
+                data = np.frombuffer(batch.column(3)[i].as_py(), np.float64).reshape(len(ids), -1)
                 if cell != now:
-                    now, held = cell, []
+                    now, held, more = cell, [], []
                 if kind == 0:
-                    held.append((ids, data))
+                    more.append((ids, data))
+                    if sum(len(x) for x, _ in more) >= TILE_ROWS:
+                        tile()
                     continue
+                if more:
+                    tile()
                 best = _Best(ids, data, n)
                 for keys, part in held:
                     best.add(keys, part)
                 yield best.batch()
 
     shape = "cell int, kind int, ids binary, vectors binary"
-    blocks = asked.mapInArrow(pack(1, True), shape).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    dealt = rows.mapInArrow(pack(0, cosine), shape).union(blocks).repartition("cell").sortWithinPartitions("cell", "kind")
+    tiles = asked.mapInArrow(pack_queries, shape).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = rows.mapInArrow(pack_rows, shape).union(tiles).repartitionById(groups, F.col("cell")).sortWithinPartitions("cell", "kind")
     return dealt.mapInArrow(score, _FOUND)
 
 

@@ -203,3 +203,35 @@ def test_batches(spark):
     small = Settings(embedding_pause=0.0, embedding_batch=2)
     assert embed.embed_many(Batched(4), ["a", "b", "bad"], small) == [HashEmbedder(4).embed(t) for t in ("a", "b", "bad")]
     assert embed.parts_of("aa. " + "b" * 30 + ". c. d.", 10) == ["aa.", "b" * 30 + ".", "c. d."]
+
+
+def test_search_holds_tiles_of_scores():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    def table(ids, vectors):
+        return pa.table({"k": pa.array(ids), "v": pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), vectors.shape[1]).cast(pa.list_(pa.float64()))})
+
+    rng = np.random.default_rng(3)
+    asked, rows = rng.normal(size=(4096, 4)), rng.normal(size=(10_000, 4))
+    rows[5000:] = rows[:5000]
+    scan = search._scan(SimpleNamespace(value=table(np.arange(4096), asked)), 3, True)
+    batches = table(np.arange(10_000), rows).to_batches()
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(scan(iter(batches))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128e6
+    scores = np.round((asked[7] / np.linalg.norm(asked[7])) @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T, search.DECIMALS)
+    want = np.lexsort((np.arange(10_000), -scores))[:3].tolist()
+    assert [k for q, k in zip(got["query_id"].to_pylist(), got["chunk_id"].to_pylist()) if q == 7] == want
+
+
+def test_scores_that_are_no_numbers_displace_none(spark):
+    rows = [(i, [float("nan"), 1.0] if i < 4 else [float(i), 1.0]) for i in range(12)]
+    index = spark.createDataFrame(rows, "chunk_id bigint, norm_embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id bigint, query_embedding array<double>")
+    assert [r.chunk_id for r in search.top_n(asked, index, 3).orderBy("rank").collect()] == [11, 10, 9]
