@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragweave.plans.config import HEADINGS, REMOVED_SECTIONS
 
 #: The 29 code points that count as white space.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 _HEADINGS = "|".join(h.replace(".", r"\.") for h in HEADINGS)
 _REMOVED = "|".join(REMOVED_SECTIONS)
@@ -15,11 +16,11 @@ _REMOVED = "|".join(REMOVED_SECTIONS)
 
 def join_wrapped_lines(c: Column) -> Column:
     """A single line break becomes a space; runs of two and more stay."""
-    return F.regexp_replace(c, r"(?<!\n)\n(?!\n)", " ")
+    return F.regexp_replace(c, r"\n(?<!\n\n)(?!\n)", " ")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def trim_boilerplate(c: Column) -> Column:
@@ -28,7 +29,8 @@ def trim_boilerplate(c: Column) -> Column:
     start, end = (F.lit(rf"(?id)\*\*\* {word} OF.*?\*\*\*") for word in ("START", "END"))
     first = F.when(F.regexp_instr(text, start) > 0, F.regexp_instr(text, start) + F.length(F.regexp_substr(text, start))).otherwise(F.lit(1))
     stop = F.when(F.regexp_instr(text, end) > 0, F.regexp_instr(text, end)).otherwise(F.length(text) + 1)
-    return strip(F.substring(text, first, F.greatest(F.lit(0), stop - first)))
+    between = F.substring(text, first, F.greatest(F.lit(0), stop - first))
+    return strip(F.when(F.contains(text, F.lit("*** ")), between).otherwise(text))
 
 
 def contents_slice(c: Column) -> Column:
@@ -60,12 +62,12 @@ def is_heading(c: Column) -> Column:
 
 def is_removed_heading(c: Column, names: tuple[str, ...] = REMOVED_SECTIONS) -> Column:
     """Whether a paragraph begins with the name of a section that is left out."""
-    return F.upper(c).rlike("^(?:" + "|".join(names) + ")")
+    return F.upper(F.substring(c, 1, max(map(len, names)))).rlike("^(?:" + "|".join(names) + ")")
 
 
 def sentences(c: Column) -> Column:
     """Rule-based sentences: cut at white space after a full stop, exclamation or question mark; empty ones dropped."""
-    return F.filter(F.split(c, r"(?<=[.!?])\s+", -1), lambda s: s != "")
+    return F.filter(F.split(c, r"\s(?<=[.!?]\s)\s*", -1), lambda s: s != "")
 
 
 def source_title(c: Column) -> Column:

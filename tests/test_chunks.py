@@ -74,3 +74,28 @@ def test_dense_ids(spark):
 def test_stats_of_nothing(spark):
     r = chunk.chunk_stats(spark.createDataFrame([], "text string")).first()
     assert (r.n_chunks, r.mean_size) == (0, None)
+
+
+def test_sources_are_packed_as_they_stream():
+    import pyarrow as pa
+
+    from ragweave.operators import chunk
+
+    texts = [(f"p{i:03d}", "s", n, f"Sentence {i} of {n}. " * (1 + (i + n) % 5)) for i in range(40) for n in range(i % 7)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("path", "source", "master_id", "text"), r)) for r in texts[a : a + 9]]) for a in range(0, len(texts), 9)]
+    got = [r for b in chunk._packer(80, 120, chunk.rule_sentences)(iter(batches)) for r in b.to_pylist()]
+    want = [(p, n, c, m) for p in dict.fromkeys(t[0] for t in texts) for n, (c, m) in enumerate(chunk.pack_rows([(t[2], t[3]) for t in texts if t[0] == p], 80, 120))]
+    assert [(r["path"], r["n"], r["core"], r["ids"]) for r in got] == want
+
+
+def test_packing_calls_no_function_for_each_source(spark):
+    from ragweave.operators import chunk
+
+    plans = []
+    keep, chunk.tables.keep = chunk.tables.keep, lambda df, name: plans.append(df._jdf.queryExecution().toString()) or df
+    try:
+        masters = spark.createDataFrame([(0, "A b. C d.", ("s", "p"))], "master_id bigint, text string, metadata struct<source:string,path:string>")
+        chunk.pack(masters, 10)
+    finally:
+        chunk.tables.keep = keep
+    assert "FlatMapGroupsInPandas" not in plans[0]
