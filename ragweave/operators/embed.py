@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import time
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,24 @@ from ragweave.plans.config import Settings
 from ragweave.providers import Embedder
 
 
+#: Characters of text that go to a model at once, beside their copies and replies.
+LOT_CHARS = 1 << 20
+
+
+def lots(*columns: pd.Series) -> Iterator[tuple[pd.Series, ...]]:
+    """The same rows in runs of about LOT_CHARS characters, one row at least; freed Arrow memory goes back after each."""
+    start = total = 0
+    for i, row in enumerate(zip(*columns)):
+        size = sum(len(x) for x in row if isinstance(x, str))
+        if i > start and total + size > LOT_CHARS:
+            yield tuple(c.iloc[start:i] for c in columns)
+            pa.default_memory_pool().release_unused()
+            start, total = i, 0
+        total += size
+    yield tuple(c.iloc[start:] for c in columns)
+    pa.default_memory_pool().release_unused()
+
+
 def weighted_mean(vectors: list[list[float]], weights: list[int]) -> list[float]:
     return np.average(np.asarray(vectors, dtype=float), axis=0, weights=np.asarray(weights, dtype=float)).tolist()
 
@@ -67,7 +86,7 @@ def embed_column(texts: Column, make: Callable[[], Embedder], settings: Settings
 
     def run(parts):
         embedder = make()
-        for part in parts:
+        for (part,) in (lot for whole in parts for lot in lots(whole)):
             given = [t for t in part if t is not None]
             found = iter(embed_many(embedder, given, settings, cut or rule_sentences))
             yield pd.Series([None if t is None else next(found) for t in part], dtype=object)

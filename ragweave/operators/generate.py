@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.functions import text as T
-from ragweave.operators.embed import model_udf
+from ragweave.operators.embed import lots, model_udf
 from ragweave.providers import ChatModel
 
 PROMPT = "Answer the question from the passages alone and name the sources you used at the end. If they do not hold the answer, say: I could not find an answer in the passages."
@@ -49,7 +49,7 @@ def ask(make: Callable[[], ChatModel], system: str, user: Column, strict: bool =
 
     def run(parts):
         model = make()
-        for part in parts:
+        for (part,) in (lot for whole in parts for lot in lots(whole)):
             given, batch = [u for u in part if u is not None], getattr(model, "chat_batch", None)
             replies = None
             if batch is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ragweave.operators import route, search
-from ragweave.operators.embed import embed_column, model_udf
+from ragweave.operators.embed import embed_column, lots, model_udf
 from ragweave.plans.config import Settings
 from ragweave.providers import ChatModel, Embedder, PairScorer
 
@@ -20,7 +20,7 @@ def rerank(hits: DataFrame, make: Callable[[], PairScorer], query: str = "query"
 
     def run(parts):
         scorer = make()
-        for q, source, text in parts:
+        for q, source, text in (lot for whole in parts for lot in lots(*whole)):
             yield pd.Series(scorer.score([(a or "", f"Source: {s or ''}\n{t or ''}") for a, s, t in zip(q, source, text)]), dtype="float64")
 
     return hits.withColumn("relevance_score", model_udf(run, "double")(query, "source", "text"))

@@ -235,3 +235,22 @@ def test_scores_that_are_no_numbers_displace_none(spark):
     index = spark.createDataFrame(rows, "chunk_id bigint, norm_embedding array<double>").coalesce(1)
     asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id bigint, query_embedding array<double>")
     assert [r.chunk_id for r in search.top_n(asked, index, 3).orderBy("rank").collect()] == [11, 10, 9]
+
+
+def test_models_get_texts_in_lots(spark):
+    import pandas as pd
+
+    class Counting(HashEmbedder):
+        def embed_batch(self, texts):
+            if sum(map(len, texts)) > 1_200_000:
+                raise MemoryError
+            return [[float(len(t)), float(sum(map(len, texts)))] for t in texts]
+
+    whole = Settings(embedding_pause=0.0, embedding_batch=1000)
+    rows = spark.createDataFrame([(i, None if i == 3 else "a b " * 25_000) for i in range(30)], "i int, t string").coalesce(1)
+    got = rows.select("i", embed.embed_column(F.col("t"), lambda: Counting(4), whole).alias("v")).orderBy("i").collect()
+    assert [r.v and r.v[0] for r in got] == [None if i == 3 else 100_000.0 for i in range(30)]
+    assert max(r.v[1] for r in got if r.v) <= 1_200_000
+    assert [len(x) for x, _ in embed.lots(pd.Series(["a" * 700_000, "b" * 700_000, None]), pd.Series(["", None, ""]))] == [1, 2]
+    scored = rows.select(F.col("t").alias("query"), F.lit("s").alias("source"), F.lit("a").alias("text"))
+    assert merge.rerank(scored, OverlapScorer).where("relevance_score > 0").count() == 29
