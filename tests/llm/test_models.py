@@ -289,6 +289,37 @@ def test_lm_is_causal_and_learns(monkeypatch):
     assert np.allclose(lm_scoring.log_classes(w, changed, target[:50])[:, :20], logs[:, :20], atol=1e-4)
 
 
+def test_lm_computes_classes_for_scored_positions_alone(monkeypatch):
+    """Positions that a window shares with the one before are attended to, but get no second class."""
+    L, r = lm_scoring, np.random.default_rng(6)
+    w = {k: (r.standard_normal(s) * 0.5).astype(np.float32) for k, s in L._shapes(50).items()}
+    classes, bounds = np.arange(50) % L.CLASSES, np.cumsum([0, 1, 400, 17, 90, 3000])
+    before, target, scored, text = L.windows_of(bounds, 49, r.integers(0, 50, bounds[-1]))
+    want = np.bincount(text, np.where(scored, L.log_classes(w, before, classes[target]), 0).sum(axis=1), 5)
+    made, attend = [], L._attend
+    monkeypatch.setattr(L, "_attend", lambda *a: (out := attend(*a), made.append(len(out[-1])))[0])
+    assert np.allclose(L.log_windows(w, classes, before, target, scored, text, 5), want, rtol=1e-5)
+    assert scored.sum() == bounds[-1] <= sum(made) < 1.05 * bounds[-1]
+
+
+def test_lm_gradient_against_differences():
+    L, r = lm_scoring, np.random.default_rng(9)
+    w = {k: r.standard_normal(s) * 0.5 for k, s in L._shapes(20).items()}
+    x, y, m = r.integers(0, 20, (70, L.SPAN)), r.integers(0, L.CLASSES, (70, L.SPAN)), r.random((70, L.SPAN)) < 0.8
+    g = L.gradient(w, x, y, m)
+    rows = np.zeros_like(w["E"])
+    rows[g["E"][0]] = g["E"][1]
+    loss = lambda: -L.log_classes(w, x, y)[m].mean(dtype=float)
+    for name, of in (g | {"E": rows}).items():
+        along = r.standard_normal(of.shape) * 1e-3
+        w[name] += along
+        more = loss()
+        w[name] -= 2 * along
+        change = (more - loss()) / 2
+        w[name] += along
+        assert abs(change - (of * along).sum()) < 0.01 * abs(change) + 1e-7, name
+
+
 def test_subwords_give_the_text_back():
     sub = lm_scoring.subwords(sentencepiece_codec.default_model())
     import sentencepiece as sp
